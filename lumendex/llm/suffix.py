@@ -308,11 +308,22 @@ def _index(length: int, block_bytes: int, bucket_bytes: int):
             cols = list(zip(*rows, strict=True))
             return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.nulls(len(rows), pa.int64()), pa.array(cols[2], pa.binary())], schema=schema)
 
+        alone: list[tuple[int, int, int]] = []  # first windows of buckets with one distinct segment
+
         def close():
             nonlocal n_block
+            if len(bucket) == 1:
+                ((s, (i, p)),) = bucket.items()
+                if len(s) < 2 * length:  # a longer one may repeat itself
+                    alone.append((i, p, len(s) - length + 1))
+                    return
             block.extend((i, p, s) for s, (i, p) in bucket.items())
             n_block += n_bucket
 
+        def lone():
+            cols = [pa.array(c, pa.int64()) for c in zip(*alone, strict=True)]
+            return pa.RecordBatch.from_arrays([*cols, pa.nulls(len(alone), pa.binary())], schema=schema)
+
         for b in batches:
             for key, i, p, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 if key != now:
@@ -324,6 +335,9 @@ def _index(length: int, block_bytes: int, bucket_bytes: int):
                     if n_block >= block_bytes:
                         yield indexed(block)
                         block, n_block = [], 0
+                    if len(alone) >= 1 << 16:
+                        yield lone()
+                        alone = []
                     bucket, n_bucket, now, big = {}, 0, key, False
                 if s in bucket:
                     continue
@@ -340,6 +354,8 @@ def _index(length: int, block_bytes: int, bucket_bytes: int):
                 close()
         if block:
             yield indexed(block)
+        if alone:
+            yield lone()
 
     return run
 
