@@ -7,8 +7,9 @@ least ``sentences`` sentences and ``min_words`` words is hashed, lower-cased and
 Runs are joined globally; every run but the first one (smallest document id, then place) is repeated,
 and the sentences it covers are removed. A document may end without enough words for a run.
 
-Counts are pre-aggregated and joined back to the runs, so a run that a third of the documents share
-is neither collected nor kept in one task.
+Runs that repeat within a document are settled there, so each document sends a run once. The smallest
+and largest ids of each run are pre-aggregated, written, and joined back to the runs by a join that
+Spark can split, so a run that a third of the documents share is neither collected nor kept in one task.
 
 Defined cases: null text has no sentence and stays null; rows that share an id count as one document at
 equal places (repeated rows get equal results); null ids come last; other columns are not read.
@@ -89,18 +90,28 @@ def runs(said: list[bytes], counts: list[int], n_min: int = SENTENCES, min_words
     return at, end, out[0].view(np.int64), (out[1] >> _U(32)).astype(np.uint32).view(np.int32)
 
 
+def own_runs(said: list[bytes], counts: list[int], n_min: int, min_words: int):
+    """The runs() of a document: (places of those that come first in it, their 64- and 32-bit hashes, places of the others)."""
+    at, end, ha, hb = runs(said, counts, n_min, min_words)
+    place = (at << 20) | np.minimum(end - at, (1 << 20) - 1)
+    first = np.zeros(len(at), bool)
+    first[np.unique(ha, return_index=True)[1]] = True
+    return place[first], ha[first], hb[first], place[~first]
+
+
 def occurrences(docs: DataFrame, n_min: int, min_words: int) -> DataFrame:
-    """id, h (text hash), place (first sentence * 2**20 + number), ha, hb of every run."""
-    src = docs.select(F.col("doc_id").cast("long").alias("id"), F.hash("text").alias("h"), F.col("text").cast("binary").alias("text"))
+    """id (null: the largest), h (text hash), place (first sentence * 2**20 + number), ha, hb: each run once a document."""
+    last = F.lit((1 << 63) - 1)
+    src = docs.select(F.coalesce(F.col("doc_id").cast("long"), last).alias("id"), F.hash("text").alias("h"), F.col("text").cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             parts, lens = [], []
             for t in b.column(2).to_pylist():
-                got = runs(*sentences(t)[1:], n_min, min_words) if t else None
+                got = own_runs(*sentences(t)[1:], n_min, min_words)[:3] if t else None
                 lens.append(len(got[0]) if got else 0)
                 if got:
-                    parts.append(((got[0] << 20) | np.minimum(got[1] - got[0], (1 << 20) - 1), got[2], got[3]))
+                    parts.append(got)
             if parts:
                 row = pa.array(np.repeat(np.arange(b.num_rows), lens))
                 cols = [pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)]
@@ -110,23 +121,26 @@ def occurrences(docs: DataFrame, n_min: int, min_words: int) -> DataFrame:
 
 
 def repeated(docs: DataFrame, n_min: int = SENTENCES, min_words: int = MIN_WORDS) -> DataFrame:
-    """id, h, places: the repeated runs of each document that has any."""
-    order = F.coalesce(F.col("id"), F.lit((1 << 63) - 1)).cast("decimal(20,0)") * F.lit(1 << 60).cast("decimal(19,0)") + F.col("place")
-    occ = occurrences(docs, n_min, min_words).withColumn("at", order.cast("decimal(38,0)"))
-    first = occ.groupBy("ha", "hb").agg(F.min("at").alias("first"), F.max("at").alias("last")).filter("first < last").select("ha", "hb", "first")
-    again = occ.join(first, ["ha", "hb"]).filter("at > first")
+    """id, h, places: the runs of each document that a document of smaller id holds too."""
+    occ = occurrences(docs, n_min, min_words)
+    first = occ.groupBy("ha", "hb").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").select("ha", "hb", "first")
+    first = common.materialize(first, "span-first")
+    again = occ.join(first, ["ha", "hb"]).filter("id > first")
     return again.groupBy("id", "h").agg(F.collect_list("place").alias("places"))
 
 
 FIELDS = T.StructType([T.StructField("n_sentences", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
 
 
-def remove(text: bytes | None, places: list[int] | None) -> tuple[int, int, str | None]:
+def remove(text: bytes | None, places: list[int] | None, n_min: int, min_words: int) -> tuple[int, int, str | None]:
     """(sentences, sentences removed, text left)"""
     if text is None:
         return 0, 0, None
-    bounds, said, _ = sentences(text)
+    bounds, said, counts = sentences(text)
     n = len(said)
+    places = list(places or ())
+    if len(set(said)) < n:
+        places += own_runs(said, counts, n_min, min_words)[3].tolist()
     if not places:
         return n, 0, text.decode()
     gone = np.zeros(n + 1, np.int64)
@@ -142,14 +156,14 @@ def clean_rows(docs: DataFrame, keep: list[str], n_min: int = SENTENCES, min_wor
     common.tune(docs.sparkSession)
     found = repeated(docs, n_min, min_words).select(F.col("id").alias("__id"), F.col("h").alias("__h"), F.col("places").alias("__places"))
     left = docs.withColumn("__h2", F.hash("text"))
-    both = left.join(found, left["doc_id"].cast("long").eqNullSafe(found["__id"]) & (left["__h2"] == found["__h"]), "left")
+    both = left.join(found, (F.coalesce(left["doc_id"].cast("long"), F.lit((1 << 63) - 1)) == found["__id"]) & (left["__h2"] == found["__h"]), "left")
     src = both.select(*[left[c] for c in keep], "__places", left["text"].cast("binary").alias("__text"))
     schema = T.StructType([*(docs.schema[c] for c in keep), *(T.StructField("__" + f.name, f.dataType) for f in FIELDS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                rows = [remove(t, p) for p, t in zip(b.column(len(keep)).to_pylist(), b.column(len(keep) + 1).to_pylist(), strict=True)]
+                rows = [remove(t, p, n_min, min_words) for p, t in zip(b.column(len(keep)).to_pylist(), b.column(len(keep) + 1).to_pylist(), strict=True)]
                 n, gone, kept = zip(*rows, strict=True)
                 new = [pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())]
                 yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *new], names=schema.names)
