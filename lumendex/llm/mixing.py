@@ -65,10 +65,8 @@ def mix(docs: DataFrame, weights: DataFrame, size: float = 1.0, seed: str = SEED
     joined = docs.join(table, docs["source"].eqNullSafe(table["__source"]))
     key = F.concat_ws(":", F.coalesce(docs["doc_id"].cast("string"), F.lit("null")), F.md5(F.coalesce(docs["text"], F.lit(""))))
     keyed = joined.withColumn("__key", key)
-    draw = F.aggregate(
-        F.sequence(F.lit(1), F.col("__pieces")), F.lit(0),
-        lambda acc, j: acc + F.size(F.filter("__cdf", lambda c: c <= uniform(F.concat(F.lit(seed + "/"), j.cast("string")), F.col("__key")))),
-    )
+    numbers = F.transform(F.sequence(F.lit(1), F.col("__pieces")), lambda j: uniform(F.concat(F.lit(seed + "/"), j.cast("string")), F.col("__key")))
+    draw = F.aggregate(numbers, F.lit(0), lambda total, u: total + F.size(F.filter("__cdf", lambda c: c <= u)))
     copies = keyed.withColumn("__copies", draw).filter("__copies > 0")
     each = copies.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("__copies") - 1)))
     each = each.withColumn("mix_key", F.md5(F.concat_ws(":", F.lit(seed + "/order"), "__key", F.col("copy").cast("string"))))
