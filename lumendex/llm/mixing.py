@@ -17,11 +17,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumendex.llm import common
+
 SEED = "mix-1"
 #: Largest mean drawn by one inversion; its table of the distribution has TERMS entries.
 PIECE, TERMS = 8.0, 64
 #: Sources weigh by their size to this power in the default target (1: as they are, 0: all alike).
 TEMPERATURE = 0.5
+#: Up to so many sources (a row of TERMS doubles each, 5 MB in all) their table is broadcast.
+BROADCAST_SOURCES, SALTS = 8192, 64
 
 
 def temperature_weights(docs: DataFrame, power: float = TEMPERATURE) -> DataFrame:
@@ -61,9 +65,14 @@ def mix(docs: DataFrame, weights: DataFrame, size: float = 1.0, seed: str = SEED
     table = rates(docs, weights, size)
     table = table.withColumn("__pieces", F.greatest(F.lit(1), F.ceil(F.col("rate") / PIECE)).cast("int"))
     table = table.withColumn("__cdf", distribution(F.col("rate") / F.col("__pieces")))
-    table = table.select(F.col("source").alias("__source"), "__pieces", "__cdf")
-    joined = docs.join(table, docs["source"].eqNullSafe(table["__source"]))
-    key = F.concat_ws(":", F.coalesce(docs["doc_id"].cast("string"), F.lit("null")), F.md5(F.coalesce(docs["text"], F.lit(""))))
+    table = common.materialize(table.select(F.col("source").alias("__source"), "__pieces", "__cdf"), "mix-rates")
+    if table.count() <= BROADCAST_SOURCES:
+        joined = docs.join(F.broadcast(table), docs["source"].eqNullSafe(table["__source"]))
+    else:  # too many sources to broadcast: salt the documents, so that a large source is dealt out
+        salted = docs.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "text"), F.lit(SALTS)).cast("int"))
+        table = table.withColumn("__salts", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = salted.join(table, salted["source"].eqNullSafe(table["__source"]) & (salted["__salt"] == table["__salts"]))
+    key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.md5(F.coalesce(F.col("text"), F.lit(""))))
     keyed = joined.withColumn("__key", key)
     numbers = F.transform(F.sequence(F.lit(1), F.col("__pieces")), lambda j: uniform(F.concat(F.lit(seed + "/"), j.cast("string")), F.col("__key")))
     draw = F.aggregate(numbers, F.lit(0), lambda total, u: total + F.size(F.filter("__cdf", lambda c: c <= u)))
