@@ -49,8 +49,13 @@ _U = np.uint64
 _C = [_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
+#: Low bits of a hash that give way to its place, to tell equal hashes of one window apart.
+_PLACE = _U((1 << 16) - 1)
+
+
 def buckets(text: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """(bounds, keys): windows [bounds[j], bounds[j + 1]) of a byte array lie in bucket keys[j]."""
+    """(bounds, keys): windows [bounds[j], bounds[j + 1]) of a byte array lie in bucket keys[j] and have its
+    smallest hash at one and the same place, so windows of one segment all differ."""
     if len(text) < length:
         return np.zeros(1, np.int64), np.zeros(0, np.int64)
     h = text.astype(_U) * _C[0]
@@ -63,7 +68,7 @@ def buckets(text: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndar
     h = h[: len(eight) - 16] * _C[1] + eight[16:]
     h ^= h >> _U(31)
     h *= _C[0]
-    h ^= h >> _U(32)
+    h = (h & ~_PLACE) | (np.arange(len(h), dtype=_U) & _PLACE)
     span = length - GRAM + 1
     width = 1
     while width * 2 <= span:
@@ -72,7 +77,7 @@ def buckets(text: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndar
     if span > width:
         h = np.minimum(h[: len(h) - (span - width)], h[span - width :])
     bounds = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1], [True])))
-    return bounds, h[bounds[:-1]].view(np.int64)
+    return bounds, (h[bounds[:-1]] & ~_PLACE).view(np.int64)
 
 
 class RunIndex:
@@ -314,9 +319,8 @@ def _index(length: int, block_bytes: int, bucket_bytes: int):
             nonlocal n_block
             if len(bucket) == 1:
                 ((s, (i, p)),) = bucket.items()
-                if len(s) < 2 * length:  # a longer one may repeat itself
-                    alone.append((i, p, len(s) - length + 1))
-                    return
+                alone.append((i, p, len(s) - length + 1))
+                return
             block.extend((i, p, s) for s, (i, p) in bucket.items())
             n_block += n_bucket
 
