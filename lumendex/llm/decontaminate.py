@@ -118,8 +118,8 @@ def char_spans(text: bytes, spans: list[list[int]]) -> list[tuple[int, int]]:
 
 _SPAN = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 FIELDS = T.StructType([
-    T.StructField("n_words", T.LongType()), T.StructField("word_spans", _SPAN), T.StructField("char_spans", _SPAN),
-    T.StructField("item_ids", T.ArrayType(T.StringType())),
+    T.StructField("__n_words", T.LongType()), T.StructField("__word_spans", _SPAN), T.StructField("__char_spans", _SPAN),
+    T.StructField("__item_ids", T.ArrayType(T.StringType())),
 ])
 
 
@@ -137,8 +137,8 @@ def scan(
     docs: DataFrame, benchmark: DataFrame, *, keep: list[str], text_col: str = "text", item_id: str = "item_id",
     item_text: str = "text", window: int = WINDOW, automaton_bytes: int = AUTOMATON_BYTES,
 ) -> DataFrame:
-    """``keep`` columns plus n_words, word_spans (first and last word of each hit run), char_spans
-    (offsets in the original text) and item_ids (items with occurring windows, sorted as strings)."""
+    """``keep`` columns plus __n_words, __word_spans (first and last word of each hit run), __char_spans
+    (offsets in the original text) and __item_ids (items with occurring windows, sorted as strings)."""
     spark = docs.sparkSession
     common.tune(spark)
     table = common.materialize(_window_table(benchmark, item_id, item_text, window), "bench-windows")
@@ -158,10 +158,10 @@ def scan(
                 out = {f.name: [] for f in FIELDS}
                 for t in texts:
                     n, spans, items = machine.scan(t)
-                    out["n_words"].append(n)
-                    out["word_spans"].append([{"start": a, "end": b} for a, b in spans])
-                    out["char_spans"].append([{"start": a, "end": b} for a, b in char_spans(t or b"", spans)])
-                    out["item_ids"].append(sorted(items))
+                    out["__n_words"].append(n)
+                    out["__word_spans"].append([{"start": a, "end": b} for a, b in spans])
+                    out["__char_spans"].append([{"start": a, "end": b} for a, b in char_spans(t or b"", spans)])
+                    out["__item_ids"].append(sorted(items))
                 return out
 
             return fn
@@ -178,34 +178,34 @@ def scan(
     for p in parts[1:]:
         whole = whole.unionByName(p)
     found = whole.groupBy("__id", "__h").agg(
-        F.max("n_words").alias("n_words"), F.flatten(F.collect_list("word_spans")).alias("word_spans"),
-        F.flatten(F.collect_list("char_spans")).alias("char_spans"),
-        F.sort_array(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"),
+        F.max("__n_words").alias("__n_words"), F.flatten(F.collect_list("__word_spans")).alias("__word_spans"),
+        F.flatten(F.collect_list("__char_spans")).alias("__char_spans"),
+        F.sort_array(F.array_distinct(F.flatten(F.collect_list("__item_ids")))).alias("__item_ids"),
     )
     merge = F.udf(lambda spans: _merge([[x["start"], x["end"]] for x in spans]), _SPAN)
     left = docs.select(*[docs[c] for c in keep], *common.row_key(keep[0], text_col))
     joined = left.join(found, common.same_key(left, found), "left")
     return joined.select(
-        *[left[c] for c in keep], "n_words", merge("word_spans").alias("word_spans"),
-        merge("char_spans").alias("char_spans"), "item_ids",
+        *[left[c] for c in keep], "__n_words", merge("__word_spans").alias("__word_spans"),
+        merge("__char_spans").alias("__char_spans"), "__item_ids",
     )
 
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, **kw) -> DataFrame:
     """The digest of a scan: one row a document row."""
     hits = scan(docs, benchmark, keep=["doc_id"], window=window, **kw)
-    n_hit = F.aggregate("word_spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"] + 1)
+    n_hit = F.aggregate("__word_spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"] + 1)
     return hits.select(
-        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"),
-        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.size("item_ids") > 0).alias("contaminated"),
-        "char_spans",
+        "doc_id", F.col("__n_words").alias("n_words"), n_hit.alias("n_hit"), F.size("__item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join("__item_ids", ","), 256).alias("items_sha256"), (F.size("__item_ids") > 0).alias("contaminated"),
+        F.col("__char_spans").alias("char_spans"),
     )
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
     """The documents without any occurring window, with their own columns."""
     hits = scan(docs, benchmark, keep=docs.columns, **kw)
-    return hits.filter(F.size("item_ids") == 0).select(*docs.columns)
+    return hits.filter(F.size("__item_ids") == 0).select(*docs.columns)
 
 
 def digest_of(items: list[str]) -> str:

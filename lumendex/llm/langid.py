@@ -162,6 +162,8 @@ def train(docs: DataFrame, learn: Column, max_rows: int = MAX_ROWS):
         yield pa.RecordBatch.from_pydict({"w": [w.astype(np.float32).tobytes()], "b": [b0.tobytes()], "t": [t]})
 
     got = one.mapInArrow(learn_all, _FIT).first()
+    if got is None:  # no text to learn from has a letter
+        return [], None, None, None, 1.0
     w = np.frombuffer(bytes(got["w"]), np.float32).reshape(len(langs), -1)
     return langs, idf, w, np.frombuffer(bytes(got["b"])), got["t"]
 

@@ -74,7 +74,7 @@ def fit(rows: list[tuple[np.ndarray, int]], prior: float, bits: int = HASH_BITS,
     """(coordinates, weights, intercept) from (distinct coordinates, label) rows."""
     share = sum(y for _, y in rows) / max(1, len(rows))
     if share in (0.0, 1.0):
-        return np.zeros(0, np.int64), np.zeros(0), float(np.log((prior + 1e-6) / (1 - prior + 1e-6)))
+        return np.zeros(0, np.int32), np.zeros(0), float(np.log((prior + 1e-6) / (1 - prior + 1e-6)))
     model = Ftrl(1 << bits, 1, penalty)
     for _ in range(epochs):
         for idx, y in rows:
@@ -98,7 +98,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, max_rows: int = MAX
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
     counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if not counts:
-        return np.zeros(0, np.int64), np.zeros(0), -40.0
+        return np.zeros(0, np.int32), np.zeros(0), -40.0
     prior = counts.get(1, 0) / sum(counts.values())
     spot = F.pmod(F.xxhash64(F.lit("toxicity sample"), "doc_id"), F.lit(1 << 20))
     rate = F.when(F.col("y") == 1, min(1, max_rows / counts.get(1, 1))).otherwise(min(1, max_rows / counts.get(0, 1)))
@@ -121,6 +121,8 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, max_rows: int = MAX
         yield pa.RecordBatch.from_pydict({"at": [at.astype(np.int32).tobytes()], "w": [w.tobytes()], "b": [bias]})
 
     got = one.mapInArrow(learn_all, _FIT).first()
+    if got is None:  # no labelled document is there
+        return fit([], prior)
     return np.frombuffer(bytes(got["at"]), np.int32), np.frombuffer(bytes(got["w"])), got["b"]
 
 
