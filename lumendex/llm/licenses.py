@@ -1,6 +1,6 @@
 """License scans: sparse TF-IDF cosine of headers and licence files to templates, inherited by path.
 
-Tokens are lower-cased runs of ASCII letters and digits (dots inside numbers kept). A text is cut into
+Tokens are lower-cased runs of digits, letters and non-ASCII characters. A text is cut into
 sentences and lines; those that hold a cue (a template token that is not a common word) form spans, alone
 and joined with their cue-bearing neighbours. A span's TF-IDF vector is compared with the templates'; the best
 cosine of at least ``min_cosine`` names the document's licence. Document frequencies of the template tokens
@@ -56,13 +56,12 @@ TEMPLATES = {
 COMMON_WORDS = frozenset("a all and any by code except file form free if in into is may not of source subject terms the this to under use v with work you 2 3 international".split())
 LICENCE_FILE = r"(?i)^(licen[cs]e|copying|notice)([-._].*)?$"
 
-_TOKEN = re.compile(rb"[a-z0-9]+(?:\.[0-9]+)*")
 _UNIT = re.compile(rb"[.!?;]\s+|\n\s*")
-_FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 or b == 46 else 32 for b in range(256))
+_FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
 def tokens(text: bytes) -> list[bytes]:
-    return _TOKEN.findall(text.lower())
+    return text.translate(_FOLD).split()
 
 
 class Scanner:
@@ -85,8 +84,7 @@ class Scanner:
 
     def present(self, text: bytes) -> set[bytes]:
         """Template tokens of a whole text."""
-        words = {w.strip(b".") for w in text.translate(_FOLD).split()}
-        return words.intersection(self.vocabulary)
+        return set(tokens(text)).intersection(self.vocabulary)
 
     def best(self, text: bytes | None) -> tuple[str | None, float, int, int]:
         """(licence, cosine, first byte, end) of the best span."""
