@@ -29,14 +29,17 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+def materialize(df: DataFrame, tag: str, release: bool = False) -> DataFrame:
     """Write df to a scratch table in the shared folder and read it back: it cuts the lineage and
-    survives lost executors. The folder goes when the application ends."""
+    survives lost executors. The folder goes when the application ends. With release, the driver is
+    asked to collect garbage, on which Spark deletes the shuffle files that made the table."""
     spark = df.sparkSession
     path = f"{shared_root(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
+    if release:
+        spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -124,7 +124,7 @@ def repeated(docs: DataFrame, n_min: int = SENTENCES, min_words: int = MIN_WORDS
     """id, h, places: the runs of each document that a document of smaller id holds too."""
     occ = occurrences(docs, n_min, min_words)
     first = occ.groupBy("ha", "hb").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").select("ha", "hb", "first")
-    first = common.materialize(first, "span-first")
+    first = common.materialize(first, "span-first", release=True)
     again = occ.join(first, ["ha", "hb"]).filter("id > first")
     return again.groupBy("id", "h").agg(F.collect_list("place").alias("places"))
 

@@ -440,14 +440,14 @@ def dedup(
     grp = lambda: F.pmod(F.xxhash64("id"), F.lit(n_groups)).cast("int")
     counted = src.select(grp().alias("grp"), "text").mapInArrow(_count(length), "key long, said long")
     told = counted.repartition("key").sortWithinPartitions("key", "said").mapInArrow(_repeated, "grp int, key long")
-    told = common.materialize(told, "suffix-keys")
+    told = common.materialize(told, "suffix-keys", release=True)
     null = lambda kind: F.lit(None).cast(kind)
     keys = told.select("grp", F.lit(0).alias("kind"), "key", null("long").alias("id"), null("long").alias("pos"), null("long").alias("n"), null("binary").alias("text"))
     rows = src.select(grp().alias("grp"), F.lit(2).alias("kind"), null("long").alias("key"), "id", null("long").alias("pos"), null("long").alias("n"), "text")
     deal = lambda df: df.repartition("grp").sortWithinPartitions("grp", "kind")
     segments = deal(keys.unionByName(rows)).mapInArrow(_segments(length), "key long, id long, pos long, seg binary")
     in_order = segments.repartition("key").sortWithinPartitions("key", "id", "pos")
-    found = common.materialize(in_order.mapInArrow(_index(length, block_bytes, bucket_bytes), "id long, pos long, n long, seg binary"), "suffix-first")
+    found = common.materialize(in_order.mapInArrow(_index(length, block_bytes, bucket_bytes), "id long, pos long, n long, seg binary"), "suffix-first", release=True)
     big = found.filter("seg is not null").select("id", "pos", "seg").mapInArrow(_window_hashes(length), "w0 long, w1 long, id long, pos long")
     big = big.groupBy("w0", "w1").agg(F.min(F.struct("id", "pos")).alias("m")).select("m.id", "m.pos", F.lit(1).cast("long").alias("n"))
     firsts = found.filter("seg is null").select("id", "pos", "n").unionByName(big)
