@@ -6,14 +6,16 @@ the chunk and file tables.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from lumendex.functions import vectors
 from lumendex.functions.paths import glob_match, glob_regex
 
 OVERFETCH, RETRY_OVERFETCH = 10, 20
@@ -42,10 +44,36 @@ def check_limit(limit: int) -> int:
     return limit
 
 
+def scored(table: DataFrame, query: Sequence[float], key: str = "chunk_hash", vector: str = "embedding") -> DataFrame:
+    """key and score of every row with a vector. Whole Arrow batches are scored by one matrix product, as
+    array functions of the JVM are interpreted row by row; products run over the shorter length."""
+    q = np.asarray(query, np.float64)
+    schema = T.StructType([table.schema[key], T.StructField("score", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            b = b.filter(b.column(1).is_valid())
+            n, lists = b.num_rows, b.column(1)
+            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            if len(flat) == n * len(q) and np.all(np.diff(lists.offsets.to_numpy()) == len(q)):
+                v = flat.reshape(n, len(q))
+            else:
+                v = np.zeros((n, max(len(q), 1 if not n else int(np.diff(lists.offsets.to_numpy()).max(initial=1)))))
+                for i, row in enumerate(lists.to_pylist()):
+                    v[i, : len(row)] = row
+            k = min(len(q), v.shape[1])
+            norms = np.sqrt((v * v).sum(axis=1)) * np.sqrt(q @ q)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                cosine = (v[:, :k] @ q[:k]) / norms
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.clip(cosine, 0, 1))], names=[key, "score"])
+
+    return table.select(key, vector).mapInArrow(run, schema)
+
+
 def knn(table: DataFrame, query: Sequence[float], k: int, key: str = "chunk_hash", vector: str = "embedding") -> DataFrame:
-    """key and score of the k rows nearest by cosine; ties by key."""
-    scored = table.select(key, vectors.score(vectors.cosine(F.col(vector), vectors.literal(query))).alias("score"))
-    return scored.orderBy(F.desc("score"), key).limit(k)
+    """key and score of the k rows nearest by cosine; ties by key. A zero vector has no direction and is left out."""
+    found = scored(table, query, key, vector).filter(~F.isnan("score"))
+    return found.orderBy(F.desc("score"), key).limit(k)
 
 
 def in_context(vectors_table: DataFrame, chunks: DataFrame, files: DataFrame, context_id: str) -> DataFrame:
