@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
@@ -39,7 +40,9 @@ def materialize(df: DataFrame, tag: str, release: bool = False) -> DataFrame:
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
     if release:
-        spark._jvm.System.gc()
+        for _ in range(2):  # the first collection only makes the shuffles unreachable
+            spark._jvm.System.gc()
+            time.sleep(0.2)
     return spark.read.schema(df.schema).parquet(path)
 
 
