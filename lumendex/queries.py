@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumendex.functions import paths, text, vectors
+from lumendex.operators import lookups
 from lumendex.operators import maintenance as m
 from lumendex.operators import search
 
@@ -364,3 +365,77 @@ def union_targets_dedup(spark, sf_dir):
 def rebuild_contexts(spark, sf_dir):
     kept = read(spark, sf_dir, "documents").select(F.col("lang").alias("context_id"))
     return kept.unionByName(spark.createDataFrame([(".",), ("en",)], "context_id string")).distinct()
+
+
+@query(f"WITH {_L} SELECT DISTINCT file_path, ordinal FROM l WHERE chunk_hash = (SELECT min(chunk_hash) FROM l)")
+def find_by_chunk_hash(spark, sf_dir):
+    lines = _lines(spark, sf_dir)
+    return lookups.by_chunk_hash(lines, lines.agg(F.min("chunk_hash")).first()[0]).select("file_path", "ordinal").distinct()
+
+
+@query(f"WITH {_L} SELECT ordinal, chunk_hash FROM l WHERE file_path = 'src0/docs/fr/0.md' OR file_hash = (SELECT file_hash FROM f WHERE file_path = 'src0/docs/fr/0.md')")
+def find_by_file_path(spark, sf_dir):
+    return lookups.by_path(_lines(spark, sf_dir), _files(spark, sf_dir), "src0/docs/fr/0.md").select("ordinal", "chunk_hash")
+
+
+@query(f"WITH {_L} SELECT DISTINCT chunk_hash FROM l WHERE chunk_hash = (SELECT max(chunk_hash) FROM l)")
+def find_by_id(spark, sf_dir):
+    lines = _lines(spark, sf_dir)
+    uuid = lines.agg(F.max("chunk_hash").alias("h")).select(text.uuid_of_hash(F.col("h"))).first()[0]
+    return lookups.by_id(lines, uuid).select("chunk_hash").distinct()
+
+
+@query(f"WITH {_F} SELECT file_path, mtime AS seconds FROM f WHERE context_id = 'de'")
+def context_files(spark, sf_dir):
+    files = _files(spark, sf_dir).withColumn("mtime_ns", F.col("mtime") * 1_000_000_000)
+    return lookups.files_of(files, "de")
+
+
+@query("SELECT o_orderkey AS image, CASE WHEN o_orderkey % 3 = 0 THEN sum(l_quantity::BIGINT) ELSE 100 + sum(l_partkey) END::BIGINT AS size_bytes FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey")
+def image_sizes(spark, sf_dir):
+    """Orders as images: their lines are manifests for every third order, else layers beside a configuration of 100 bytes."""
+    lines = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.col("l_quantity").cast("long")).alias("m"), F.collect_list("l_partkey").alias("l"))
+    images = read(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+    manifests = F.when(F.col("o_orderkey") % 3 == 0, F.col("m")).otherwise(F.array().cast("array<bigint>"))
+    return images.select(F.col("o_orderkey").alias("image"), lookups.image_size(manifests, F.lit(100), F.col("l")).alias("size_bytes"))
+
+
+@query("SELECT * FROM (VALUES (1500000, '1.5 MB', 'just now'), (2500000000, '2.5 GB', '3d ago'), (3900, '0.0 MB', '1h ago')) t(n, size, age)")
+def humanize(spark, sf_dir):
+    rows = spark.createDataFrame([(1500000, 5), (2500000000, 3 * 86400 + 5), (3900, 3900)], "n long, s long")
+    return rows.select("n", lookups.human_bytes(F.col("n")).alias("size"), lookups.human_age(F.col("s")).alias("age"))
+
+
+@query(f"WITH {_Q}, {_HITS.format(k=50)} {_GROUP.format(n=5).replace('SELECT file_path, round(max(s), 6) AS best_score, count(*) AS match_count', 'SELECT file_path, count(*) AS match_count')}")
+def json_sink(spark, sf_dir):
+    rows = search.to_json_rows(search.group_by_file(_file_hits(spark, sf_dir, 50), 5))
+    parsed = rows.select(F.from_json("json", "file_path string, match_count long").alias("j"))
+    return parsed.select("j.file_path", "j.match_count")
+
+
+_CODE = {
+    "r/a.md": ("markdown", "# A\nbody\n## B\nmore words\n"), "r/b.rs": ("rust_doc", "/// Adds.\npub fn add() {}\n/// Hides.\nfn hide() {}\n"), "r/c.go": ("go_doc", "package c\n\n// Far goes.\nfunc Far() {}\n"),
+    "r/d.c": ("c_doc", "/* Sum. */\nint sum(int a) { return a; }\n"), "r/e.sh": ("shell_doc", "#!/bin/sh\n# Runs.\nrun() {\n:\n}\n"), "r/f.ts": ("js_doc", "/** Adds. */\nexport function add() {}\n"),
+    "r/g.java": ("java_doc", "/** Klass. */\npublic class G {}\n"), "r/h.kt": ("kotlin_doc", "/** Thing. */\nobject H {}\n"),
+}
+
+
+@query("""SELECT * FROM (VALUES ('r/a.md', 0, '# A' || chr(10) || 'body'), ('r/a.md', 1, '## B' || chr(10) || 'more words'), ('r/b.rs', 0, 'Adds.'), ('r/c.go', 0, 'Far goes.'), ('r/d.c', 0, 'Sum.'),
+('r/e.sh', 0, 'Runs.'), ('r/f.ts', 0, 'Adds.'), ('r/f.ts', 1, 'Adds.'), ('r/g.java', 0, 'Klass.'), ('r/h.kt', 0, 'Thing.')) t(file_path, ordinal, content)""")
+def chunk_languages(spark, sf_dir):
+    """Every chunker on a literal file of its language, each with its default filter. The first comment of f.ts is module and item doc."""
+    from lumendex.operators.chunkers import chunk_files
+
+    rows = [(text_hash, "r", p, kind, 0, body) for p, (kind, body) in _CODE.items() for text_hash in [p]]
+    files = spark.createDataFrame(rows, "file_hash string, repo_name string, file_path string, file_type string, last_modified long, content string")
+    return chunk_files(files).select("file_path", "ordinal", "content")
+
+
+@query()
+def embed_documents(spark, sf_dir):
+    """The default embedder over the distinct chunks of all documents (not expressible in SQL)."""
+    from lumendex.operators.embedding import HashingEmbedder, embed_chunks
+
+    owners = m.first_owner(_lines(spark, sf_dir).select("chunk_hash", "file_path", "ordinal", "content"))
+    vectors_of = embed_chunks(owners, HashingEmbedder(64))
+    return vectors_of.select("chunk_hash", F.size("embedding").alias("dimension"), F.round(vectors.magnitude(F.col("embedding")), 3).alias("magnitude"))

@@ -6,7 +6,6 @@ import time
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from lumendex.functions import paths
 from lumendex.operators import embedding, search
@@ -189,7 +188,7 @@ def test_named_queries_match_their_sql(spark):
     from lumendex import queries
 
     sf, con = "/root/testdata/sf0.001", duckdb.connect()
-    for t in ("documents", "embeddings", "events", "part"):
+    for t in ("documents", "embeddings", "events", "part", "orders", "lineitem"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     for name, sql in queries.ORACLES.items():
         df = queries.QUERIES[name](spark, sf)
@@ -199,4 +198,19 @@ def test_named_queries_match_their_sql(spark):
         got = sorted((tuple(r[c] for c in cols) for r in df.collect()), key=repr)
         want = sorted((tuple(r[rel.columns.index(c)] for c in cols) for r in rel.fetchall()), key=repr)
         assert repr(got) == repr(want) or all(x == pytest.approx(y) if isinstance(x, float) else x == y for g, w in zip(got, want, strict=True) for x, y in zip(g, w, strict=True)), name
-    assert F is not None
+
+
+def test_git_data_source(spark, tmp_path):
+    from lumendex.sources.datasource import GitSource
+
+    work, bare = tmp_path / "w", tmp_path / "bare"
+    write(work, **{"a.md": "# A\nwords", "b.md": b"\xff"})
+    run = lambda *a: subprocess.run(["git", "-c", "user.name=t", "-c", "user.email=t@t", "-C", str(work), *a], check=True, capture_output=True)
+    run("init", "-q")
+    run("add", ".")
+    run("commit", "-qm", "x")
+    bare.mkdir()
+    subprocess.run(["git", "clone", "-q", "--bare", str(work), str(bare / "r.git")], check=True, capture_output=True)
+    spark.dataSource.register(GitSource)
+    rows = {r.file_path: r for r in spark.read.format("lumendex_git").option("path", str(bare)).load().collect()}
+    assert rows["r/a.md"].content == "# A\nwords" and rows["r/b.md"].error
