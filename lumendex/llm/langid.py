@@ -34,8 +34,9 @@ MAX_ROWS = 4000
 EPOCHS = 5
 PENALTY = Penalty(alpha=5.0, beta=1.0, l1=0.3, l2=0.01)
 UNKNOWN = "und"
-#: The pipeline rejects documents whose calibrated score is below this, besides ``und``.
-MIN_SCORE = 0.5
+#: The pipeline rejects documents whose calibrated score is below this, besides ``und``: a text half in one language and
+#: half in another stays, one that resembles three or more alike goes.
+MIN_SCORE = 0.4
 
 _MIX = [np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)]
 _letters: list[np.ndarray] = []
