@@ -333,8 +333,10 @@ def near_duplicates(docs: DataFrame, budget: int = BUDGET, group_rows: int = GRO
 def keep_one(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
     """One document of each component stays: its first by id (null ids last), then by text hash.
     Rows repeated with the same id and text count as copies: one of them stays."""
-    first = classes(_prints(docs), budget).select("first").distinct()
-    keep = first.select(F.col("first.doc_id").alias("__id"), F.col("first.__h").alias("__h"))
-    keyed = docs.withColumns({"__id": F.col("doc_id"), "__h": F.xxhash64("text")})
-    kept = keyed.join(keep, common.same_key(keyed, keep), "left_semi")
-    return kept.dropDuplicates(["__id", "__h"]).select(*docs.columns)
+    first = classes(_prints(docs), budget).select("first.*").distinct()
+    # Plain equality on the same three keys, so that the join and the de-duplication share one shuffle of the texts.
+    key = {"__none": F.col("doc_id").isNull(), "__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0))}
+    keys = [*key, "__h"]
+    keep = first.withColumns(key).select(*keys)
+    keyed = docs.withColumns(key | {"__h": F.xxhash64("text")})
+    return keyed.join(keep, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)
