@@ -113,7 +113,15 @@ def char_spans(text: bytes, spans: list[list[int]]) -> list[tuple[int, int]]:
         return []
     wanted = {i for s in spans for i in s}
     at = {i: m.span() for i, m in enumerate(_WORD.finditer(text)) if i in wanted}
-    return [(len(text[: at[a][0]].decode()), len(text[: at[b][1]].decode())) for a, b in spans]
+    out, byte, char = [], 0, 0
+    for a, b in spans:  # ascending, so each stretch of the text is decoded once
+        pair = []
+        for end in (at[a][0], at[b][1]):
+            char += len(text[byte:end].decode())
+            byte = end
+            pair.append(char)
+        out.append((pair[0], pair[1]))
+    return out
 
 
 _SPAN = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
