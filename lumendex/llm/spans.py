@@ -1,8 +1,9 @@
 """Substring dedup by sliding sentence spans.
 
 A text is cut into sentences (after ``.``, ``!`` or ``?`` and white space, and after line ends). A
-sentence of more than ``LONG`` words is cut further after every word whose CRC-32 is a multiple of
-``CUT``, so that a passage is cut alike wherever it stands. From each sentence the shortest run of at
+sentence of more than ``LONG`` words is winnowed: it is cut further after the word of smallest CRC-32
+of every ``CUT`` consecutive words (of equal ones the last). So any ``CUT`` words hold a cut, and a
+passage is cut alike wherever it stands, but for ``CUT`` - 1 words at its ends. From each sentence the shortest run of at
 least ``sentences`` sentences and ``min_words`` words is hashed, lower-cased and with single blanks.
 Runs are joined globally; every run but the first one (smallest document id, then place) is repeated,
 and the sentences it covers are removed. A document may end without enough words for a run.
@@ -31,7 +32,7 @@ from pyspark.sql import types as T
 from lumendex.llm import common
 
 SENTENCES, MIN_WORDS = 3, 20
-LONG, CUT = 16, 8
+LONG, CUT = 16, 12
 _END = re.compile(rb"[.!?]\s+|\n\s*")
 _WORD = re.compile(rb"\S+")
 _U = np.uint64
@@ -39,6 +40,24 @@ _BASE = (_U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F))
 _INVERSE = tuple(_U(pow(int(b), -1, 1 << 64)) for b in _BASE)
 
 
+def cuts(words: list[bytes], width: int = CUT) -> list[int]:
+    """Places of the words that are the smallest, by CRC-32, of some ``width`` consecutive ones; of equal ones the last counts."""
+    crc = list(map(zlib.crc32, words))
+    out, best = [], -1
+    for k in range(width - 1, len(crc)):
+        first = k - width + 1
+        if best < first:
+            best = first
+            for x in range(first + 1, k + 1):
+                if crc[x] <= crc[best]:
+                    best = x
+            out.append(best)
+        elif crc[k] <= crc[best]:
+            best = k
+            out.append(k)
+    return out
+
+
 def sentences(text: bytes) -> tuple[list[int], list[bytes], list[int]]:
     """(bounds, normalised sentences, word counts); sentence k is text[bounds[k]:bounds[k + 1]]."""
     bounds, said, counts = [0], [], []
@@ -52,12 +71,12 @@ def sentences(text: bytes) -> tuple[list[int], list[bytes], list[int]]:
             continue  # leading white space joins the next sentence
         if len(words) > LONG:
             first = 0
-            for k, m in enumerate(_WORD.finditer(text, start, end)):
-                if zlib.crc32(words[k]) % CUT == 0 and k + 1 < len(words):
-                    bounds.append(m.end())
-                    said.append(b" ".join(words[first : k + 1]))
-                    counts.append(k + 1 - first)
-                    first = k + 1
+            word_ends = [m.end() for m in _WORD.finditer(text, start, end)]
+            for k in cuts(words[:-1]):
+                bounds.append(word_ends[k])
+                said.append(b" ".join(words[first : k + 1]))
+                counts.append(k + 1 - first)
+                first = k + 1
             words = words[first:]
         bounds.append(end)
         said.append(b" ".join(words))

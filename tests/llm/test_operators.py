@@ -382,6 +382,31 @@ def test_sentences_restore_the_text(corpus):
             assert bounds[0] == 0 and bounds[-1] == len(r.text.encode()) and b" ".join(said) == b" ".join(r.text.encode().lower().split())
 
 
+@pytest.mark.parametrize("width", [1, 3, 12])
+def test_cuts_are_the_last_smallest_of_each_window(width):
+    rng = random.Random(width)
+    for n in (0, 1, 2, width, 40, 200):
+        w = [rng.choice([b"the", b"and", b"of", b"%d" % rng.randrange(30)]) for _ in range(n)]
+        crc = [zlib.crc32(x) for x in w]
+        want = {min(range(k, k + width), key=lambda x: (crc[x], -x)) for k in range(n - width + 1)}
+        assert spans.cuts(w, width) == sorted(want)
+
+
+def test_long_passages_without_full_stops_are_found(spark):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choices("abcdefghij", k=rng.randint(2, 7)))
+    rows, passages = [], []
+    for p in range(30):
+        passages.append(" ".join(word() for _ in range(66)))
+        rows += [(10 * p + k, " ".join([*(word() for _ in range(rng.randint(0, 40))), passages[-1], *(word() for _ in range(rng.randint(0, 40)))])) for k in range(3)]
+    rows += [(1000, "the " * 300), (1001, "the " * 200), (1002, " ".join(word() for _ in range(300)))]
+    got = {r.doc_id: (r.n_removed, r.text) for r in spans.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for p in range(30):
+        assert got[10 * p] == (0, rows[3 * p][1])
+        assert all(got[10 * p + k][0] > 0 and passages[p] not in got[10 * p + k][1] for k in (1, 2))
+    assert got[1000][0] > 0 and got[1001][0] > 0 and got[1002] == (0, rows[-1][1])
+
+
 # -- pipeline ---------------------------------------------------------------------------------
 
 
