@@ -68,3 +68,9 @@ def sentences(text: Column) -> Column:
         return F.when(F.trim(line).rlike("^(#|[-*+] |[0-9]+\\. |>|\\||```)"), F.array(line)).otherwise(F.split(line, "(?<=[.!?])\\s+(?=[A-Z])"))
 
     return F.flatten(F.transform(F.split(text, "\\n", -1), keep))
+
+
+def html_blocks(html: Column, tags: tuple[str, ...] = ("h1", "p", "li")) -> Column:
+    """(tag, content) of the blocks of a page in order: the text that follows an opening tag, up to the next tag after it."""
+    blocks = F.regexp_extract_all(html, F.lit(f"<(?:{'|'.join(tags)})>(?:<[a-z][^>]*>)*[^<]+"), F.lit(0))
+    return F.transform(blocks, lambda x: F.struct(F.regexp_extract(x, "^<([a-z0-9]+)>", 1).alias("tag"), F.trim(F.regexp_replace(x, "<[^>]*>", "")).alias("content")))

@@ -431,6 +431,29 @@ def chunk_languages(spark, sf_dir):
     return chunk_files(files).select("file_path", "ordinal", "content")
 
 
+@query("""WITH b AS (SELECT page_id, regexp_extract_all(html, '<(?:h1|p|li)>(?:<[a-z][^>]*>)*[^<]+') AS b FROM pages),
+x AS (SELECT page_id, unnest(b) AS x, generate_subscripts(b, 1) - 1 AS ordinal FROM b)
+SELECT page_id, CAST(ordinal AS INT) AS ordinal, regexp_extract(x, '^<([a-z0-9]+)>', 1) AS tag, trim(regexp_replace(x, '<[^>]*>', '', 'g')) AS content FROM x""")
+def html_sections(spark, sf_dir):
+    """Headings, paragraphs and list items of raw pages, in order."""
+    blocks = read(spark, sf_dir, "pages").select("page_id", F.posexplode(text.html_blocks(F.col("html"))).alias("ordinal", "block"))
+    return blocks.select("page_id", "ordinal", "block.tag", "block.content")
+
+
+_GUIDE = "intro\n# A\ntext\n## B\nmore\n# C\n### D\ntail\n"
+
+
+@query("SELECT * FROM (VALUES (0, '', 'intro'), (1, 'A', '# A' || chr(10) || 'text'), (2, 'A > B', '## B' || chr(10) || 'more'), (3, 'C > D', '### D' || chr(10) || 'tail')) t(ordinal, headings, content)")
+def heading_sections(spark, sf_dir):
+    """Markdown sections with the headings above them; a heading without a body gives no section."""
+    from lumendex.operators.chunkers import chunk_files
+
+    files = spark.createDataFrame([("h", "r", "r/guide.md", "markdown", 0, _GUIDE)], "file_hash string, repo_name string, file_path string, file_type string, last_modified long, content string")
+    chunks = chunk_files(files)
+    above = F.from_json("context_data", "`heading-hierarchy` array<string>")
+    return chunks.select("ordinal", F.array_join(above["heading-hierarchy"], " > ").alias("headings"), "content")
+
+
 @query()
 def embed_documents(spark, sf_dir):
     """The default embedder over the distinct chunks of all documents (not expressible in SQL)."""

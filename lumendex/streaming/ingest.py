@@ -25,7 +25,7 @@ def file_stream(spark: SparkSession, folder: str, files_per_batch: int = 1000) -
 
 def entries(files: DataFrame, root: str) -> DataFrame:
     """Source rows of a binary file stream; paths are relative to root."""
-    rel = F.regexp_replace("path", f"^file:/*{root.strip('/')}/", "")
+    rel = F.regexp_replace("path", f"^file:/*\\Q{root.strip('/')}\\E/", "")
     rows = files.select(rel.alias("file_path"), F.unix_seconds("modificationTime").alias("last_modified"), F.col("content").alias("bytes"))
     rows = rows.withColumns({"repo_name": repo_name(F.col("file_path")), "file_type": file_type(F.col("file_path"))})
     return decode(rows).filter("file_type is not null")
