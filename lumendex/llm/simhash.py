@@ -333,7 +333,11 @@ def near_duplicates(docs: DataFrame, budget: int = BUDGET, group_rows: int = GRO
 def keep_one(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
     """One document of each component stays: its first by id (null ids last), then by text hash.
     Rows repeated with the same id and text count as copies: one of them stays."""
-    first = classes(_prints(docs), budget).select("first.*").distinct()
+    return keep_rows(docs, classes(_prints(docs), budget).select("first.*").distinct())
+
+
+def keep_rows(docs: DataFrame, first: DataFrame) -> DataFrame:
+    """The documents named in first (doc_id, __h), each once."""
     # Plain equality on the same three keys, so that the join and the de-duplication share one shuffle of the texts.
     key = {"__none": F.col("doc_id").isNull(), "__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0))}
     keys = [*key, "__h"]
