@@ -4,7 +4,8 @@ A text is cut into sentences (after ``.``, ``!`` or ``?`` and white space, and a
 sentence of more than ``LONG`` words is winnowed: it is cut further after the word of smallest CRC-32
 of every ``CUT`` consecutive words (of equal ones the last). So any ``CUT`` words hold a cut, and a
 passage is cut alike wherever it stands, but for ``CUT`` - 1 words at its ends. From each sentence the shortest run of at
-least ``sentences`` sentences and ``min_words`` words is hashed, lower-cased and with single blanks.
+least ``sentences`` sentences and ``min_words`` words is hashed, lower-cased and with single blanks, and
+so is the shortest one that ends at each sentence: together they cover every sentence of any longer run.
 Runs are joined globally; every run but the first one (smallest document id, then place) is repeated,
 and the sentences it covers are removed. A document may end without enough words for a run.
 
@@ -93,12 +94,14 @@ def _prefix(h: np.ndarray, k: int) -> np.ndarray:
 
 
 def runs(said: list[bytes], counts: list[int], n_min: int = SENTENCES, min_words: int = MIN_WORDS):
-    """(starts, ends, 64-bit hashes, 32-bit hashes) of the run that begins at each sentence, if any."""
+    """(starts, ends, 64-bit hashes, 32-bit hashes) of the shortest runs that begin and that end at each sentence, by place."""
     n = len(said)
     words = np.concatenate(([0], np.cumsum(counts))).astype(np.int64)
     end = np.maximum(np.arange(n) + n_min, np.searchsorted(words, words[:-1] + min_words))
-    ok = end <= n
-    at, end = np.flatnonzero(ok), end[ok]
+    start = np.minimum(np.arange(1, n + 1) - n_min, np.searchsorted(words, words[1:] - min_words, side="right") - 1)
+    at, to = np.flatnonzero(end <= n), np.flatnonzero(start >= 0) + 1
+    both = np.unique(np.concatenate((at * (n + 1) + end[at], start[to - 1] * (n + 1) + to)))
+    at, end = both // (n + 1), both % (n + 1)
     digest = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, said)), _U).reshape(-1, 2) if n else np.zeros((0, 2), _U)
     out = []
     for k in (0, 1):
