@@ -100,7 +100,6 @@ _TURN = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("loss", pa.bool_
 
 def format_chat(turns: DataFrame, piece_bytes: int = PIECE_BYTES) -> DataFrame:
     """conv_id, piece, text, turns: the pieces of each conversation follow one another in one partition."""
-    common.tune(turns.sparkSession)
     rows = turns.select("conv_id", "turn", F.col("role").cast("binary").alias("role"), F.col("text").cast("binary").alias("text"))
     dealt = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     conv_type = turns.schema["conv_id"].dataType.simpleString()

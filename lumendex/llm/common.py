@@ -11,22 +11,33 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Documents per Arrow batch. Texts may be long, so batches are kept short to bound a Python worker.
-BATCH_ROWS = 512
+#: Rows and bytes worked on at once. Texts may be long, so a Python worker takes Arrow batches in short slices.
+BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
 
 
-def tune(spark: SparkSession) -> None:
-    """Bound the Arrow batches of this session by rows and bytes."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of Arrow batches in slices of at most BATCH_ROWS, and of BATCH_BYTES where that is more than a
+    row, without empty ones. So the caller's session needs no setting."""
+    for b in batches:
+        at, rows = 0, min(BATCH_ROWS, b.num_rows)
+        while at < b.num_rows:
+            part = b.slice(at, rows)
+            if part.num_rows > 1 and part.nbytes > BATCH_BYTES:
+                rows = part.num_rows // 2
+                continue
+            yield part
+            at += part.num_rows
+            rows = BATCH_ROWS
 
 
 def shared_root(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir, set here only where it is unset."""
+    """Folder that driver and executors share: spark.checkpoint.dir. Only on a local master, as in tests,
+    may it be unset: scratch tables then go under the warehouse, and the session is left as it is."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-        spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
@@ -80,7 +91,7 @@ def map_texts(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = None
-        for batch in batches:
+        for batch in pieces(batches):
             if fn is None:
                 fn = make()
             out = fn(batch.column(batch.num_columns - 1).to_pylist())

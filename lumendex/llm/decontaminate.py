@@ -148,7 +148,6 @@ def scan(
     """``keep`` columns plus __n_words, __word_spans (first and last word of each hit run), __char_spans
     (offsets in the original text) and __item_ids (items with occurring windows, sorted as strings)."""
     spark = docs.sparkSession
-    common.tune(spark)
     table = common.materialize(_window_table(benchmark, item_id, item_text, window), "bench-windows")
     size = table.agg(F.sum(F.length("pattern") + 64).alias("n")).first()["n"] or 0
     blocks = max(1, -(-size // automaton_bytes))

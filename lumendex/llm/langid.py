@@ -200,14 +200,12 @@ def predict(docs: DataFrame, model, keep: list[str], fields: T.StructType = FIEL
 
 def identify(docs: DataFrame, fold: int = 2, of: int = 4, max_rows: int = MAX_ROWS) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row; learned without the held-out fold."""
-    common.tune(docs.sparkSession)
     model = train(docs, ~held_out(fold, of), max_rows)
     return predict(docs, model, ["doc_id"]).select("doc_id", held_out(fold, of).alias("held_out"), "lang_pred", "score")
 
 
 def keep_identified(docs: DataFrame, min_score: float = MIN_SCORE, max_rows: int = MAX_ROWS) -> DataFrame:
     """The documents whose language is identified with at least ``min_score``, unchanged."""
-    common.tune(docs.sparkSession)
     model = train(docs, F.lit(True), max_rows)
     names = T.StructType([T.StructField("__lang_pred", T.StringType()), T.StructField("__score", T.DoubleType())])
     scored = predict(docs, model, docs.columns, names)

@@ -146,7 +146,6 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", keep:
     """``keep`` columns, path, license, cosine, span_start, span_end (bytes of the licence span),
     origin ('own', 'inherited' or 'none') and from_dir (the directory it is inherited from)."""
     spark = files.sparkSession
-    common.tune(spark)
     keep = keep or []
     share = spark.sparkContext.broadcast(token_frequencies(files, text_col))
 

@@ -62,4 +62,4 @@ QUERIES = {f.__name__: f for f in (
     op1_decontaminate, op2_simhash, op3_toxicity, op4_langid, op5_licenses, op6_mixing, op7_topk, op8_chat, op9_suffix, op10_spans, pipeline,
 )}
 
-ORACLES = {"op1_decontaminate": decontaminate.ORACLE, "op6_mixing": mixing.ORACLE, "op7_topk": topk.ORACLE, "op8_chat": chat.ORACLE}
+ORACLES = {"op1_decontaminate": decontaminate.ORACLE, "op6_mixing": mixing.ORACLE, "op7_topk": topk.ORACLE, "op8_chat": chat.ORACLE, "op9_suffix": suffix.ORACLE, "op10_spans": spans.ORACLE}

@@ -59,7 +59,6 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, keep: list[str], text_col: str = "text", out: str = "fp") -> DataFrame:
-    common.tune(docs.sparkSession)
     fields = T.StructType([T.StructField(out, T.LongType())])
     return common.map_texts(docs, text_col, keep, fields, lambda: lambda texts: {out: [fingerprint(t) for t in texts]})
 
@@ -258,7 +257,6 @@ def links(distinct: DataFrame, budget: int = BUDGET, group_rows: int = GROUP_ROW
     if not 0 <= budget <= 2:
         raise ValueError("the blocks are laid out for a budget of at most 2 bits")
     spark = distinct.sparkSession
-    common.tune(spark)
     keys = ["c0", "k0", "c1", "k1"]
     schema = "a long, b long, c0 int"
     dealt = distinct.select("fp").mapInArrow(_deal(0), _GROUP)

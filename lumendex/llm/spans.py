@@ -1,26 +1,30 @@
 """Substring dedup by sliding sentence spans.
 
-A text is cut into sentences (after ``.``, ``!`` or ``?`` and white space, and after line ends). A
-sentence of more than ``LONG`` words is winnowed: it is cut further after the word of smallest CRC-32
-of every ``CUT`` consecutive words (of equal ones the last). So any ``CUT`` words hold a cut, and a
-passage is cut alike wherever it stands, but for ``CUT`` - 1 words at its ends. From each sentence the shortest run of at
-least ``sentences`` sentences and ``min_words`` words is hashed, lower-cased and with single blanks, and
-so is the shortest one that ends at each sentence: together they cover every sentence of any longer run.
-Runs are joined globally; every run but the first one (smallest document id, then place) is repeated,
-and the sentences it covers are removed. A document may end without enough words for a run.
-
-Runs that repeat within a document are settled there, so each document sends a run once. The smallest
-and largest ids of each run are pre-aggregated, written, and joined back to the runs by a join that
-Spark can split, so a run that a third of the documents share is neither collected nor kept in one task.
-
-Defined cases: null text has no sentence and stays null; rows that share an id count as one document at
-equal places (repeated rows get equal results); null ids come last; other columns are not read.
+A text is cut into sentences: after ``.``, ``!`` or ``?`` and white space, and after line ends. Every run of
+``n`` consecutive sentences is hashed, lower-cased and with single blanks, whatever its length; a longer
+repeated run is covered by the runs of ``n`` in it. Runs are joined globally: the first holder of a run
+(smallest document id, then text hash, then place) keeps it, everyone else loses the sentences it covers.
+
+A second kind of unit goes beside the whole sentences, for passages without full stops: a sentence of more
+than ``LONG`` words is also cut into pieces, after the longest word (of equally long ones the largest in byte
+order, of equal ones the last) of every ``CUT`` consecutive words. Any ``CUT`` words hold a cut, so a
+passage is cut alike wherever it stands, but for ``CUT`` - 1 words at its ends. Runs of ``n`` consecutive
+units, pieces among them, are hashed as well, and a repeated one takes those pieces.
+
+Distribution: runs that repeat within a document are settled there, so a document sends each run once; all
+are written once. The smallest and largest ids of each run are pre-aggregated and joined back to the runs by
+a join that Spark can split, so a run that a third of the documents share is never in one task.
+
+Defined cases: null text has no sentence and stays null; empty texts, and an empty table, give equal rows
+back; very long texts are only cut, in linear time and memory; rows that share an id (null ids too, which come
+last) are ordered by text hash; of rows equal in id and text one counts as the first and the others lose
+all their sentences, if there are ``n``; other columns are not read and may have any name that does not
+start with ``__``. Ids are integers, or texts that hold one.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,179 +36,262 @@ from pyspark.sql import types as T
 
 from lumendex.llm import common
 
-SENTENCES, MIN_WORDS = 3, 20
+SENTENCES = 3
 LONG, CUT = 16, 12
 _END = re.compile(rb"[.!?]\s+|\n\s*")
 _WORD = re.compile(rb"\S+")
 _U = np.uint64
-_BASE = (_U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F))
-_INVERSE = tuple(_U(pow(int(b), -1, 1 << 64)) for b in _BASE)
+#: Odd multipliers of the two run hashes, for runs of sentences and of pieces.
+_BASE = ((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F), (0x165667B19E3779F9, 0xD6E8FEB86659FD93))
+#: Prefixes by which words are compared by length first.
+_LENGTH = [b"%03d" % k for k in range(1000)]
+_LAST = (1 << 63) - 1
 
 
 def cuts(words: list[bytes], width: int = CUT) -> list[int]:
-    """Places of the words that are the smallest, by CRC-32, of some ``width`` consecutive ones; of equal ones the last counts."""
-    crc = list(map(zlib.crc32, words))
+    """Places of the words that are the longest of some ``width`` consecutive ones; ties go to the larger, then the last."""
+    rank = [_LENGTH[min(len(w), 999)] + w for w in words]
     out, best = [], -1
-    for k in range(width - 1, len(crc)):
+    for k in range(width - 1, len(rank)):
         first = k - width + 1
         if best < first:
             best = first
             for x in range(first + 1, k + 1):
-                if crc[x] <= crc[best]:
+                if rank[x] >= rank[best]:
                     best = x
             out.append(best)
-        elif crc[k] <= crc[best]:
+        elif rank[k] >= rank[best]:
             best = k
             out.append(k)
     return out
 
 
-def sentences(text: bytes) -> tuple[list[int], list[bytes], list[int]]:
-    """(bounds, normalised sentences, word counts); sentence k is text[bounds[k]:bounds[k + 1]]."""
-    bounds, said, counts = [0], [], []
-    start = 0
+def units(text: bytes) -> tuple[list[int], list[bytes], list[int], list[bytes]]:
+    """(bounds, normalised units, first unit of each sentence, normalised sentences): unit k is
+    text[bounds[k]:bounds[k + 1]]; the first units end with the number of units."""
+    bounds, said, first, whole = [0], [], [], []
+    start, low = 0, text.lower()
     ends = [m.end() for m in _END.finditer(text)]
     if not ends or ends[-1] < len(text):
         ends.append(len(text))
     for end in ends:
-        words = text[start:end].lower().split()
+        words = low[start:end].split()
         if not words:
             continue  # leading white space joins the next sentence
+        first.append(len(said))
+        whole.append(b" ".join(words))
         if len(words) > LONG:
-            first = 0
             word_ends = [m.end() for m in _WORD.finditer(text, start, end)]
+            at = 0
             for k in cuts(words[:-1]):
                 bounds.append(word_ends[k])
-                said.append(b" ".join(words[first : k + 1]))
-                counts.append(k + 1 - first)
-                first = k + 1
-            words = words[first:]
+                said.append(b" ".join(words[at : k + 1]))
+                at = k + 1
+            said.append(b" ".join(words[at:]))
+        else:
+            said.append(whole[-1])
         bounds.append(end)
-        said.append(b" ".join(words))
-        counts.append(len(words))
         start = end
     bounds[-1] = len(text)
-    return bounds, said, counts
-
+    first.append(len(said))
+    return bounds, said, first, whole
 
-def _prefix(h: np.ndarray, k: int) -> np.ndarray:
-    powers = np.full(len(h), _BASE[k], _U)
-    powers[:1] = 1
-    return np.concatenate((np.zeros(1, _U), np.cumsum(h * np.cumprod(powers), dtype=_U)))
 
-
-def runs(said: list[bytes], counts: list[int], n_min: int = SENTENCES, min_words: int = MIN_WORDS):
-    """(starts, ends, 64-bit hashes, 32-bit hashes) of the shortest runs that begin and that end at each sentence, by place."""
-    n = len(said)
-    words = np.concatenate(([0], np.cumsum(counts))).astype(np.int64)
-    end = np.maximum(np.arange(n) + n_min, np.searchsorted(words, words[:-1] + min_words))
-    start = np.minimum(np.arange(1, n + 1) - n_min, np.searchsorted(words, words[1:] - min_words, side="right") - 1)
-    at, to = np.flatnonzero(end <= n), np.flatnonzero(start >= 0) + 1
-    both = np.unique(np.concatenate((at * (n + 1) + end[at], start[to - 1] * (n + 1) + to)))
-    at, end = both // (n + 1), both % (n + 1)
-    digest = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, said)), _U).reshape(-1, 2) if n else np.zeros((0, 2), _U)
+def _run_hashes(said: list[bytes], n: int, kind: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of every n consecutive texts."""
+    m = max(0, len(said) - n + 1)
+    digest = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, said)), _U).reshape(-1, 2)
     out = []
     for k in (0, 1):
-        total = _prefix(digest[:, k], k)
-        back = np.full(n, _INVERSE[k], _U)
-        back[:1] = 1
-        out.append((total[end] - total[at]) * np.cumprod(back)[at] + (end - at).astype(_U) * _BASE[1 - k])
-    return at, end, out[0].view(np.int64), (out[1] >> _U(32)).astype(np.uint32).view(np.int32)
-
-
-def own_runs(said: list[bytes], counts: list[int], n_min: int, min_words: int):
-    """The runs() of a document: (places of those that come first in it, their 64- and 32-bit hashes, places of the others)."""
-    at, end, ha, hb = runs(said, counts, n_min, min_words)
-    place = (at << 20) | np.minimum(end - at, (1 << 20) - 1)
-    first = np.zeros(len(at), bool)
-    first[np.unique(ha, return_index=True)[1]] = True
-    return place[first], ha[first], hb[first], place[~first]
-
-
-def occurrences(docs: DataFrame, n_min: int, min_words: int) -> DataFrame:
-    """id (null: the largest), h (text hash), place (first sentence * 2**20 + number), ha, hb: each run once a document."""
-    last = F.lit((1 << 63) - 1)
-    src = docs.select(F.coalesce(F.col("doc_id").cast("long"), last).alias("id"), F.hash("text").alias("h"), F.col("text").cast("binary").alias("text"))
+        h = np.zeros(m, _U)
+        for j in range(n):
+            h = (h + digest[j : j + m, k]) * _U(_BASE[kind][k])
+        out.append(h ^ (h >> _U(29)))
+    return out[0].view(np.int64), (out[1] >> _U(32)).astype(np.uint32).view(np.int32)
+
+
+def runs(texts: list[bytes | None], n: int = SENTENCES) -> dict[str, np.ndarray]:
+    """All runs of a batch of texts: row, place (first unit * 2**32 + units), ha, hb, again (not its first place in the text)."""
+    got = [units(t) if t else ([0], [], [0], []) for t in texts]
+    cols = []
+    for kind in (0, 1):
+        lists = [g[3] if kind == 0 else g[1] for g in got]
+        sizes = np.array([len(x) for x in lists])
+        row = np.repeat(np.arange(len(texts)), sizes)
+        ha, hb = _run_hashes([s for x in lists for s in x], n, kind)
+        m = len(ha)
+        ok = row[:m] == row[len(row) - m :]
+        if kind == 0:
+            start = np.concatenate([np.array(g[2][:-1], np.int64) for g in got]) if m else np.zeros(0, np.int64)
+            stop = np.concatenate([np.array(g[2][1:], np.int64) for g in got]) if m else start
+            at, size = start[:m], stop[len(stop) - m :] - start[:m]
+        else:
+            begin = np.cumsum(sizes) - sizes
+            at, size = (np.arange(len(row)) - np.repeat(begin, sizes))[:m], np.full(m, n)
+            # A unit is a whole sentence if its sentence has no other; runs of such ones are the first kind's.
+            alone = np.concatenate([np.repeat(w := np.diff(g[2]), w) == 1 for g in got]) if m else np.zeros(0, bool)
+            pieces = np.concatenate(([0], np.cumsum(~alone)))
+            ok &= pieces[n : n + m] > pieces[:m]
+        cols.append([x[ok] for x in (row[:m], (at << 32) + size, ha, hb)])
+    row, place, ha, hb = (np.concatenate(x) for x in zip(*cols, strict=True))
+    order = np.lexsort((place, ha, row))
+    row, place, ha, hb = row[order], place[order], ha[order], hb[order]
+    again = np.zeros(len(row), bool)
+    again[1:] = (row[1:] == row[:-1]) & (ha[1:] == ha[:-1]) & (hb[1:] == hb[:-1])
+    return {"row": row, "place": place, "ha": ha, "hb": hb, "again": again}
+
+
+def occurrences(docs: DataFrame, n: int) -> DataFrame:
+    """id (null: the largest), h (text hash), ha, hb, place: each run once a document. Beside them, with ha null, the
+    places that come again in a document, and one row of place -1 for each document row with a run."""
+    src = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"), F.xxhash64("text").alias("h"), F.col("text").cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            parts, lens = [], []
-            for t in b.column(2).to_pylist():
-                got = own_runs(*sentences(t)[1:], n_min, min_words)[:3] if t else None
-                lens.append(len(got[0]) if got else 0)
-                if got:
-                    parts.append(got)
-            if parts:
-                row = pa.array(np.repeat(np.arange(b.num_rows), lens))
-                cols = [pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column(0).take(row), b.column(1).take(row), *cols], names=["id", "h", "place", "ha", "hb"])
-
-    return src.mapInArrow(run, "id long, h int, place long, ha long, hb int")
-
-
-def repeated(docs: DataFrame, n_min: int = SENTENCES, min_words: int = MIN_WORDS) -> DataFrame:
-    """id, h, places: the runs of each document that a document of smaller id holds too."""
-    occ = occurrences(docs, n_min, min_words)
-    first = occ.groupBy("ha", "hb").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").select("ha", "hb", "first")
+        for b in common.pieces(batches):
+            r = runs(b.column(2).to_pylist(), n)
+            some = np.unique(r["row"])
+            row = pa.array(np.concatenate((r["row"], some)))
+            unsent = np.concatenate((r["again"], np.ones(len(some), bool)))
+            none = np.zeros(len(some), np.int64)
+            ha = pa.array(np.concatenate((r["ha"], none)), mask=unsent)
+            hb = pa.array(np.concatenate((r["hb"], none.astype(np.int32))), mask=unsent)
+            place = pa.array(np.concatenate((r["place"], none - 1)))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(row), b.column(1).take(row), ha, hb, place], names=["id", "h", "ha", "hb", "place"])
+
+    return src.mapInArrow(run, "id long, h long, ha long, hb int, place long")
+
+
+def repeated(docs: DataFrame, n: int = SENTENCES) -> tuple[DataFrame, DataFrame]:
+    """(id, h, places: the runs that each document loses), (id, h, copies: rows that are equal in id and text)."""
+    occ = common.materialize(occurrences(docs, n), "span-runs")
+    sent = occ.filter("ha is not null")
+    first = sent.groupBy("ha", "hb").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").select("ha", "hb", "first")
     first = common.materialize(first, "span-first", release=True)
-    again = occ.join(first, ["ha", "hb"]).filter("id > first")
-    return again.groupBy("id", "h").agg(F.collect_list("place").alias("places"))
+    gone = sent.join(first, ["ha", "hb"]).filter("id > first").select("id", "h", "place")
+    gone = gone.unionByName(occ.filter("ha is null and place >= 0").select("id", "h", "place"))
+    rows = common.materialize(occ.filter("place = -1").groupBy("id", "h").agg(F.count("*").alias("copies")), "span-rows")
+    shared = rows.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id")
+    if not shared.isEmpty():  # other texts of an id: the smallest text hash comes first
+        mine = sent.join(shared, "id", "left_semi")
+        low = mine.groupBy("ha", "hb", "id").agg(F.min("h").alias("low"), F.max("h").alias("high")).filter("low < high").select("ha", "hb", "id", "low")
+        gone = gone.unionByName(mine.join(low, ["ha", "hb", "id"]).filter("h > low").select("id", "h", "place"))
+    return gone.groupBy("id", "h").agg(F.collect_list("place").alias("places")), rows.filter("copies > 1")
 
 
-FIELDS = T.StructType([T.StructField("n_sentences", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
+FIELDS = T.StructType([
+    T.StructField("__n_sentences", T.LongType()), T.StructField("__n_removed", T.LongType()),
+    T.StructField("__bytes_removed", T.LongType()), T.StructField("__kept", T.StringType()),
+])
 
 
-def remove(text: bytes | None, places: list[int] | None, n_min: int, min_words: int) -> tuple[int, int, str | None]:
-    """(sentences, sentences removed, text left)"""
+def remove(text: bytes | None, places: list[int] | None) -> tuple[int, int, int, str | None]:
+    """(sentences, sentences that go whole, bytes that go, text left)"""
     if text is None:
-        return 0, 0, None
-    bounds, said, counts = sentences(text)
-    n = len(said)
-    places = list(places or ())
-    if len(set(said)) < n:
-        places += own_runs(said, counts, n_min, min_words)[3].tolist()
+        return 0, 0, 0, None
     if not places:
-        return n, 0, text.decode()
+        return sum(1 for _ in _sentence_ends(text)), 0, 0, text.decode()
+    bounds, said, first, whole = units(text)
+    n = len(said)
     gone = np.zeros(n + 1, np.int64)
     for p in places:
-        gone[p >> 20] += 1
-        gone[(p >> 20) + (p & 0xFFFFF)] -= 1
+        gone[p >> 32] += 1
+        gone[(p >> 32) + (p & 0xFFFFFFFF)] -= 1
     mask = np.cumsum(gone[:n]) > 0
-    return n, int(mask.sum()), b"".join(text[bounds[k] : bounds[k + 1]] for k in np.flatnonzero(~mask)).decode()
+    kept = b"".join(text[bounds[k] : bounds[k + 1]] for k in np.flatnonzero(~mask))
+    return len(whole), int(np.logical_and.reduceat(mask, first[:-1]).sum()), len(text) - len(kept), kept.decode()
 
 
-def clean_rows(docs: DataFrame, keep: list[str], n_min: int = SENTENCES, min_words: int = MIN_WORDS) -> DataFrame:
-    """``keep`` columns plus __n_sentences, __n_removed and __kept (the text left)."""
-    common.tune(docs.sparkSession)
-    found = repeated(docs, n_min, min_words).select(F.col("id").alias("__id"), F.col("h").alias("__h"), F.col("places").alias("__places"))
-    left = docs.withColumn("__h2", F.hash("text"))
-    both = left.join(found, (F.coalesce(left["doc_id"].cast("long"), F.lit((1 << 63) - 1)) == found["__id"]) & (left["__h2"] == found["__h"]), "left")
-    src = both.select(*[left[c] for c in keep], "__places", left["text"].cast("binary").alias("__text"))
-    schema = T.StructType([*(docs.schema[c] for c in keep), *(T.StructField("__" + f.name, f.dataType) for f in FIELDS)])
+def _sentence_ends(text: bytes) -> Iterator[int]:
+    start = 0
+    for end in [*(m.end() for m in _END.finditer(text)), len(text)]:
+        if not text[start:end].isspace() and end > start:
+            yield end
+            start = end
+
+
+def clean_rows(docs: DataFrame, keep: list[str], n: int = SENTENCES) -> DataFrame:
+    """``keep`` columns plus those of FIELDS. Of rows equal in id and text all but one come back without sentences."""
+    found, copies = repeated(docs, n)
+    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("__id"), F.xxhash64("text").alias("__h")]
+    left = docs.select(*[F.col(c) for c in keep], *([] if "text" in keep else ["text"]), *key)
+    copies = copies.toDF("__id", "__h", "__copies")
+    if not copies.isEmpty():
+        once = left.join(copies, ["__id", "__h"]).dropDuplicates(["__id", "__h"])
+        others = left.join(copies, ["__id", "__h"], "left_anti").withColumn("__copies", F.lit(1).cast("long"))
+        left = others.unionByName(once)
+    else:
+        left = left.withColumn("__copies", F.lit(1).cast("long"))
+    both = left.join(found.toDF("__id", "__h", "__places"), ["__id", "__h"], "left")
+    src = both.select(*[F.col(c) for c in keep], "__copies", "__places", F.col("text").cast("binary").alias("__text"))
+    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("__copies", T.LongType()), *FIELDS])
+    k = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                rows = [remove(t, p, n_min, min_words) for p, t in zip(b.column(len(keep)).to_pylist(), b.column(len(keep) + 1).to_pylist(), strict=True)]
-                n, gone, kept = zip(*rows, strict=True)
-                new = [pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())]
-                yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *new], names=schema.names)
+        for b in common.pieces(batches):
+            rows = [remove(t, p) for p, t in zip(b.column(k + 1).to_pylist(), b.column(k + 2).to_pylist(), strict=True)]
+            new = [pa.array(x, pa.string() if i == 3 else pa.int64()) for i, x in enumerate(zip(*rows, strict=True))]
+            yield pa.RecordBatch.from_arrays([*b.columns[: k + 1], *new], names=schema.names)
 
-    return src.mapInArrow(run, schema)
+    out = src.mapInArrow(run, schema)
+    # A copy loses every sentence.
+    each = out.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
+    is_copy = F.col("__copy") > 1
+    return each.select(
+        *[F.col(c) for c in keep], "__n_sentences", F.when(is_copy, F.col("__n_sentences")).otherwise(F.col("__n_removed")).alias("__n_removed"),
+        F.when(is_copy, F.col("__bytes_removed") + F.octet_length("__kept")).otherwise(F.col("__bytes_removed")).alias("__bytes_removed"),
+        F.when(is_copy, F.lit("")).otherwise(F.col("__kept")).alias("__kept"),
+    )
 
 
-def dedup(docs: DataFrame, n_min: int = SENTENCES, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, n_sentences, n_removed, text (what is left) of every row."""
-    rows = clean_rows(docs, ["doc_id"], n_min, min_words)
-    return rows.select("doc_id", F.col("__n_sentences").alias("n_sentences"), F.col("__n_removed").alias("n_removed"), F.col("__kept").alias("text"))
+def dedup(docs: DataFrame, n: int = SENTENCES) -> DataFrame:
+    """doc_id, n_sentences, n_removed (sentences that went whole), bytes_removed, text (what is left) of every row."""
+    names = {f.name: f.name.strip("_") for f in FIELDS} | {"__kept": "text"}
+    return clean_rows(docs, ["doc_id"], n).select("doc_id", *[F.col(c).alias(name) for c, name in names.items()])
 
 
-def rewrite(docs: DataFrame, n_min: int = SENTENCES, min_words: int = MIN_WORDS) -> DataFrame:
+def rewrite(docs: DataFrame, n: int = SENTENCES) -> DataFrame:
     """The documents with repeated sentences removed; one whose sentences all went is dropped. n_chars is kept true."""
-    others = [c for c in docs.columns if c != "text"]
-    rows = clean_rows(docs, others, n_min, min_words).filter("__n_removed = 0 or __n_removed < __n_sentences")
+    rows = clean_rows(docs, [c for c in docs.columns if c != "text"], n).filter("__n_removed = 0 or __n_removed < __n_sentences")
     rows = rows.withColumn("text", F.col("__kept"))
     if "n_chars" in docs.columns:
-        chars = F.when(F.col("__n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
+        chars = F.when(F.col("__bytes_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
         rows = rows.withColumn("n_chars", chars.cast(docs.schema["n_chars"].dataType))
     return rows.select(*docs.columns)
+
+
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WS = "\\x20\\x09-\\x0D"
+_MARK = "\U000f0000"
+ORACLE = f"""
+WITH s0 AS (SELECT doc_id, text, unnest(list_zip(p, range(1, len(p) + 1))) AS z FROM (SELECT doc_id, text,
+    string_split(regexp_replace(text, '([.!?][{_WS}]+|\\n[{_WS}]*)', '\\1{_MARK}', 'g'), '{_MARK}') AS p FROM documents WHERE text IS NOT NULL)),
+s1 AS (SELECT doc_id, z[2] AS k, z[1] AS part, regexp_extract_all({_LOWER.format("z[1]")}, '[^{_WS}]+') AS w FROM s0),
+s2 AS (SELECT *, coalesce(sum((len(w) > 0)::INT) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS i,
+    sum((len(w) > 0)::INT) OVER (PARTITION BY doc_id)::BIGINT AS n FROM s1),
+sentence AS (SELECT doc_id, least(i, n - 1) AS i, any_value(n) AS n, string_agg(part, '' ORDER BY k) AS part, array_to_string(flatten(list(w ORDER BY k)), ' ') AS said,
+    flatten(list(w ORDER BY k)) AS w FROM s2 WHERE n > 0 GROUP BY ALL),
+word AS (SELECT doc_id, i, len(w) AS m, unnest(range(1, len(w) + 1)) AS j, unnest(w) AS word FROM sentence WHERE len(w) > {LONG}),
+ranked AS (SELECT *, lpad(least(octet_length(encode(word)), 999)::VARCHAR, 3, '0') || word AS r FROM word WHERE j < m),
+best AS (SELECT doc_id, i, j, m, max(struct_pack(r := r, j := j)) OVER (PARTITION BY doc_id, i ORDER BY j ROWS BETWEEN {CUT - 1} PRECEDING AND CURRENT ROW) AS b FROM ranked),
+cut AS (SELECT DISTINCT doc_id, i, b.j AS j FROM best WHERE j >= {CUT}),
+piece AS (SELECT w.doc_id, w.i, coalesce(sum((c.j IS NOT NULL)::INT) OVER (PARTITION BY w.doc_id, w.i ORDER BY w.j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS q,
+    w.j, w.m, w.word FROM word w LEFT JOIN cut c ON w.doc_id = c.doc_id AND w.i = c.i AND w.j = c.j),
+unit0 AS (SELECT doc_id, i, q, string_agg(word, ' ' ORDER BY j) AS said, min(j) AS j0, max(j) AS j1, any_value(m) AS m FROM piece GROUP BY doc_id, i, q
+  UNION ALL SELECT doc_id, i, 0, said, 1, len(w), len(w) FROM sentence WHERE len(w) <= {LONG}),
+unit AS (SELECT u.*, row_number() OVER (PARTITION BY u.doc_id ORDER BY u.i, q) - 1 AS k, count(*) OVER (PARTITION BY u.doc_id, u.i) > 1 AS cut,
+    array_to_string(regexp_extract_all(s.part, '[{_WS}]*[^{_WS}]+')[j0:j1], '') || CASE WHEN j1 = u.m THEN regexp_extract(s.part, '[{_WS}]*$') ELSE '' END AS part
+  FROM unit0 u JOIN sentence s ON u.doc_id = s.doc_id AND u.i = s.i),
+firsts AS (SELECT doc_id, i, min(k) AS k, max(k) + 1 AS e FROM unit GROUP BY doc_id, i),
+run AS (SELECT s.doc_id, f.k, g.e, 's' AS kind, s.said AS a, s2.said AS b, s3.said AS c FROM sentence s JOIN sentence s2 ON s.doc_id = s2.doc_id AND s2.i = s.i + 1
+    JOIN sentence s3 ON s.doc_id = s3.doc_id AND s3.i = s.i + 2 JOIN firsts f ON f.doc_id = s.doc_id AND f.i = s.i JOIN firsts g ON g.doc_id = s.doc_id AND g.i = s.i + 2
+  UNION ALL SELECT u.doc_id, u.k, u.k + 3, 'p', u.said, u2.said, u3.said FROM unit u JOIN unit u2 ON u.doc_id = u2.doc_id AND u2.k = u.k + 1
+    JOIN unit u3 ON u.doc_id = u3.doc_id AND u3.k = u.k + 2 WHERE u.cut OR u2.cut OR u3.cut),
+gone AS (SELECT DISTINCT doc_id, unnest(range(k, e)) AS k FROM (SELECT *, row_number() OVER (PARTITION BY kind, a, b, c ORDER BY doc_id, k) AS place FROM run) WHERE place > 1),
+left_over AS (SELECT u.doc_id, string_agg(CASE WHEN g.k IS NULL THEN u.part ELSE '' END, '' ORDER BY u.k) AS text,
+    sum(CASE WHEN g.k IS NULL THEN 0 ELSE octet_length(encode(u.part)) END)::BIGINT AS bytes_removed FROM unit u LEFT JOIN gone g ON u.doc_id = g.doc_id AND u.k = g.k GROUP BY u.doc_id),
+whole AS (SELECT doc_id, count(*) AS n_sentences, sum(gone::INT)::BIGINT AS n_removed FROM (SELECT u.doc_id, u.i, bool_and(g.k IS NOT NULL) AS gone
+    FROM unit u LEFT JOIN gone g ON u.doc_id = g.doc_id AND u.k = g.k GROUP BY u.doc_id, u.i) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_sentences, 0) AS n_sentences, coalesce(n_removed, 0) AS n_removed, coalesce(bytes_removed, 0) AS bytes_removed,
+  CASE WHEN coalesce(bytes_removed, 0) = 0 THEN d.text ELSE l.text END AS text
+FROM documents d LEFT JOIN left_over l ON d.doc_id = l.doc_id LEFT JOIN whole ON d.doc_id = whole.doc_id
+"""

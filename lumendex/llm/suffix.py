@@ -6,22 +6,25 @@ smaller id, or in the same one at an earlier byte. Strings are judged on the inp
 Index of one repetitive text (``RunIndex``): the Burrows-Wheeler transform is kept as runs, with the
 text positions at run ends sampled. Matching statistics against the lexicographic predecessor are
 measured only at the samples and streamed along the text from there: while the run goes on, the match
-shortens by one a step. Matches of ``length`` bytes and more chain equal strings; all but the first
-of a chain are marked.
+shortens by one a step. Matches of ``length`` bytes and more chain equal strings; of a chain only the
+strings of its smallest id are kept.
 
 Distribution: the smallest hash of the 24-byte strings within a window of ``length`` bytes names the
 window's bucket, so equal windows always share one. Windows next to each other mostly do too and
 travel as one segment.
 1. Buckets of all windows are counted; those met twice are told to the document groups that hold them.
-2. Each group sends the segments of its repeated buckets, equal ones once.
-3. Each bucket's distinct segments, in corpus order, are indexed in blocks; the first occurrences of
-   windows go back to their documents. A bucket beyond ``bucket_bytes`` of distinct segments is not
-   indexed at once: its windows are compared one by one by 128-bit hashes, pre-aggregated.
-4. A document loses every window of its repeated buckets that is not such a first occurrence.
+2. Each group sends the segments of its repeated buckets, equal ones of its smallest id only.
+3. Each bucket's distinct segments, in corpus order, are indexed in blocks; the windows that no smaller id
+   holds go back to their documents. The segments of a bucket beyond ``bucket_bytes`` are cut and dealt again
+   by another hash of the 24-byte strings, as often as needed, and then indexed like all others.
+4. A document loses every window of its repeated buckets that did not come back, and of those that did every
+   one that it holds earlier itself: its own segments of one bucket are indexed by themselves.
 Copies thus meet as one segment, and no task holds more than a document group or a block.
 
-Defined cases: null text is empty; rows that share an id count as one document at equal offsets
-(repeated rows get equal results); null ids come after all others; texts shorter than ``length`` stay.
+Defined cases: null text is empty; rows that share an id are documents of their own, none earlier than the
+other (so repeated rows get equal results); null ids are one id that comes after all others; texts shorter
+than ``length`` stay; an empty table gives no rows; a very long text is one row of one task, whose
+memory is linear in it; other columns are not read and may have any name. Ids must be integers.
 """
 
 from __future__ import annotations
@@ -34,6 +37,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lumendex.llm import common
 
@@ -42,6 +46,8 @@ GRAM = 24
 GROUP_BYTES = 8 << 20
 BLOCK_BYTES = 1 << 20
 BUCKET_BYTES = 4 << 20
+#: Times that a large bucket is dealt again; each splits it by a hash of its own.
+SALTS = 64
 _LAST = (1 << 63) - 1
 
 _U = np.uint64
@@ -53,9 +59,9 @@ _C = [_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9
 _PLACE = _U((1 << 16) - 1)
 
 
-def buckets(text: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+def buckets(text: np.ndarray, length: int = LENGTH, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(bounds, keys): windows [bounds[j], bounds[j + 1]) of a byte array lie in bucket keys[j] and have its
-    smallest hash at one and the same place, so windows of one segment all differ."""
+    smallest hash at one and the same place, so windows of one segment all differ. Each salt is another hash."""
     if len(text) < length:
         return np.zeros(1, np.int64), np.zeros(0, np.int64)
     h = text.astype(_U) * _C[0]
@@ -67,6 +73,9 @@ def buckets(text: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndar
     h = h[:-8] * _C[4] + h[8:]
     h = h[: len(eight) - 16] * _C[1] + eight[16:]
     h ^= h >> _U(31)
+    if salt:
+        h = (h ^ (h >> _U(17)) ^ _U(salt * 0x632BE59BD9B4E019 & (1 << 64) - 1)) * _C[2]
+        h ^= h >> _U(32)
     h *= _C[0]
     h = (h & ~_PLACE) | (np.arange(len(h), dtype=_U) & _PLACE)
     span = length - GRAM + 1
@@ -143,24 +152,48 @@ class RunIndex:
         last = np.maximum.accumulate(np.where(here, place, 0))
         return np.maximum(0, sampled[last] + last - place)
 
-    def first_of_long_matches(self, length: int) -> np.ndarray:
-        """For each position, whether no earlier position starts the same ``length`` symbols."""
+    def chains(self, length: int) -> np.ndarray:
+        """Places in ``order`` at which the next chain of suffixes with equal first ``length`` symbols begins."""
         ms = self.matching_statistics()[self.order]
         ms[0] = 0
-        starts = np.flatnonzero(ms < length)
+        return np.flatnonzero(ms < length)
+
+    def first_of_long_matches(self, length: int) -> np.ndarray:
+        """For each position, whether no earlier position starts the same ``length`` symbols."""
         first = np.zeros(self.n, bool)
-        first[np.minimum.reduceat(self.order, starts)] = True
+        first[np.minimum.reduceat(self.order, self.chains(length))] = True
         return first
 
+    def of_smallest_owner(self, length: int, owner: np.ndarray) -> np.ndarray:
+        """For each position, whether its owner is that of the first position that starts the same ``length`` symbols."""
+        starts = self.chains(length)
+        low = owner[np.minimum.reduceat(self.order, starts)]
+        out = np.empty(self.n, bool)
+        out[self.order] = owner[self.order] == np.repeat(low, np.diff(np.append(starts, self.n)))
+        return out
 
-def first_windows(segments: list[bytes], length: int) -> list[np.ndarray]:
-    """For each segment, in corpus order, whether each of its windows occurs there first."""
-    sizes = [len(s) for s in segments]
+
+def _joined(segments: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(symbols, ends) of the segments, each closed by a 0."""
     symbols = np.frombuffer(b"\0".join(segments) + b"\0", np.uint8).astype(np.uint16) + 1
-    ends = np.cumsum(np.array(sizes) + 1)
+    ends = np.cumsum(np.fromiter(map(len, segments), np.int64, len(segments)) + 1)
     symbols[ends - 1] = 0
+    return symbols, ends
+
+
+def owned_windows(segments: list[bytes], ids: list[int], length: int) -> list[np.ndarray]:
+    """For each segment, in the order of the ids, whether each of its windows is in no segment of a smaller id."""
+    symbols, ends = _joined(segments)
+    sizes = np.diff(np.concatenate(([0], ends)))
+    ok = RunIndex(symbols).of_smallest_owner(length, np.repeat(np.array(ids, np.int64), sizes))
+    return [ok[e - z : e - length] for e, z in zip(ends.tolist(), sizes.tolist(), strict=True)]
+
+
+def first_windows(segments: list[bytes], length: int) -> list[np.ndarray]:
+    """For each segment, whether each of its windows occurs there first."""
+    symbols, ends = _joined(segments)
     first = RunIndex(symbols).first_of_long_matches(length)
-    return [first[e - 1 - n : e - length] for e, n in zip(ends.tolist(), sizes, strict=True)]
+    return [first[e - 1 - len(s) : e - length] for e, s in zip(ends.tolist(), segments, strict=True)]
 
 
 def _runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -186,7 +219,7 @@ def _count(length: int):
             many = np.diff(np.append(head, len(k))) > 1
             return pa.RecordBatch.from_arrays([pa.array(k[head]), pa.array(g[head] * 2 + many)], names=["key", "said"])
 
-        for b in batches:
+        for b in common.pieces(batches):
             for g, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if t and len(t) >= length:
                     _, k = buckets(np.frombuffer(t, np.uint8), length)
@@ -227,8 +260,8 @@ class _Group:
     def __init__(self, grp):
         self.grp = grp
         self.keys: list[np.ndarray] = []
-        self.firsts: dict[int, list[tuple[int, int]]] = {}
-        self.seen: dict[bytes, tuple] = {}
+        self.firsts: dict[tuple[int, int], list[tuple[int, int]]] = {}  # by id and text hash
+        self.seen: dict[bytes, tuple[int, int, bytes, dict[int, int]]] = {}  # key, smallest id, segment, place by text hash
         self.sorted: np.ndarray | None = None
 
     def repeated(self, keys: np.ndarray) -> np.ndarray:
@@ -241,15 +274,15 @@ class _Group:
 
 
 def _segments(length: int):
-    """Rows (grp, kind, key, id, text) sorted by (grp, kind) to (key, id, pos, seg), equal segments of a group once."""
+    """Rows (grp, kind, key, id, h, text) sorted by (grp, kind) to (key, id, h, pos, seg), equal segments of a group
+    once for each row of their smallest id."""
+    schema = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("h", pa.int64()), ("pos", pa.int64()), ("seg", pa.binary())])
 
     def emit(g: _Group):
-        if g.seen:
-            rows = list(g.seen.values())
-            for i in range(0, len(rows), 4096):
-                cols = list(zip(*rows[i : i + 4096], strict=True))
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["key", "id", "pos", "seg"])
+        rows = [(key, i, h, p, seg) for key, i, seg, at in g.seen.values() for h, p in at.items()]
+        for k in range(0, len(rows), 4096):
+            cols = list(zip(*rows[k : k + 4096], strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g = None
@@ -261,16 +294,17 @@ def _segments(length: int):
             if kind == 0:
                 g.keys.append(cols["key"].to_numpy(zero_copy_only=False))
                 continue
-            for i, t in zip(cols["id"].to_pylist(), cols["text"].to_pylist(), strict=True):
+            for i, h, t in zip(*(cols[c].to_pylist() for c in ("id", "h", "text")), strict=True):
                 bounds, keys = buckets(np.frombuffer(t, np.uint8), length)
                 for j in np.flatnonzero(g.repeated(keys)).tolist():
                     a = int(bounds[j])
                     seg = t[a : int(bounds[j + 1]) - 1 + length]
-                    row = (int(keys[j]), i, a, seg)
                     digest = xxhash.xxh3_128_digest(seg)
                     old = g.seen.get(digest)
-                    if old is None or row[1:3] < old[1:3]:
-                        g.seen[digest] = row
+                    if old is None or i < old[1]:
+                        g.seen[digest] = (int(keys[j]), i, seg, {h: a})
+                    elif i == old[1]:
+                        old[3][h] = min(a, old[3].get(h, a))
         if g is not None:
             yield from emit(g)
 
@@ -279,7 +313,7 @@ def _segments(length: int):
 
 def _by_kind(batches: Iterator[pa.RecordBatch]):
     """Slices of one (grp, kind) each."""
-    for b in batches:
+    for b in common.pieces(batches):
         grp, kind = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
         cut = [0, *(np.flatnonzero((grp[1:] != grp[:-1]) | (kind[1:] != kind[:-1])) + 1).tolist(), b.num_rows]
         for a, e in zip(cut, cut[1:], strict=False):
@@ -288,90 +322,115 @@ def _by_kind(batches: Iterator[pa.RecordBatch]):
                 yield int(grp[a]), int(kind[a]), {n: part.column(i) for i, n in enumerate(part.schema.names)}
 
 
+#: What comes of a bucket: windows that no smaller id holds (n of them, off bytes into segment sid), segments of
+#: buckets too large to index (key, seg), and other rows of a segment's id that hold it too (sid alone).
+_FOUND = pa.schema([("id", pa.int64()), ("h", pa.int64()), ("pos", pa.int64()), ("n", pa.int64()), ("off", pa.int64()), ("sid", pa.int64()), ("key", pa.int64()), ("seg", pa.binary())])
+_FOUND_SQL = "id long, h long, pos long, n long, off long, sid long, key long, seg binary"
+
+
+def _sid(seg: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(seg) - (1 << 63)
+
+
+def _rows(**cols) -> pa.RecordBatch:
+    n = len(next(iter(cols.values())))
+    return pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) if f.name in cols else pa.nulls(n, f.type) for f in _FOUND], schema=_FOUND)
+
+
 def _index(length: int, block_bytes: int, bucket_bytes: int):
-    """Rows (key, id, pos, seg) sorted by (key, id, pos) to first windows (id, pos, n, null) and rows of
-    buckets too large to index (id, pos, null, seg)."""
-    schema = pa.schema([("id", pa.int64()), ("pos", pa.int64()), ("n", pa.int64()), ("seg", pa.binary())])
+    """Rows (key, id, h, pos, seg) sorted by all but the last to rows of _FOUND."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block: list[tuple[int, int, bytes]] = []  # distinct segments of whole buckets
+        block: list[list] = []  # distinct segments of whole buckets: id, h, pos, seg, whether other rows of the id hold it
         n_block = 0
-        bucket: dict[bytes, tuple[int, int]] = {}
+        bucket: dict[bytes, list] = {}
         n_bucket, now, big = 0, None, False
+        alone: list[tuple] = []  # windows of buckets with one distinct segment
+        others: list[tuple] = []
 
         def indexed(rows):
-            ids, pos, num = [], [], []
-            for (i, p, _), first in zip(rows, first_windows([s for *_, s in rows], length), strict=True):
-                at, n = _runs(first)
-                ids.append(np.full(len(at), i, np.int64))
-                pos.append(at + p)
-                num.append(n)
-            cols = [pa.array(np.concatenate(x).astype(np.int64)) for x in (ids, pos, num)]
-            return pa.RecordBatch.from_arrays([*cols, pa.nulls(len(cols[0]), pa.binary())], schema=schema)
+            found = {c: [] for c in ("id", "h", "pos", "n", "off", "sid")}
+            for (i, h, p, s, more), ok in zip(rows, owned_windows([r[3] for r in rows], [r[0] for r in rows], length), strict=True):
+                at, n = _runs(ok)
+                sid = _sid(s) if more else None
+                for c, v in zip(found, (i, h, p + at, n, at, sid), strict=True):
+                    found[c].extend(v.tolist() if isinstance(v, np.ndarray) else [v] * len(at))
+            return _rows(**found)
 
-        def too_big(rows):
-            cols = list(zip(*rows, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.nulls(len(rows), pa.int64()), pa.array(cols[2], pa.binary())], schema=schema)
+        def too_big():
+            cols = dict(zip(("id", "h", "pos", "seg"), list(zip(*bucket.values(), strict=True))[:4], strict=True))
+            return _rows(**cols, sid=[_sid(s) for s in cols["seg"]], key=[now] * len(bucket))
 
-        alone: list[tuple[int, int, int]] = []  # first windows of buckets with one distinct segment
+        def several(rows, names):
+            return _rows(**dict(zip(names, zip(*rows, strict=True), strict=True)))
 
         def close():
             nonlocal n_block
-            if len(bucket) == 1:
-                ((s, (i, p)),) = bucket.items()
-                alone.append((i, p, len(s) - length + 1))
-                return
-            block.extend((i, p, s) for s, (i, p) in bucket.items())
-            n_block += n_bucket
-
-        def lone():
-            cols = [pa.array(c, pa.int64()) for c in zip(*alone, strict=True)]
-            return pa.RecordBatch.from_arrays([*cols, pa.nulls(len(alone), pa.binary())], schema=schema)
+            if big:
+                yield too_big()
+            elif len(bucket) == 1:
+                ((i, h, p, s, more),) = bucket.values()
+                alone.append((i, h, p, len(s) - length + 1, 0, _sid(s) if more else None))
+            else:
+                block.extend(bucket.values())
+                n_block += n_bucket
 
         for b in batches:
-            for key, i, p, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+            for key, i, h, p, s in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if key != now:
                     if bucket:
-                        if not big:
-                            close()
-                        else:
-                            yield too_big([(i2, p2, s2) for s2, (i2, p2) in bucket.items()])
+                        yield from close()
                     if n_block >= block_bytes:
                         yield indexed(block)
                         block, n_block = [], 0
                     if len(alone) >= 1 << 16:
-                        yield lone()
+                        yield several(alone, ("id", "h", "pos", "n", "off", "sid"))
                         alone = []
+                    if len(others) >= 1 << 16:
+                        yield several(others, ("id", "h", "pos", "sid"))
+                        others = []
                     bucket, n_bucket, now, big = {}, 0, key, False
-                if s in bucket:
+                old = bucket.get(s)
+                if old is not None:
+                    if old[0] == i and old[1] != h:
+                        old[4] = True
+                        others.append((i, h, p, _sid(s)))
+                        if len(others) >= 1 << 16:
+                            yield several(others, ("id", "h", "pos", "sid"))
+                            others = []
                     continue
-                bucket[s] = (i, p)
+                bucket[s] = [i, h, p, s, False]
                 n_bucket += len(s)
                 if n_bucket > bucket_bytes:  # goes on in pieces; equal segments of two pieces do no harm
                     big = True
-                    yield too_big([(i2, p2, s2) for s2, (i2, p2) in bucket.items()])
+                    yield too_big()
                     bucket, n_bucket = {}, 0
         if bucket:
-            if big:
-                yield too_big([(i2, p2, s2) for s2, (i2, p2) in bucket.items()])
-            else:
-                close()
+            yield from close()
         if block:
             yield indexed(block)
         if alone:
-            yield lone()
+            yield several(alone, ("id", "h", "pos", "n", "off", "sid"))
+        if others:
+            yield several(others, ("id", "h", "pos", "sid"))
 
     return run
 
 
-def _window_hashes(length: int):
+def _split(length: int, salt: int):
+    """Segments (key, id, h, pos, seg) of large buckets to the segments of smaller ones, by another hash."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i, p, s in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                n = len(s) - length + 1
-                digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s[k : k + length]) for k in range(n)), np.int64).reshape(-1, 2)
-                cols = (digests[:, 0], digests[:, 1], np.full(n, i, np.int64), np.arange(p, p + n))
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in cols], names=["w0", "w1", "id", "pos"])
+        for b in common.pieces(batches):
+            out = []
+            for key, i, h, p, s in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                bounds, keys = buckets(np.frombuffer(s, np.uint8), length, salt)
+                keys = (keys.view(_U) ^ _U(key & (1 << 64) - 1) * _C[1]).view(np.int64)
+                for j, (a, e) in enumerate(zip(bounds.tolist(), bounds[1:].tolist(), strict=False)):
+                    out.append((int(keys[j]), i, h, p + a, s[a : e - 1 + length]))
+            cols = list(zip(*out, strict=True))
+            kinds = (*[pa.int64()] * 4, pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=list(b.schema.names))
 
     return run
 
@@ -383,6 +442,37 @@ def _removed(n: int, gone: np.ndarray, length: int) -> np.ndarray:
     return total[b + 1] > total[np.maximum(0, b - length + 1)]
 
 
+def _own_repeats(t: bytes, bounds: np.ndarray, keys: np.ndarray, gone: np.ndarray, length: int) -> None:
+    """Marks in ``gone`` the windows of a document that it holds earlier itself; such windows share a bucket."""
+    order = np.argsort(keys, kind="stable")
+    same = keys[order][1:] == keys[order][:-1]
+    block, size = [], 0
+
+    def close():
+        for a, first in zip([a for a, _ in block], first_windows([s for _, s in block], length), strict=True):
+            gone[a : a + len(first)] |= ~first
+
+    met: dict[bytes, int] = {}
+    for x in range(len(order)):
+        if not ((x and same[x - 1]) or (x < len(same) and same[x])):
+            continue
+        if not (x and same[x - 1]):  # the first segment of the next bucket
+            met = {}
+            if size >= BLOCK_BYTES:
+                close()
+                block, size = [], 0
+        a, e = int(bounds[order[x]]), int(bounds[order[x] + 1])
+        s = t[a : e - 1 + length]
+        if s in met:
+            gone[a:e] = True
+        else:
+            met[s] = a
+            block.append((a, s))
+            size += len(s)
+    if block:
+        close()
+
+
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
@@ -391,15 +481,16 @@ def _finish(length: int, with_text: bool):
     names = ["doc_id", "n_bytes", "n_removed", "spans", "kept_sha256", *(["kept"] if with_text else [])]
     kinds = [pa.int64(), pa.int64(), pa.int64(), _SPANS, pa.string(), *([pa.binary()] if with_text else [])]
 
-    def one(g: _Group, i: int, t: bytes):
+    def one(g: _Group, i: int, h: int, t: bytes):
         n = len(t)
         bounds, keys = buckets(np.frombuffer(t, np.uint8), length)
         hit = g.repeated(keys)
         spans, kept = [], t
         if hit.any():
             gone = np.repeat(hit, np.diff(bounds))
-            for p, k in g.firsts.get(i, ()):
+            for p, k in g.firsts.get((i, h), ()):
                 gone[p : p + k] = False
+            _own_repeats(t, bounds, keys, gone, length)
             mask = _removed(n, gone, length)
             at, size = _runs(mask)
             spans = [{"start": a, "end": a + z} for a, z in zip(at.tolist(), size.tolist(), strict=True)]
@@ -414,10 +505,10 @@ def _finish(length: int, with_text: bool):
             if kind == 0:
                 g.keys.append(cols["key"].to_numpy(zero_copy_only=False))
             elif kind == 1:
-                for i, p, n in zip(*(cols[c].to_pylist() for c in ("id", "pos", "n")), strict=True):
-                    g.firsts.setdefault(i, []).append((p, n))
+                for i, h, p, n in zip(*(cols[c].to_pylist() for c in ("id", "h", "pos", "n")), strict=True):
+                    g.firsts.setdefault((i, h), []).append((p, n))
             else:
-                rows = [one(g, i, t) for i, t in zip(cols["id"].to_pylist(), cols["text"].to_pylist(), strict=True)]
+                rows = [one(g, *r) for r in zip(*(cols[c].to_pylist() for c in ("id", "h", "text")), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     return run
@@ -431,26 +522,68 @@ def dedup(
     if length < 2 * GRAM:
         raise ValueError(f"strings of at least {2 * GRAM} bytes")
     spark = docs.sparkSession
-    common.tune(spark)
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    src = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"), text.alias("text"))
+    if not isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
+        raise TypeError("doc_id must be an integer column")
+    src = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
     total = src.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n_groups = parts * max(1, -(-total // (group_bytes * parts)))
-    grp = lambda: F.pmod(F.xxhash64("id"), F.lit(n_groups)).cast("int")
+    grp = lambda: F.pmod(F.xxhash64("id", "h"), F.lit(n_groups)).cast("int")
     counted = src.select(grp().alias("grp"), "text").mapInArrow(_count(length), "key long, said long")
     told = counted.repartition("key").sortWithinPartitions("key", "said").mapInArrow(_repeated, "grp int, key long")
     told = common.materialize(told, "suffix-keys", release=True)
-    null = lambda kind: F.lit(None).cast(kind)
-    keys = told.select("grp", F.lit(0).alias("kind"), "key", null("long").alias("id"), null("long").alias("pos"), null("long").alias("n"), null("binary").alias("text"))
-    rows = src.select(grp().alias("grp"), F.lit(2).alias("kind"), null("long").alias("key"), "id", null("long").alias("pos"), null("long").alias("n"), "text")
+    columns = {"key": "long", "id": "long", "h": "long", "pos": "long", "n": "long", "text": "binary"}
+    row = lambda df, kind: df.select(
+        "grp" if "grp" in df.columns else grp().alias("grp"), F.lit(kind).alias("kind"), *[F.col(c) if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in columns.items()]
+    )
+    keys, rows = row(told, 0), row(src, 2)
     deal = lambda df: df.repartition("grp").sortWithinPartitions("grp", "kind")
-    segments = deal(keys.unionByName(rows)).mapInArrow(_segments(length), "key long, id long, pos long, seg binary")
-    in_order = segments.repartition("key").sortWithinPartitions("key", "id", "pos")
-    found = common.materialize(in_order.mapInArrow(_index(length, block_bytes, bucket_bytes), "id long, pos long, n long, seg binary"), "suffix-first", release=True)
-    big = found.filter("seg is not null").select("id", "pos", "seg").mapInArrow(_window_hashes(length), "w0 long, w1 long, id long, pos long")
-    big = big.groupBy("w0", "w1").agg(F.min(F.struct("id", "pos")).alias("m")).select("m.id", "m.pos", F.lit(1).cast("long").alias("n"))
-    firsts = found.filter("seg is null").select("id", "pos", "n").unionByName(big)
-    firsts = firsts.select(grp().alias("grp"), F.lit(1).alias("kind"), null("long").alias("key"), "id", "pos", "n", null("binary").alias("text"))
+    segments = deal(keys.unionByName(rows)).mapInArrow(_segments(length), _SEGMENT)
+    found = _indexed(segments, length, block_bytes, bucket_bytes)
+    firsts = found.filter("n is not null").select("id", "h", "pos", "n")
+    shared = found.filter("n is null and seg is null")
+    if not shared.isEmpty():  # other rows of an id hold the same segments elsewhere
+        windows = found.filter("n is not null and sid is not null").select("id", "sid", "off", "n")
+        firsts = firsts.unionByName(shared.select("id", "h", "pos", "sid").join(windows, ["id", "sid"]).select("id", "h", (F.col("pos") + F.col("off")).alias("pos"), "n"))
     schema = "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept_sha256 string" + (", kept binary" if with_text else "")
-    return deal(keys.unionByName(firsts).unionByName(rows)).mapInArrow(_finish(length, with_text), schema)
+    return deal(keys.unionByName(row(firsts, 1)).unionByName(rows)).mapInArrow(_finish(length, with_text), schema)
+
+
+_SEGMENT = "key long, id long, h long, pos long, seg binary"
+
+
+def _indexed(segments: DataFrame, length: int, block_bytes: int, bucket_bytes: int) -> DataFrame:
+    """What the index says of all buckets (_FOUND without large buckets); large ones are split until none is left."""
+    out, salt = None, 0
+    while True:
+        in_order = segments.repartition("key").sortWithinPartitions("key", "id", "h", "pos")
+        # The last salt takes any size: after so many hashes, a bucket's windows are all but equal.
+        limit = bucket_bytes if salt < SALTS else 1 << 62
+        found = common.materialize(in_order.mapInArrow(_index(length, block_bytes, limit), _FOUND_SQL), "suffix-found", release=True)
+        out = found.filter("seg is null") if out is None else out.unionByName(found.filter("seg is null"))
+        big = found.filter("seg is not null")
+        if big.isEmpty():
+            return out
+        shared = found.filter("n is null and seg is null")
+        if not shared.isEmpty():  # rows that hold a segment of a large bucket are dealt with it
+            texts = big.select("sid", "key", "seg").dropDuplicates(["sid"])
+            big = big.select("key", "id", "h", "pos", "seg").unionByName(shared.select("id", "h", "pos", "sid").join(texts, "sid").select("key", "id", "h", "pos", "seg"))
+        salt += 1
+        segments = big.select("key", "id", "h", "pos", "seg").mapInArrow(_split(length, salt), _SEGMENT)
+
+
+ORACLE = f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+part AS (SELECT doc_id, a, x[2 * a + 1 : 2 * (a + {1000 + LENGTH - 1})] AS x FROM (SELECT doc_id, x, unnest(range(0, greatest(1, len(x) // 2 - {LENGTH - 1}), 1000)) AS a FROM d)),
+w AS (SELECT doc_id, a + k AS p, md5(x[2 * k + 1 : 2 * (k + {LENGTH})]) AS s FROM (SELECT doc_id, a, x, unnest(range(0, len(x) // 2 - {LENGTH - 1})) AS k FROM part)),
+gone AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY s ORDER BY doc_id, p) AS r FROM w) WHERE r > 1),
+island AS (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS i FROM
+  (SELECT doc_id, p, (p - coalesce(lag(p) OVER (PARTITION BY doc_id ORDER BY p), -1 - {LENGTH}) > {LENGTH})::INT AS new FROM gone)),
+span AS (SELECT doc_id, min(p) AS a, max(p) + {LENGTH} AS b FROM island GROUP BY doc_id, i),
+gap AS (SELECT span.doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY span.doc_id ORDER BY a), 0) AS before FROM span),
+kept AS (SELECT gap.doc_id, count(*) AS n_spans, sum(b - a)::BIGINT AS n_removed, string_agg(x[2 * before + 1 : 2 * a], '' ORDER BY a) || any_value(x)[2 * max(b) + 1 :] AS x
+  FROM gap JOIN d ON gap.doc_id = d.doc_id GROUP BY gap.doc_id)
+SELECT d.doc_id, len(d.x) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept.x, d.x))) AS kept_sha256
+FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id
+"""

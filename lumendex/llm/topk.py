@@ -132,7 +132,6 @@ def search(
     vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_id", vec_col: str = "embedding", salts: int | None = None
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the k best rows for each id where ``is_query`` holds."""
-    common.tune(vectors.sparkSession)
     all_rows = quantised(vectors, id_col, vec_col)
     queries = quantised(vectors.filter(is_query), id_col, vec_col).groupBy("id").agg(F.min("v").alias("v"))
     candidates = all_rows.mapInArrow(_pack(BLOCK_ROWS), _BLOCK)

@@ -152,7 +152,6 @@ def score(docs: DataFrame, model, keep: list[str], threshold: float = THRESHOLD)
 
 def detect(docs: DataFrame, labels: DataFrame, fold: int = 1, of: int = 3, max_rows: int = MAX_ROWS) -> DataFrame:
     """doc_id, held_out, score, predicted of every row; learned without the held-out fold."""
-    common.tune(docs.sparkSession)
     model = train(docs, labels, ~held_out(fold, of), max_rows)
     scored = score(docs, model, ["doc_id"])
     return scored.select("doc_id", held_out(fold, of).alias("held_out"), "score", "predicted")
