@@ -66,14 +66,25 @@ def discard(*frames: DataFrame) -> None:
             folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def row_key(id_col: str = "doc_id", text_col: str = "text") -> list[Column]:
-    """Key of a document row that every recomputation agrees on: its id and a hash of its text.
-    Repeated rows (same id, same text) share a key and so get equal results."""
-    return [F.col(id_col).alias("__id"), F.xxhash64(F.col(text_col)).alias("__h")]
+def packed(df: DataFrame, *columns: Column) -> DataFrame:
+    """All columns of df as one struct, row, beside others: no name of df can then clash with a name of ours."""
+    return df.select(F.struct(*[quoted(c) for c in df.columns]).alias("row"), *columns)
 
 
-def same_key(a: DataFrame, b: DataFrame) -> Column:
-    return a["__id"].eqNullSafe(b["__id"]) & (a["__h"] == b["__h"])
+def unpacked(df: DataFrame, like: DataFrame, *columns: Column) -> DataFrame:
+    return df.select(*[F.col("row").getField(c).alias(c) for c in like.columns], *columns)
+
+
+def quoted(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def free_name(name: str, taken: Sequence[str]) -> str:
+    """The name, with underscores after it while it is taken (Spark's names differ by more than case)."""
+    lower = {t.lower() for t in taken}
+    while name.lower() in lower:
+        name += "_"
+    return name
 
 
 def map_texts(
