@@ -5,21 +5,24 @@ included; a shorter text is one shingle) hashed by XXH64 with seed 42; a bit is
 over half of the hashes. A text without words has fingerprint zero. Fingerprints link at ``budget``
 or fewer differing bits; a component is named by its smallest document id.
 
-Join: equal fingerprints collapse first, so copies never meet as pairs. Two fingerprints within 2
-bits agree on at least 2 of their 4 16-bit blocks, so each is dealt to 6 groups that agree on two
-blocks. Within a group a binary trie over the other bits is joined with itself: pairs of nodes are
-walked together from the root, differing bits add up, and a pair is dropped once it exceeds the
-budget. A group above ``group_rows`` is not walked but dealt again by its remaining 32 bits (at least
-2 of 4 8-bit blocks agree), which bounds every group by 2**16 distinct fingerprints.
+Join: equal fingerprints collapse first, so copies never meet as pairs. A binary trie over all 64 bits is
+joined with itself: pairs of nodes are walked together from the root, differing bits add up, and a pair is
+dropped once it exceeds the budget. The pairs of nodes of one level are dealt to tasks (a fingerprint goes to
+each pair of its own node with one that is within the budget), which walk on below them. The level follows
+from the number of fingerprints, so that a pair has about ``group_rows`` / 2 of them; a pair that has
+more than ``group_rows`` is not walked but dealt again ``STEP`` levels deeper, as often as needed. Any
+budget is exact; the node pairs of N fingerprints grow with the number of ways to flip ``budget`` of log2 N bits.
 
 Defined cases: null text is a text without words; a null id takes part but never names a component
-unless the component has no other (then component_id is null); repeated rows get equal rows.
+unless the component has no other (then component_id is null); repeated rows get equal rows; an empty table
+gives no rows; a very long text is hashed whole, in memory linear in it; other columns are not read, and
+``keep_one`` returns them as they are, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +34,10 @@ from pyspark.sql import types as T
 from lumendex.llm import common
 
 SHINGLE, SEED, BUDGET = 3, 42, 2
-#: A larger group is dealt again by more bits.
-GROUP_ROWS = 4096
+#: A node pair of more fingerprints is dealt again, STEP levels deeper.
+GROUP_ROWS, STEP = 1 << 18, 4
+#: Fingerprints of small node pairs walked together.
+HELD_ROWS = 1 << 16
 #: Node pairs walked at once in one task.
 FRONTIER = 1 << 19
 
@@ -66,206 +71,172 @@ def fingerprints(docs: DataFrame, keep: list[str], text_col: str = "text", out:
 # -- trie self-join ---------------------------------------------------------------------------
 
 
-def trie_pairs(group: np.ndarray, code: np.ndarray, bits: int, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Row numbers of all pairs of one group whose codes differ in 1 to ``budget`` bits.
+def trie_pairs(code: np.ndarray, starts: tuple[np.ndarray, ...], depth: int, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers of all pairs of rows below the given node pairs whose codes differ in at most ``budget`` bits.
 
-    group, code: sorted by (group, code), codes distinct in a group, ``bits`` wide. A node is a range
-    of rows with a common prefix; pairs of nodes descend together, deepest first, in bounded slices.
+    A node is a range of rows with a common prefix of ``depth`` bits. starts: (a0, a1, b0, b1, differing bits so
+    far) of pairs of nodes; a node paired with itself gives each pair of its rows once. Codes are sorted and
+    distinct within each node. Pairs of nodes descend together, deepest first, in bounded slices; two
+    single rows are compared at once.
     """
-    if len(code) < 2:
-        return
-    edge = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
-    ends = np.concatenate((edge[1:], [len(code)]))
-    many = ends - edge > 1
-    a0, a1 = edge[many], ends[many]
-    # Per depth: number of set bits before each row, for splitting a range at its first set bit.
-    ones = [np.concatenate(([0], np.cumsum((code >> _U(bits - 1 - d)) & _U(1)).astype(np.int64))) for d in range(bits)]
-    stack = [(0, a0, a1, a0, a1, np.zeros(len(a0), np.int8))]
+    # Per depth, on demand: number of set bits before each row, for splitting a range at its first set bit.
+    ones: dict[int, np.ndarray] = {}
+    stack = [(depth, *starts)]
     while stack:
         depth, a0, a1, b0, b1, err = stack.pop()
         if len(a0) > FRONTIER:
             half = len(a0) // 2
             stack += [(depth, *(x[:half] for x in (a0, a1, b0, b1, err))), (depth, *(x[half:] for x in (a0, a1, b0, b1, err)))]
             continue
-        if depth == bits:
-            keep = a0 != b0
-            if keep.any():
-                yield a0[keep], b0[keep]
+        single = (a1 - a0 == 1) & (b1 - b0 == 1)
+        if single.any():
+            i, j = a0[single], b0[single]
+            near = (np.bitwise_count(code[i] ^ code[j]) <= budget) & (i != j)
+            if near.any():
+                yield i[near], j[near]
+            a0, a1, b0, b1, err = (x[~single] for x in (a0, a1, b0, b1, err))
+        if depth == 64 or not len(a0):
             continue
+        if depth not in ones:
+            ones[depth] = np.concatenate((np.zeros(1, np.int32), np.cumsum((code >> _U(63 - depth)) & _U(1), dtype=np.int32)))
         c = ones[depth]
         am, bm = a1 - (c[a1] - c[a0]), b1 - (c[b1] - c[b0])
-        same = (a0 == b0) & (a1 == b1)
+        same = a0 == b0
         parts = []
         for left, right, cost, rows in (
             ((a0, am), (b0, bm), 0, None), ((am, a1), (bm, b1), 0, None), ((a0, am), (bm, b1), 1, None), ((am, a1), (b0, bm), 1, ~same),
         ):
             e = err + cost
             ok = (left[0] < left[1]) & (right[0] < right[1]) & (e <= budget)
-            # A node with itself needs two rows; with only one nothing is left to find below it.
-            ok &= ~((left[0] == right[0]) & (left[1] == right[1]) & (left[1] - left[0] < 2))
             if rows is not None:
                 ok &= rows
             if ok.any():
-                parts.append((left[0][ok], left[1][ok], right[0][ok], right[1][ok], e[ok].astype(np.int8)))
+                parts.append((left[0][ok], left[1][ok], right[0][ok], right[1][ok], e[ok]))
         if parts:
             stack.append((depth + 1, *(np.concatenate(x) for x in zip(*parts, strict=True))))
 
 
-def _blocks(code: np.ndarray, bits: int) -> list[np.ndarray]:
-    width = _U(bits // 4)
-    mask = _U((1 << (bits // 4)) - 1)
-    return [(code >> (width * _U(3 - i))) & mask for i in range(4)]
-
-
-CHOICES = list(combinations(range(4), 2))
-
-
-def split_code(code: np.ndarray, choice: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """(two agreed blocks, the two others) of a code for one of the six choices."""
-    b, width = _blocks(code, bits), _U(bits // 4)
-    i, j = CHOICES[choice]
-    r, s = (x for x in range(4) if x not in (i, j))
-    return (b[i] << width) | b[j], (b[r] << width) | b[s]
-
-
-def first_choice(x: np.ndarray, y: np.ndarray, bits: int) -> np.ndarray:
-    """The first choice on which both codes agree, so that a pair is reported by one group."""
-    eq = [p == q for p, q in zip(_blocks(x, bits), _blocks(y, bits), strict=True)]
-    out = np.full(len(x), 6, np.int8)
-    for c in range(5, -1, -1):
-        out[eq[CHOICES[c][0]] & eq[CHOICES[c][1]]] = c
-    return out
-
-
-_GROUP = "c0 int, k0 long, c1 int, k1 long, fp long"
-_LINK = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("c0", pa.int32())])
-
-
-def _walk(rows: dict[str, np.ndarray], level: int, budget: int) -> Iterator[pa.RecordBatch]:
-    """Links among rows of whole groups, sorted by group. level 0: groups by (c0, k0); 1: by (c0, k0, c1, k1)."""
-    fp = rows["fp"].view(_U)
-    rest0 = np.zeros_like(fp)
-    for c in range(6):
-        m = rows["c0"] == c
-        rest0[m] = split_code(fp[m], c, 64)[1]
-    names = ("c0", "k0") if level == 0 else ("c0", "k0", "c1", "k1")
-    code, bits = rest0, 32
-    if level:
-        code, bits = np.zeros_like(fp), 16
-        for c in range(6):
-            m = rows["c1"] == c
-            code[m] = split_code(rest0[m], c, 32)[1]
-    order = np.lexsort((code, *(rows[n] for n in reversed(names))))
-    fp, rest0, code = fp[order], rest0[order], code[order]
-    cols = [rows[n][order] for n in names]
-    new = np.zeros(len(fp), bool)
-    for x in cols:
-        new[1:] |= x[1:] != x[:-1]
-    c0 = cols[0]
-    for i, j in trie_pairs(np.cumsum(new), code, bits, budget):
-        ok = first_choice(fp[i], fp[j], 64) == c0[i]
-        if level:
-            ok &= first_choice(rest0[i], rest0[j], 32) == cols[2][i]
-        x, y = fp[i[ok]].view(np.int64), fp[j[ok]].view(np.int64)
-        if len(x):
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.nulls(len(x), pa.int32())], schema=_LINK)
-
-
-def _join_groups(level: int, budget: int, group_rows: int | None):
-    """Reads rows sorted by group in batches; groups above group_rows come back as (fp, null, c0)."""
-    names = ["c0", "k0", "c1", "k1"]
+_GROUP = pa.schema([("depth", pa.int32()), ("low", pa.int64()), ("high", pa.int64()), ("fp", pa.int64())])
+_GROUP_SQL = "depth int, low long, high long, fp long"
+
+
+def _deal(to: int, budget: int):
+    """Rows of node pairs (depth, low, high: the two prefixes) to the node pairs ``to`` - depth levels below.
+
+    Each row goes to every pair of its node with a node of the other side that keeps within the budget."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        masks = {}
+        for b in common.pieces(batches):
+            depth, low, high, fp = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("depth", "low", "high", "fp"))
+            for d in np.unique(depth).tolist():
+                step = to - d
+                if d not in masks:
+                    flips = [sum(1 << k for k in bits) for n in range(budget + 1) for bits in combinations(range(step), n)]
+                    masks[d] = np.array(flips, _U), np.bitwise_count(np.array(flips, _U))
+                flip, cost = masks[d]
+                m = depth == d
+                a, z, code = low[m].view(_U), high[m].view(_U), fp[m].view(_U)
+                own = code >> _U(64 - d) if d else np.zeros(len(code), _U)
+                other = np.where(own == a, z, a)
+                mine = code >> _U(64 - to)
+                err = np.bitwise_count(a ^ z)
+                for f, c in zip(flip, cost, strict=True):
+                    ok = err + c <= budget
+                    x = mine[ok]
+                    y = (other[ok] << _U(step)) | ((x & _U((1 << step) - 1)) ^ f)
+                    n = len(x)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, to, np.int32)), *(pa.array(v.view(np.int64)) for v in (np.minimum(x, y), np.maximum(x, y), code[ok]))], schema=_GROUP)
+
+    return run
+
+
+_LINK = pa.schema([("a", pa.int64()), ("b", pa.int64()), *list(_GROUP)[:3]])
+_LINK_SQL = "a long, b long, depth int, low long, high long"
+
+
+def _walk(parts: list[dict[str, np.ndarray]], budget: int) -> Iterator[pa.RecordBatch]:
+    """Links among rows of whole node pairs of one depth."""
+    g = {c: np.concatenate([p[c] for p in parts]) for c in parts[0]}
+    depth, code = int(g["depth"][0]), g["fp"].view(_U)
+    order = np.lexsort((code, g["high"].view(_U), g["low"].view(_U)))
+    low, high, code = g["low"].view(_U)[order], g["high"].view(_U)[order], code[order]
+    edge = np.flatnonzero(np.concatenate(([True], (low[1:] != low[:-1]) | (high[1:] != high[:-1]))))
+    ends = np.append(edge[1:], len(code))
+    a, z = low[edge], high[edge]
+    err = np.bitwise_count(a ^ z).astype(np.int8)
+    # The rows of the lower node come first in their group.
+    in_low = np.concatenate(([0], np.cumsum((code >> _U(64 - depth) if depth else np.zeros_like(code)) == low)))
+    middle = edge + in_low[ends] - in_low[edge]
+    twin = a == z
+    starts = (edge, np.where(twin, ends, middle), np.where(twin, edge, middle), ends, err)
+    some = (starts[0] < starts[1]) & (starts[2] < starts[3])
+    for i, j in trie_pairs(code, tuple(x[some] for x in starts), depth, budget):
+        x, y = code[i].view(np.int64), code[j].view(np.int64)
+        none = pa.nulls(len(x), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), none.cast(pa.int32()), none, none], schema=_LINK)
+
+
+def _join_nodes(budget: int, group_rows: int):
+    """Rows of one depth sorted by node pair to links; rows of a pair above group_rows come back as (fp, null, pair)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []  # whole small groups and the open last one
+        held: list[dict] = []  # whole node pairs and the open last one
         n_held, last, n_last, big = 0, None, 0, False
 
-        def flush(parts):
-            if parts:
-                yield from _walk({n: np.concatenate([p[n] for p in parts]) for n in parts[0]}, level, budget)
-
-        for batch in batches:
-            cols = {n: batch.column(i).to_numpy(zero_copy_only=False) for i, n in enumerate([*names, "fp"])}
-            new = np.zeros(batch.num_rows, bool)
-            for n in names:
-                new[1:] |= cols[n][1:] != cols[n][:-1]
-            edge = [*np.flatnonzero(new).tolist(), batch.num_rows]
-            start = 0
-            for end in edge:
-                if end == start:
+        def again(p: dict) -> pa.RecordBatch:
+            n = len(p["fp"])
+            return pa.RecordBatch.from_arrays([pa.array(p["fp"]), pa.nulls(n, pa.int64()), *(pa.array(p[c]) for c in ("depth", "low", "high"))], schema=_LINK)
+
+        for b in batches:
+            cols = {f.name: b.column(i).to_numpy(zero_copy_only=False) for i, f in enumerate(_GROUP)}
+            new = (cols["low"][1:] != cols["low"][:-1]) | (cols["high"][1:] != cols["high"][:-1])
+            for start, end in pairwise([0, *(np.flatnonzero(new) + 1).tolist(), b.num_rows]):
+                if start == end:
                     continue
                 part = {n: v[start:end] for n, v in cols.items()}
-                key = tuple(int(part[n][0]) for n in names)
+                key = int(part["low"][0]), int(part["high"][0])
                 if key != last:
-                    if n_held > 1 << 16:
-                        yield from flush(held)
+                    if n_held > HELD_ROWS:
+                        yield from _walk(held, budget)
                         held, n_held = [], 0
-                    elif n_last == 1 and held:  # a group of one has no pairs
-                        n_held -= 1
-                        held.pop()
                     last, n_last, big = key, 0, False
                 n_last += end - start
-                if group_rows is not None and n_last > group_rows and not big:
+                if not big and n_last > group_rows and int(part["depth"][0]) < 64:
                     big = True
-                    mine = []
-                    while held and tuple(int(held[-1][n][0]) for n in names) == key:
-                        mine.append(held.pop())
-                    for p in mine:
+                    while held and (int(held[-1]["low"][0]), int(held[-1]["high"][0])) == key:
+                        p = held.pop()
                         n_held -= len(p["fp"])
-                        yield _again(p)
+                        yield again(p)
                 if big:
-                    yield _again(part)
+                    yield again(part)
                 else:
                     held.append(part)
                     n_held += end - start
-                start = end
-        yield from flush(held)
-
-    return run
-
-
-def _again(part: dict) -> pa.RecordBatch:
-    n = len(part["fp"])
-    return pa.RecordBatch.from_arrays([pa.array(part["fp"]), pa.nulls(n, pa.int64()), pa.array(part["c0"].astype(np.int32))], schema=_LINK)
-
-
-def _deal(level: int):
-    """Each row to its six groups."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fp = batch.column("fp").to_numpy(zero_copy_only=False).astype(np.int64)
-            if level:
-                c0 = batch.column("c0").to_numpy(zero_copy_only=False).astype(np.int32)
-            for c in range(6):
-                if level == 0:
-                    c0, k0 = np.full(len(fp), c, np.int32), split_code(fp.view(_U), c, 64)[0].view(np.int64)
-                    c1, k1 = np.zeros(len(fp), np.int32), np.zeros(len(fp), np.int64)
-                else:
-                    k0, rest = np.zeros(len(fp), np.int64), np.zeros(len(fp), _U)
-                    for x in range(6):
-                        m = c0 == x
-                        k, r = split_code(fp[m].view(_U), x, 64)
-                        k0[m], rest[m] = k.view(np.int64), r
-                    c1, k1 = np.full(len(fp), c, np.int32), split_code(rest, c, 32)[0].view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (c0, k0, c1, k1, fp)], names=["c0", "k0", "c1", "k1", "fp"])
+        if held:
+            yield from _walk(held, budget)
 
     return run
 
 
 def links(distinct: DataFrame, budget: int = BUDGET, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """(a, b), a < b: all pairs of the distinct fingerprints in ``fp`` at 1 to ``budget`` (at most 2) differing bits."""
-    if not 0 <= budget <= 2:
-        raise ValueError("the blocks are laid out for a budget of at most 2 bits")
-    spark = distinct.sparkSession
-    keys = ["c0", "k0", "c1", "k1"]
-    schema = "a long, b long, c0 int"
-    dealt = distinct.select("fp").mapInArrow(_deal(0), _GROUP)
-    dealt = dealt.repartition(*keys).sortWithinPartitions(*keys)
-    first = common.materialize(dealt.mapInArrow(_join_groups(0, budget, group_rows), schema), "simhash-links")
-    big = first.filter("b is null").select(F.col("a").alias("fp"), "c0")
-    again = big.mapInArrow(_deal(1), _GROUP).repartition(*keys).sortWithinPartitions(*keys)
-    second = again.mapInArrow(_join_groups(1, budget, None), schema)
-    return first.filter("b is not null").select("a", "b").unionByName(second.select("a", "b"))
+    """(a, b), a < b: all pairs of the distinct fingerprints in ``fp`` at 1 to ``budget`` differing bits."""
+    if not 0 <= budget <= 64:
+        raise ValueError("a budget of 0 to 64 bits")
+    n = distinct.count()
+    depth = min(64, max(4, (4 * n // group_rows).bit_length()))
+    whole = F.lit(0).cast("long")
+    rows = distinct.select(F.lit(0).cast("int").alias("depth"), whole.alias("low"), whole.alias("high"), "fp")
+    out = None
+    while True:
+        dealt = rows.mapInArrow(_deal(depth, budget), _GROUP_SQL).repartition("low", "high").sortWithinPartitions("low", "high")
+        found = common.materialize(dealt.mapInArrow(_join_nodes(budget, group_rows), _LINK_SQL), "simhash-links", release=True)
+        pairs = found.filter("b is not null").select("a", "b")
+        out = pairs if out is None else out.unionByName(pairs)
+        rows = found.filter("b is null").select("depth", "low", "high", F.col("a").alias("fp"))
+        if depth == 64 or rows.isEmpty():
+            return out
+        depth = min(64, depth + STEP)
 
 
 # -- components -------------------------------------------------------------------------------
@@ -336,9 +307,10 @@ def keep_one(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
 
 def keep_rows(docs: DataFrame, first: DataFrame) -> DataFrame:
     """The documents named in first (doc_id, __h), each once."""
-    # Plain equality on the same three keys, so that the join and the de-duplication share one shuffle of the texts.
-    key = {"__none": F.col("doc_id").isNull(), "__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0))}
-    keys = [*key, "__h"]
-    keep = first.withColumns(key).select(*keys)
-    keyed = docs.withColumns(key | {"__h": F.xxhash64("text")})
-    return keyed.join(keep, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)
+    # Plain equality on the same three keys, so that the join and the de-duplication share one shuffle of the
+    # texts. The columns of docs travel as one struct, so none can clash with a key.
+    some = F.lit(0).cast(docs.schema["doc_id"].dataType)
+    key = [F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", some).alias("id")]
+    wanted = first.select(*key, F.col("__h").alias("h"))
+    rows = common.packed(docs, *key, F.xxhash64("text").alias("h"))
+    return common.unpacked(rows.join(wanted, ["none", "id", "h"], "left_semi").dropDuplicates(["none", "id", "h"]), docs)
