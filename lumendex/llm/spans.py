@@ -18,8 +18,7 @@ a join that Spark can split, so a run that a third of the documents share is nev
 Defined cases: null text has no sentence and stays null; empty texts, and an empty table, give equal rows
 back; very long texts are only cut, in linear time and memory; rows that share an id (null ids too, which come
 last) are ordered by text hash; of rows equal in id and text one counts as the first and the others lose
-all their sentences, if there are ``n``; other columns are not read and may have any name that does not
-start with ``__``. Ids are integers, or texts that hold one.
+all their sentences, if there are ``n``; other columns are not read and may have any name. Ids must be integers.
 """
 
 from __future__ import annotations
@@ -30,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -179,8 +178,8 @@ def repeated(docs: DataFrame, n: int = SENTENCES) -> tuple[DataFrame, DataFrame]
 
 
 FIELDS = T.StructType([
-    T.StructField("__n_sentences", T.LongType()), T.StructField("__n_removed", T.LongType()),
-    T.StructField("__bytes_removed", T.LongType()), T.StructField("__kept", T.StringType()),
+    T.StructField("n_sentences", T.LongType()), T.StructField("n_removed", T.LongType()),
+    T.StructField("bytes_removed", T.LongType()), T.StructField("kept", T.StringType()),
 ])
 
 
@@ -209,54 +208,55 @@ def _sentence_ends(text: bytes) -> Iterator[int]:
             start = end
 
 
-def clean_rows(docs: DataFrame, keep: list[str], n: int = SENTENCES) -> DataFrame:
-    """``keep`` columns plus those of FIELDS. Of rows equal in id and text all but one come back without sentences."""
+def clean_rows(docs: DataFrame, row: Column, n: int = SENTENCES) -> DataFrame:
+    """row and the columns of FIELDS. Of rows equal in id and text all but one come back without sentences."""
+    if not isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
+        raise TypeError("doc_id must be an integer column")
     found, copies = repeated(docs, n)
-    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("__id"), F.xxhash64("text").alias("__h")]
-    left = docs.select(*[F.col(c) for c in keep], *([] if "text" in keep else ["text"]), *key)
-    copies = copies.toDF("__id", "__h", "__copies")
-    if not copies.isEmpty():
-        once = left.join(copies, ["__id", "__h"]).dropDuplicates(["__id", "__h"])
-        others = left.join(copies, ["__id", "__h"], "left_anti").withColumn("__copies", F.lit(1).cast("long"))
-        left = others.unionByName(once)
+    key = ["id", "h"]
+    left = docs.select(row.alias("row"), "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"), F.xxhash64("text").alias("h"))
+    if copies.isEmpty():
+        left = left.withColumn("copies", F.lit(1).cast("long"))
     else:
-        left = left.withColumn("__copies", F.lit(1).cast("long"))
-    both = left.join(found.toDF("__id", "__h", "__places"), ["__id", "__h"], "left")
-    src = both.select(*[F.col(c) for c in keep], "__copies", "__places", F.col("text").cast("binary").alias("__text"))
-    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("__copies", T.LongType()), *FIELDS])
-    k = len(keep)
+        once = left.join(copies, key).dropDuplicates(key)
+        left = left.join(copies, key, "left_anti").withColumn("copies", F.lit(1).cast("long")).unionByName(once)
+    both = left.join(found, key, "left")
+    src = both.select("row", "copies", "places", F.col("text").cast("binary").alias("text"))
+    schema = T.StructType([src.schema["row"], src.schema["copies"], *FIELDS])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.pieces(batches):
-            rows = [remove(t, p) for p, t in zip(b.column(k + 1).to_pylist(), b.column(k + 2).to_pylist(), strict=True)]
+            rows = [remove(t, p) for p, t in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
             new = [pa.array(x, pa.string() if i == 3 else pa.int64()) for i, x in enumerate(zip(*rows, strict=True))]
-            yield pa.RecordBatch.from_arrays([*b.columns[: k + 1], *new], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], *new], names=schema.names)
 
     out = src.mapInArrow(run, schema)
-    # A copy loses every sentence.
-    each = out.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
-    is_copy = F.col("__copy") > 1
+    if copies.isEmpty():
+        return out.drop("copies")
+    each = out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    gone = F.col("copy") > 1  # a copy loses every sentence
     return each.select(
-        *[F.col(c) for c in keep], "__n_sentences", F.when(is_copy, F.col("__n_sentences")).otherwise(F.col("__n_removed")).alias("__n_removed"),
-        F.when(is_copy, F.col("__bytes_removed") + F.octet_length("__kept")).otherwise(F.col("__bytes_removed")).alias("__bytes_removed"),
-        F.when(is_copy, F.lit("")).otherwise(F.col("__kept")).alias("__kept"),
+        "row", "n_sentences", F.when(gone, F.col("n_sentences")).otherwise(F.col("n_removed")).alias("n_removed"),
+        F.when(gone, F.col("bytes_removed") + F.octet_length("kept")).otherwise(F.col("bytes_removed")).alias("bytes_removed"),
+        F.when(gone, F.lit("")).otherwise(F.col("kept")).alias("kept"),
     )
 
 
 def dedup(docs: DataFrame, n: int = SENTENCES) -> DataFrame:
     """doc_id, n_sentences, n_removed (sentences that went whole), bytes_removed, text (what is left) of every row."""
-    names = {f.name: f.name.strip("_") for f in FIELDS} | {"__kept": "text"}
-    return clean_rows(docs, ["doc_id"], n).select("doc_id", *[F.col(c).alias(name) for c, name in names.items()])
+    rows = clean_rows(docs, F.col("doc_id"), n)
+    return rows.select(F.col("row").alias("doc_id"), "n_sentences", "n_removed", "bytes_removed", F.col("kept").alias("text"))
 
 
 def rewrite(docs: DataFrame, n: int = SENTENCES) -> DataFrame:
     """The documents with repeated sentences removed; one whose sentences all went is dropped. n_chars is kept true."""
-    rows = clean_rows(docs, [c for c in docs.columns if c != "text"], n).filter("__n_removed = 0 or __n_removed < __n_sentences")
-    rows = rows.withColumn("text", F.col("__kept"))
-    if "n_chars" in docs.columns:
-        chars = F.when(F.col("__bytes_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
-        rows = rows.withColumn("n_chars", chars.cast(docs.schema["n_chars"].dataType))
-    return rows.select(*docs.columns)
+    row = F.struct(*[common.quoted(c) for c in docs.columns if c != "text"])
+    rows = clean_rows(docs, row, n).filter("n_removed = 0 or n_removed < n_sentences")
+    new = {c: F.col("row").getField(c) for c in docs.columns if c != "text"} | {"text": F.col("kept")}
+    if "n_chars" in new:
+        chars = F.when(F.col("bytes_removed") > 0, F.length("kept")).otherwise(new["n_chars"])
+        new["n_chars"] = chars.cast(docs.schema["n_chars"].dataType)
+    return rows.select(*[new[c].alias(c) for c in docs.columns])
 
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
