@@ -8,11 +8,15 @@ follow-the-regularised-leader with an elastic net; a fifth of the sample is held
 temperature that calibrates the scores.
 
 Training reads at most about ``max_rows`` documents in equal shares of the languages, taken by a hash
-of the id (a documented bound on the fit; the statistics and the predictions cover every row).
+of the id, in its order until they hold ``max_cells`` coordinates, of the ``max_langs`` most frequent languages
+(documented bounds on the fit, which also bound the broadcast weights; the statistics and the predictions
+cover every row).
 
 Defined cases: null text or one without a letter is ``und`` with score 0; rows with null text, lang
 or id are not learned from; with nothing to learn every text is ``und``; ties between languages go
-to the first in alphabetical order; repeated rows get equal rows.
+to the first in alphabetical order; repeated rows get equal rows; an empty table gives no rows; a very long
+text is read whole, in memory linear in it; other columns are not read, and ``keep_identified`` returns them as
+they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,6 +35,8 @@ from lumendex.llm.toxicity import held_out
 
 HASH_BITS = 14
 MAX_ROWS = 4000
+#: Bounds of the fit: languages (the most frequent ones are learned), and coordinates of all sampled texts.
+MAX_LANGS, MAX_CELLS = 512, 1 << 24
 EPOCHS = 5
 PENALTY = Penalty(alpha=5.0, beta=1.0, l1=0.3, l2=0.01)
 UNKNOWN = "und"
@@ -124,10 +130,11 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], n_langs: int, bits: int
 _FIT = T.StructType([T.StructField("w", T.BinaryType()), T.StructField("b", T.BinaryType()), T.StructField("t", T.DoubleType())])
 
 
-def train(docs: DataFrame, learn: Column, max_rows: int = MAX_ROWS):
+def train(docs: DataFrame, learn: Column, max_rows: int = MAX_ROWS, max_langs: int = MAX_LANGS, max_cells: int = MAX_CELLS):
     """(languages, idf, weights, intercepts, temperature), learned where ``learn`` holds and lang is known."""
     known = docs.filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    by_size = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang")
+    counts = {r["lang"]: r["n"] for r in by_size.limit(max_langs).collect()}
     langs = sorted(counts)
     if not langs:
         return langs, None, None, None, 1.0
@@ -137,7 +144,7 @@ def train(docs: DataFrame, learn: Column, max_rows: int = MAX_ROWS):
     share = max_rows / len(langs)
     rates = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(min(1.0, share / counts[k])))])
     numbers = F.create_map(*[x for i, k in enumerate(langs) for x in (F.lit(k), F.lit(i))])
-    sample = known.filter(spot < rates[F.col("lang")]).withColumn("y", numbers[F.col("lang")])
+    sample = known.select("doc_id", "text", "lang").filter(spot < rates[F.col("lang")]).withColumn("y", numbers[F.col("lang")])
     fields = T.StructType([T.StructField("at", T.BinaryType()), T.StructField("x", T.BinaryType())])
 
     def make():
@@ -155,10 +162,12 @@ def train(docs: DataFrame, learn: Column, max_rows: int = MAX_ROWS):
     one = rows.repartition(1).sortWithinPartitions(F.xxhash64(F.lit("language order"), "doc_id"), F.xxhash64("x"))
 
     def learn_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        data = []
-        for b in batches:
-            cols = (b.column(k).to_pylist() for k in ("at", "x", "y"))
-            data += [(np.frombuffer(at, np.int32), np.frombuffer(x, np.float32), y) for at, x, y in zip(*cols, strict=True)]
+        data, cells = [], 0
+        for b in common.pieces(batches):
+            for at, x, y in zip(*(b.column(k).to_pylist() for k in ("at", "x", "y")), strict=True):
+                cells += len(at) // 4
+                if cells <= max_cells:
+                    data.append((np.frombuffer(at, np.int32), np.frombuffer(x, np.float32), y))
         w, b0, t = fit(data, len(langs))
         yield pa.RecordBatch.from_pydict({"w": [w.astype(np.float32).tobytes()], "b": [b0.tobytes()], "t": [t]})
 
@@ -207,6 +216,5 @@ def identify(docs: DataFrame, fold: int = 2, of: int = 4, max_rows: int = MAX_RO
 def keep_identified(docs: DataFrame, min_score: float = MIN_SCORE, max_rows: int = MAX_ROWS) -> DataFrame:
     """The documents whose language is identified with at least ``min_score``, unchanged."""
     model = train(docs, F.lit(True), max_rows)
-    names = T.StructType([T.StructField("__lang_pred", T.StringType()), T.StructField("__score", T.DoubleType())])
-    scored = predict(docs, model, docs.columns, names)
-    return scored.filter((F.col("__lang_pred") != UNKNOWN) & (F.col("__score") >= min_score)).select(*docs.columns)
+    scored = predict(common.packed(docs, F.col("text")), model, ["row"])
+    return common.unpacked(scored.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)), docs)

@@ -5,12 +5,14 @@ first four letters (so inflected forms share a coordinate), neighbouring pairs a
 word skipped. L1 leaves few weights, which are broadcast.
 
 Training reads at most about ``max_rows`` labelled rows a class, taken by a hash of the id at rates
-computed from the class counts (a documented bound on the fit; scoring covers every row). The
-intercept is then shifted to the class shares of all labelled training rows.
+computed from the class counts, in the order of another hash until they hold ``max_cells`` coordinates
+(documented bounds on the fit; scoring covers every row). The intercept is then shifted to the class shares of all labelled training rows.
 
 Defined cases: null and empty texts score by the intercept alone; rows whose label or id is null are
 not learned from; of several labels for an id the highest counts; without both classes the score is
-the share of label 1 (0 without any label); null ids are not held out.
+the share of label 1 (0 without any label); null ids are not held out; repeated rows get equal rows; an empty
+table gives no rows; a very long text is read whole, in memory linear in it; other columns of documents and
+labels are not read and may have any name.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ from lumendex.llm.ftrl import Ftrl, Penalty, sigmoid
 
 HASH_BITS = 20
 MAX_ROWS = 4000
+#: Bound on the coordinates of all sampled texts.
+MAX_CELLS = 1 << 25
 EPOCHS = 6
 PENALTY = Penalty(alpha=2.0, beta=1.0, l1=3.0, l2=0.0)
 STEM = 4
@@ -92,7 +96,7 @@ def held_out(fold: int, of: int, id_col: str = "doc_id") -> Column:
 _FIT = T.StructType([T.StructField("at", T.BinaryType()), T.StructField("w", T.BinaryType()), T.StructField("b", T.DoubleType())])
 
 
-def train(docs: DataFrame, labels: DataFrame, learn: Column, max_rows: int = MAX_ROWS):
+def train(docs: DataFrame, labels: DataFrame, learn: Column, max_rows: int = MAX_ROWS, max_cells: int = MAX_CELLS):
     """Fit on the labelled rows of ``labels`` (doc_id, toxic) for which ``learn`` holds."""
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & learn)
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
@@ -103,7 +107,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, max_rows: int = MAX
     spot = F.pmod(F.xxhash64(F.lit("toxicity sample"), "doc_id"), F.lit(1 << 20))
     rate = F.when(F.col("y") == 1, min(1, max_rows / counts.get(1, 1))).otherwise(min(1, max_rows / counts.get(0, 1)))
     sample = known.filter(spot < rate * (1 << 20))  # about 2 * max_rows small rows: may be broadcast
-    src = docs.join(F.broadcast(sample), "doc_id").select("doc_id", "text", "y")
+    src = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
     fields = T.StructType([T.StructField("x", T.BinaryType())])
 
     def make():
@@ -114,9 +118,12 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, max_rows: int = MAX
     one = rows.repartition(1).sortWithinPartitions(order, F.xxhash64("x"))
 
     def learn_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        data = []
-        for b in batches:
-            data += [(np.frombuffer(x, np.int32), y) for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True)]
+        data, cells = [], 0
+        for b in common.pieces(batches):
+            for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True):
+                cells += len(x) // 4
+                if cells <= max_cells:
+                    data.append((np.frombuffer(x, np.int32), y))
         at, w, bias = fit(data, prior)
         yield pa.RecordBatch.from_pydict({"at": [at.astype(np.int32).tobytes()], "w": [w.tobytes()], "b": [bias]})
 
