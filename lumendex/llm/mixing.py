@@ -9,7 +9,10 @@ copies are shuffled globally by a hashed key: dealt to partitions by it and sort
 
 Defined cases: a null source is a source of its own, named by a null in the weights table; a source
 without a weight, or of weight zero or less, gives no copies; null ids and null texts are drawn like
-any other row; repeated rows draw the same number.
+any other row; repeated rows draw the same number; an empty table or one without weights gives no rows; a
+very long text is carried, and hashed once; other columns may have any name (see ``mix``). The distribution is
+cut after ``TERMS`` - 1 copies a piece and rounded to 12 places, so that SQL agrees with it: at a mean of 8 or less
+the tail beyond is under 1e-30, below the rounding.
 """
 
 from __future__ import annotations
@@ -61,26 +64,28 @@ def uniform(seed: Column, key: Column) -> Column:
 
 
 def mix(docs: DataFrame, weights: DataFrame, size: float = 1.0, seed: str = SEED, partitions: int | None = None) -> DataFrame:
-    """The columns of docs plus copy (from 0) and mix_key; one row a copy, in globally shuffled order."""
+    """The columns of docs plus copy (from 0) and mix_key; one row a copy, in globally shuffled order. Where docs has a
+    column of such a name, it stays and the new one's name ends in an underscore."""
     table = rates(docs, weights, size)
-    table = table.withColumn("__pieces", F.greatest(F.lit(1), F.ceil(F.col("rate") / PIECE)).cast("int"))
-    table = table.withColumn("__cdf", distribution(F.col("rate") / F.col("__pieces")))
-    table = common.materialize(table.select(F.col("source").alias("__source"), "__pieces", "__cdf"), "mix-rates")
+    table = table.withColumn("pieces", F.greatest(F.lit(1), F.ceil(F.col("rate") / PIECE)).cast("int"))
+    table = table.withColumn("cdf", distribution(F.col("rate") / F.col("pieces")))
+    table = common.materialize(table.select(F.col("source").alias("of"), "pieces", "cdf"), "mix-rates")
+    key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.md5(F.coalesce(F.col("text"), F.lit(""))))
+    rows = common.packed(docs, F.col("source").alias("source"), key.alias("key"))
     if table.count() <= BROADCAST_SOURCES:
-        joined = docs.join(F.broadcast(table), docs["source"].eqNullSafe(table["__source"]))
+        joined = rows.join(F.broadcast(table), rows["source"].eqNullSafe(table["of"]))
     else:  # too many sources to broadcast: salt the documents, so that a large source is dealt out
-        salted = docs.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "text"), F.lit(SALTS)).cast("int"))
-        table = table.withColumn("__salts", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = salted.join(table, salted["source"].eqNullSafe(table["__source"]) & (salted["__salt"] == table["__salts"]))
-    key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.md5(F.coalesce(F.col("text"), F.lit(""))))
-    keyed = joined.withColumn("__key", key)
-    numbers = F.transform(F.sequence(F.lit(1), F.col("__pieces")), lambda j: uniform(F.concat(F.lit(seed + "/"), j.cast("string")), F.col("__key")))
-    draw = F.aggregate(numbers, F.lit(0), lambda total, u: total + F.size(F.filter("__cdf", lambda c: c <= u)))
-    copies = keyed.withColumn("__copies", draw).filter("__copies > 0")
-    each = copies.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("__copies") - 1)))
-    each = each.withColumn("mix_key", F.md5(F.concat_ws(":", F.lit(seed + "/order"), "__key", F.col("copy").cast("string"))))
+        salted = rows.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))
+        table = table.withColumn("salts", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = salted.join(table, salted["source"].eqNullSafe(table["of"]) & (salted["salt"] == table["salts"]))
+    numbers = F.transform(F.sequence(F.lit(1), F.col("pieces")), lambda j: uniform(F.concat(F.lit(seed + "/"), j.cast("string")), F.col("key")))
+    draw = F.aggregate(numbers, F.lit(0), lambda total, u: total + F.size(F.filter("cdf", lambda c: c <= u)))
+    copies = joined.select("row", "key", draw.alias("copies")).filter("copies > 0")
+    each = copies.select("row", "key", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
+    each = each.select("row", "copy", F.md5(F.concat_ws(":", F.lit(seed + "/order"), "key", F.col("copy").cast("string"))).alias("mix_key"))
     n = [partitions] if partitions else []
-    return each.select(*docs.columns, "copy", "mix_key").repartition(*n, "mix_key").sortWithinPartitions("mix_key")
+    dealt = each.repartition(*n, "mix_key").sortWithinPartitions("mix_key")
+    return common.unpacked(dealt, docs, *[F.col(c).alias(common.free_name(c, docs.columns)) for c in ("copy", "mix_key")])
 
 
 ORACLE = f"""
