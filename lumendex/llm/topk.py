@@ -5,14 +5,18 @@ dimension (term) has a posting list of rows and weights. A query row is the spar
 non-zero terms: each scatters its weighted postings into a dense score array of the block, the k best
 of which are selected by partition. The selections of all blocks are then merged by query.
 
-Query rows are packed into bounded blocks too. Candidate blocks are dealt over salts, the query blocks
-go to every salt, and an equi-join on the salt lets all pairs of blocks meet: neither side is
-collected or broadcast.
+Query rows are packed into bounded blocks too. Candidate blocks are dealt over salts, query blocks over cells
+of at most ``CELL_BLOCKS`` or so, and a shuffled equi-join on (salt, cell) lets all pairs of blocks meet: a candidate
+block goes to every cell, a query block to every salt, and neither side is collected or broadcast.
+
+Scores are exact: 64-bit sums where no sum can overflow, else Python integers; a score beyond 64 bits is
+given as the nearest 64-bit integer.
 
 Defined cases: vectors that are null, empty or hold a null or non-finite component take no part; a
 missing dimension counts as zero; all rows of a query's id are its own and no candidates of it; an id
 that several query rows state is asked once, with its smallest vector; ties go to the smaller id; null
-ids take no part. A component beyond 2**20 raises an error rather than overflow.
+ids take no part; 256 * x beyond the largest double counts as that; an empty table gives no rows; long vectors
+make longer postings, not more tasks; other columns are not read and may have any name. Ids must be integers.
 """
 
 from __future__ import annotations
@@ -30,16 +34,22 @@ from lumendex.llm import common
 K = 5
 BLOCK_ROWS = 1024
 QUERY_ROWS = 512
-_LIMIT = 1 << 28
+CELL_BLOCKS = 64
+#: Weights above are summed as Python integers, as products of two might not fit.
+_LIMIT = float(1 << 31)
+_MAX = 1.7976931348623157e308
 
 
 def quantised(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """id, v (array of long) of the rows that take part."""
+    """id, v (array of double, whole numbers) of the rows that take part."""
     v = F.col(vec_col)
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf")))
     ok = F.col(id_col).isNotNull() & v.isNotNull() & (F.size(v) > 0) & ~bad
+    # floor() of a double is a long in Spark; above 2**52 every double is whole.
+    scaled = lambda x: F.greatest(F.least(x.cast("double") * 256, F.lit(_MAX)), F.lit(-_MAX))
+    whole = lambda x: F.when(F.abs(scaled(x)) < 2.0**52, F.floor(scaled(x)).cast("double")).otherwise(scaled(x))
     return df.filter(ok).select(
-        F.col(id_col).cast("long").alias("id"), F.transform(v, lambda x: F.floor(x.cast("double") * 256).cast("long")).alias("v")
+        F.col(id_col).cast("long").alias("id"), F.transform(v, whole).alias("v")
     )
 
 
@@ -55,8 +65,6 @@ def _pack(rows: int):
             row = np.empty(len(i), np.int32)
             row[order] = np.arange(len(i), dtype=np.int32)
             flat = np.concatenate(vals)
-            if len(flat) and np.abs(flat).max() > _LIMIT:
-                raise ArithmeticError("a vector component is too large for integer scores")
             rows_of = np.repeat(row, k)
             term = (np.arange(len(flat)) - np.repeat(np.cumsum(k) - k, k)).astype(np.int32)
             keep = flat != 0
@@ -89,7 +97,15 @@ _BLOCK = "ids binary, term binary, row binary, weight binary"
 
 
 def _arrays(ids: bytes, term: bytes, row: bytes, weight: bytes):
-    return np.frombuffer(ids, np.int64), np.frombuffer(term, np.int32), np.frombuffer(row, np.int32), np.frombuffer(weight, np.int64)
+    return np.frombuffer(ids, np.int64), np.frombuffer(term, np.int32), np.frombuffer(row, np.int32), np.frombuffer(weight, np.float64)
+
+
+def _exact(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both weights as 64-bit integers if no sum of 2**31 products can overflow or, if one could, as Python integers."""
+    most = [float(np.abs(x).max()) if len(x) else 0.0 for x in (a, b)]
+    if max(most) < _LIMIT and most[0] * most[1] < float(1 << 31):
+        return a.astype(np.int64), b.astype(np.int64)
+    return tuple(np.array([int(x) for x in w.tolist()], object) for w in (a, b))
 
 
 def block_topk(queries, block, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -97,13 +113,14 @@ def block_topk(queries, block, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     q_ids, q_term, q_row, q_weight = queries
     ids, term, row, weight = block
     n = len(ids)
+    q_weight, weight = _exact(q_weight, weight)
     ends = np.searchsorted(term, np.arange((term.max() if len(term) else -1) + 2))
     order = np.argsort(q_row, kind="stable")
     q_ends = np.searchsorted(q_row[order], np.arange(len(q_ids) + 1))
     out_q, out_c, out_s = [], [], []
     place = np.arange(n)
     for q in range(len(q_ids)):
-        scores = np.zeros(n, np.int64)
+        scores = np.zeros(n, weight.dtype)
         mine = order[q_ends[q] : q_ends[q + 1]]
         for t, w in zip(q_term[mine].tolist(), q_weight[mine].tolist(), strict=True):
             if t + 1 < len(ends):
@@ -116,14 +133,14 @@ def block_topk(queries, block, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
         others = np.delete(place, own)
         s = scores[others]
         if len(s) > k:
-            kth = np.partition(s, len(s) - k)[len(s) - k]
+            kth = np.partition(s, len(s) - k)[len(s) - k] if s.dtype == np.int64 else sorted(s)[-k]
             above, ties = np.flatnonzero(s > kth), np.flatnonzero(s == kth)  # ids ascend, so the first ties win
             best = np.concatenate((above, ties[: k - len(above)]))
         else:
             best = np.arange(len(s))
         out_q.append(np.full(len(best), q_ids[q]))
         out_c.append(ids[others[best]])
-        out_s.append(s[best])
+        out_s.append(s[best] if s.dtype == np.int64 else np.array([max(-(1 << 63), min((1 << 63) - 1, x)) for x in s[best]], np.int64))
     cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
     return cat(out_q), cat(out_c), cat(out_s)
 
@@ -137,10 +154,12 @@ def search(
     candidates = all_rows.mapInArrow(_pack(BLOCK_ROWS), _BLOCK)
     asked = common.materialize(queries.mapInArrow(_pack(QUERY_ROWS), _BLOCK), "topk-queries")
     salts = salts or 2 * int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    asked = asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salted = candidates.withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(salts)).cast("int"))
-    blocks = asked.select("salt", *[F.col(c).alias("q_" + c) for c in ("ids", "term", "row", "weight")])
-    pairs = salted.join(blocks, "salt").select("ids", "term", "row", "weight", "q_ids", "q_term", "q_row", "q_weight")
+    cells = -(-asked.count() // CELL_BLOCKS) or 1
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    blocks = asked.select(*[F.col(c).alias("q_" + c) for c in ("ids", "term", "row", "weight")], F.pmod(F.xxhash64("ids"), F.lit(cells)).cast("int").alias("cell"))
+    blocks = blocks.withColumn("salt", every(salts))
+    dealt = candidates.withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(salts)).cast("int")).withColumn("cell", every(cells))
+    pairs = dealt.join(blocks.hint("shuffle_hash"), ["salt", "cell"]).select("ids", "term", "row", "weight", "q_ids", "q_term", "q_row", "q_weight")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
