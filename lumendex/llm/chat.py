@@ -5,16 +5,19 @@ reversibly: in every ``<``, backslashes, ``|`` one more backslash goes before th
 text survives; reading back takes one backslash out of each ``<``, at least one backslash, ``|``. Roles are
 escaped the same way, after their backslashes and line ends.
 
-Rows are dealt by conversation, sorted by turn, and assembled a whole Arrow batch at a time: segment
+Rows are dealt in ranges of (conversation, turn), sorted, and assembled a whole Arrow batch at a time: segment
 lengths, cumulative offsets and scatter indices in numpy, and every header and content byte copied
 into one preallocated buffer. A conversation comes out as one or more pieces of at most
-``piece_bytes`` (or one turn), so one that holds a large share of all rows stays bounded in memory.
+``piece_bytes`` (or one turn), and one that holds a large share of all rows is formatted by many tasks.
+Only its digests are serial: they run over its pieces in order, in one task, and hold none of them.
 
-Output rows: conv_id, piece (from 0), text, turns (struct start, end, loss: character offsets of each
-content in ``text``; loss marks what is trained on, the contents of assistant turns).
+Output rows: conv_id, piece (its order in the conversation; not without gaps), text, turns (struct start, end,
+loss: character offsets of each content in ``text``; loss marks what is trained on, the contents of assistant
+turns).
 
 Defined cases: null text or role is empty; equal turns are ordered by role, then text; null turns
-come first; rows with a null conv_id form one conversation; an empty table gives no rows.
+come first; rows with a null conv_id form one conversation; repeated rows are turns of their own; an empty
+table gives no rows; a very long text is one piece; other columns are not read and may have any name.
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -99,16 +103,14 @@ _TURN = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("loss", pa.bool_
 
 
 def format_chat(turns: DataFrame, piece_bytes: int = PIECE_BYTES) -> DataFrame:
-    """conv_id, piece, text, turns: the pieces of each conversation follow one another in one partition."""
+    """conv_id, piece, text, turns: the formatted pieces of each conversation."""
     rows = turns.select("conv_id", "turn", F.col("role").cast("binary").alias("role"), F.col("text").cast("binary").alias("text"))
-    dealt = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    dealt = rows.repartitionByRange("conv_id", "turn", "role").sortWithinPartitions("conv_id", "turn", "role", "text")
     conv_type = turns.schema["conv_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, piece = object(), 0
-        for b in batches:
-            if not b.num_rows:
-                continue
+        piece = TaskContext.get().partitionId() << 40  # ranges follow one another as partitions do
+        for b in common.pieces(batches):
             roles = [r or b"" for r in b.column(2).to_pylist()]
             buf, starts, ends = assemble(roles, *escape_columns(*_flat(b.column(3))))
             begins = np.concatenate(([0], ends[:-1]))
@@ -126,23 +128,20 @@ def format_chat(turns: DataFrame, piece_bytes: int = PIECE_BYTES) -> DataFrame:
             loss = np.array([r == LOSS_ROLE for r in roles])
             flat = pa.StructArray.from_arrays([pa.array(s), pa.array(e), pa.array(loss)], fields=list(_TURN))
             marks = pa.ListArray.from_arrays(pa.array(np.append(cuts, len(keys)).astype(np.int32)), flat)
-            pieces = []
-            for i in cuts:
-                piece = piece + 1 if keys[i] == last else 0
-                last = keys[i]
-                pieces.append(piece)
+            pieces = pa.array(np.arange(piece, piece + len(cuts)))
+            piece += len(cuts)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(cuts)), pa.array(pieces, pa.int32()), text.cast(pa.binary()).cast(pa.string()), marks],
+                [b.column(0).take(pa.array(cuts)), pieces, text.cast(pa.binary()).cast(pa.string()), marks],
                 names=["conv_id", "piece", "text", "turns"],
             )
 
-    schema = f"conv_id {conv_type}, piece int, text string, turns array<struct<start:long,end:long,loss:boolean>>"
+    schema = f"conv_id {conv_type}, piece long, text string, turns array<struct<start:long,end:long,loss:boolean>>"
     return dealt.mapInArrow(run, schema)
 
 
 def digests(formatted: DataFrame) -> DataFrame:
-    """Reads formatted pieces back, in the order of their partition: conv_id, n_turns, turns_sha256,
-    loss_chars, loss_sha256, formatted_chars. It keeps running digests, not conversations."""
+    """Reads formatted pieces back: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars.
+    It keeps running digests, not conversations."""
     conv_type = formatted.schema["conv_id"].dataType.simpleString()
     head = re.compile(re.escape(START.decode()) + r"([^\n]*)\n")
 
@@ -159,10 +158,10 @@ def digests(formatted: DataFrame) -> DataFrame:
 
         names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
         kind = None
-        for b in batches:
+        for b in common.pieces(batches):
             done, kind = [], b.column(0).type
-            for conv, piece, text, marks in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if piece == 0:
+            for conv, _, text, marks in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if state is None or conv != now:
                     if state is not None:
                         done.append(row())
                     now, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
@@ -185,7 +184,7 @@ def digests(formatted: DataFrame) -> DataFrame:
             yield batch([row()], kind)
 
     schema = f"conv_id {conv_type}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
-    return formatted.mapInArrow(run, schema)
+    return formatted.repartition("conv_id").sortWithinPartitions("conv_id", "piece").mapInArrow(run, schema)
 
 
 #: Conversation -1 of the query: control strings inside texts.
