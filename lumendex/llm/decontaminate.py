@@ -7,7 +7,12 @@ original text.
 
 Defined cases: a null text or item has no words; an item without words has no window; repeated
 items keep their own ids; null item_ids are ignored; a repeated document row gets its own (equal)
-result row; columns other than the id and the text are not read.
+result row; an empty table gives no rows, an empty benchmark no hits; a very long text is scanned whole, in memory
+linear in it; columns other than the id and the text are not read, and ``clean`` returns them as they are,
+whatever their names.
+
+A benchmark of more than ``automaton_bytes`` (windows and item ids) does not fit one automaton in a Python worker: it
+is scanned in several passes, one automaton each, and the hits are merged.
 """
 
 from __future__ import annotations
@@ -27,6 +32,8 @@ from lumendex.llm import common
 WINDOW = 10
 #: Most bytes of distinct windows in one automaton; a larger benchmark is scanned in several blocks.
 AUTOMATON_BYTES = 16 << 20
+#: Item ids in one row of the window table; a window that more items hold has several rows.
+ITEM_IDS = 4096
 
 _FOLD = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
@@ -49,17 +56,17 @@ def windows(text: bytes | None, n: int) -> list[tuple[int, bytes]]:
 
 
 def _window_table(benchmark: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """One row a distinct window: pattern, n_words, item_ids."""
+    """pattern, n_words, item_ids: a row a distinct window and ITEM_IDS items, or so, that hold it."""
 
     def make():
         return lambda texts: {"w": [[{"n_words": k, "pattern": p} for k, p in windows(t, n)] for t in texts]}
 
     kind = T.ArrayType(T.StructType([T.StructField("n_words", T.IntegerType()), T.StructField("pattern", T.BinaryType())]))
-    rows = common.map_texts(
-        benchmark.filter(F.col(id_col).isNotNull()), text_col, [id_col], T.StructType([T.StructField("w", kind)]), make
-    )
-    flat = rows.select(F.col(id_col).cast("string").alias("item"), F.explode("w").alias("w"))
-    return flat.groupBy("w.pattern", "w.n_words").agg(F.sort_array(F.collect_set("item")).alias("item_ids"))
+    items = benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).alias("text")).filter("item is not null")
+    rows = common.map_texts(items, "text", ["item"], T.StructType([T.StructField("w", kind)]), make)
+    flat = rows.select("item", F.explode("w").alias("w"))
+    share = F.pmod(F.xxhash64("item"), F.lit(max(1, -(-items.count() // ITEM_IDS))))
+    return flat.groupBy("w.pattern", "w.n_words", share.alias("share")).agg(F.sort_array(F.collect_set("item")).alias("item_ids"))
 
 
 class Automaton:
@@ -69,7 +76,8 @@ class Automaton:
         self.machine = ahocorasick.Automaton()
         for pattern, n, items in rows:
             # Bytes as Latin-1: one character a byte; the spaces at both ends tie a hit to whole words.
-            self.machine.add_word(f" {pattern.decode('latin-1')} ", (n, items))
+            line = f" {pattern.decode('latin-1')} "
+            self.machine.add_word(line, (n, items + self.machine.get(line, (n, []))[1]))
         if rows:
             self.machine.make_automaton()
         self.empty = not rows
@@ -149,13 +157,14 @@ def scan(
     (offsets in the original text) and __item_ids (items with occurring windows, sorted as strings)."""
     spark = docs.sparkSession
     table = common.materialize(_window_table(benchmark, item_id, item_text, window), "bench-windows")
-    size = table.agg(F.sum(F.length("pattern") + 64).alias("n")).first()["n"] or 0
+    ids = F.aggregate("item_ids", F.lit(0), lambda a, x: a + F.octet_length(x) + 8)
+    size = table.agg(F.sum(F.length("pattern") + 64 + ids).alias("n")).first()["n"] or 0
     blocks = max(1, -(-size // automaton_bytes))
-    shares = []
-    for b in range(blocks):  # each block is bounded, so it may be collected and broadcast
-        part = table if blocks == 1 else table.filter(F.pmod(F.xxhash64("pattern"), F.lit(blocks)) == b)
+
+    def share_of(b: int):  # each block is bounded in bytes, so it may be collected and broadcast
+        part = table if blocks == 1 else table.filter(F.pmod(F.xxhash64("pattern", "share"), F.lit(blocks)) == b)
         rows = [(bytes(r["pattern"]), r["n_words"], list(r["item_ids"])) for r in part.collect()]
-        shares.append((uuid.uuid4().hex, spark.sparkContext.broadcast(rows)))
+        return uuid.uuid4().hex, spark.sparkContext.broadcast(rows)
 
     def maker(key, share) -> Callable:
         def make():
@@ -175,26 +184,30 @@ def scan(
 
         return make
 
-    key, share = shares[0]
     if blocks == 1:
-        return common.map_texts(docs, text_col, keep, FIELDS, maker(key, share))
-    # A benchmark beyond one automaton: a scan a block over the same rows, merged by row key.
-    keyed = docs.select(*common.row_key(keep[0], text_col), F.col(text_col).alias("__t")).dropDuplicates(["__id", "__h"])
-    parts = [common.map_texts(keyed, "__t", ["__id", "__h"], FIELDS, maker(k, s)) for k, s in shares]
-    whole = parts[0]
-    for p in parts[1:]:
-        whole = whole.unionByName(p)
-    found = whole.groupBy("__id", "__h").agg(
-        F.max("__n_words").alias("__n_words"), F.flatten(F.collect_list("__word_spans")).alias("__word_spans"),
-        F.flatten(F.collect_list("__char_spans")).alias("__char_spans"),
+        return common.map_texts(docs, text_col, keep, FIELDS, maker(*share_of(0)))
+    # A benchmark beyond one automaton: a scan a block over the same rows, one block at a time, merged by text.
+    key = [F.xxhash64(text_col).alias("__h"), F.hash(text_col).alias("__g")]  # hits follow from the text alone
+    keyed = docs.select(*key, F.col(text_col).alias("__t"))
+    whole = None
+    for b in range(blocks):
+        name, share = share_of(b)
+        part = common.map_texts(keyed, "__t", ["__h", "__g"], FIELDS, maker(name, share)).filter("size(__item_ids) > 0")
+        part = common.materialize(part.dropDuplicates(["__h", "__g"]), "bench-hits")
+        share.destroy()
+        whole = part if whole is None else whole.unionByName(part)
+    counts = T.StructType(FIELDS.fields[:1])
+    rows = common.packed(docs, *key, F.col(text_col).alias("t"))
+    left = common.map_texts(rows, "t", ["row", "__h", "__g"], counts, lambda: lambda texts: {"__n_words": [len(words(t)) for t in texts]})
+    found = whole.groupBy("__h", "__g").agg(
+        F.flatten(F.collect_list("__word_spans")).alias("__word_spans"), F.flatten(F.collect_list("__char_spans")).alias("__char_spans"),
         F.sort_array(F.array_distinct(F.flatten(F.collect_list("__item_ids")))).alias("__item_ids"),
     )
-    merge = F.udf(lambda spans: _merge([[x["start"], x["end"]] for x in spans]), _SPAN)
-    left = docs.select(*[docs[c] for c in keep], *common.row_key(keep[0], text_col))
-    joined = left.join(found, common.same_key(left, found), "left")
+    merge = F.udf(lambda spans: _merge([[x["start"], x["end"]] for x in spans or []]), _SPAN)
+    joined = left.join(found, ["__h", "__g"], "left")
     return joined.select(
-        *[left[c] for c in keep], "__n_words", merge("__word_spans").alias("__word_spans"),
-        merge("__char_spans").alias("__char_spans"), "__item_ids",
+        *[F.col("row").getField(c).alias(c) for c in keep], "__n_words", merge("__word_spans").alias("__word_spans"),
+        merge("__char_spans").alias("__char_spans"), F.coalesce("__item_ids", F.array().cast("array<string>")).alias("__item_ids"),
     )
 
 
@@ -211,8 +224,8 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, **kw) ->
 
 def clean(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
     """The documents without any occurring window, with their own columns."""
-    hits = scan(docs, benchmark, keep=docs.columns, **kw)
-    return hits.filter(F.size("__item_ids") == 0).select(*docs.columns)
+    hits = scan(common.packed(docs, F.col("text")), benchmark, keep=["row"], **kw)
+    return common.unpacked(hits.filter(F.size("__item_ids") == 0), docs)
 
 
 def digest_of(items: list[str]) -> str:
