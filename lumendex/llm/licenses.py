@@ -10,8 +10,8 @@ Regions of a text that are compared, wherever they stand in it:
 - from the first token, and from the first token of each such group, as many tokens as each template has
   (lengths within a tenth of another count as one), and the whole text.
 A region's vector is compared with those of all templates. An ``SPDX-License-Identifier`` tag of a known licence
-counts as cosine 1. A licence text, title or header of at least ``min_cosine`` goes before a notice, a notice before
-"All rights reserved."; among equals the best cosine names the document's licence.
+counts as cosine 1. A whole text of at least ``min_cosine`` goes before a title or header, these before a notice, a
+notice before "All rights reserved."; among equals the best cosine names the document's licence.
 
 A file without a licence of its own takes that of the nearest ancestor directory with a licence file
 (LICENSE, LICENCE, COPYING or NOTICE, with any suffix): the directories of every path are exploded and
@@ -105,13 +105,13 @@ def tokens(text: bytes) -> list[bytes]:
 
 
 def templates() -> list[tuple[str, int, list[bytes]]]:
-    """(licence, rank, tokens): rank 0 for texts, titles and headers, 1 for notices, 2 for bare claims of all rights."""
-    out = [(n, 2 if n == "Proprietary" else 1, tokens(t.encode())) for n, texts in NOTICES.items() for t in texts]
-    out += [(n, 0, tokens(t.encode())) for n, texts in HEADERS.items() for t in texts]
-    out += [(n, 0, tokens(_GNU.format(name=name, version=v).encode())) for n, (name, v) in GNU_LICENCES.items()]
+    """(licence, rank, tokens): rank 0 for whole texts, 1 for titles and headers, 2 for notices, 3 for bare claims of all rights."""
+    out = [(n, 3 if n == "Proprietary" else 2, tokens(t.encode())) for n, texts in NOTICES.items() for t in texts]
+    out += [(n, 1, tokens(t.encode())) for n, texts in HEADERS.items() for t in texts]
+    out += [(n, 1, tokens(_GNU.format(name=name, version=v).encode())) for n, (name, v) in GNU_LICENCES.items()]
     for path in (Path(__file__).parent / "licence_texts").iterdir():
         whole = tokens(path.read_bytes())
-        out += [(path.stem, 0, whole), *((path.stem, 0, whole[:k]) for k in TITLES if k < len(whole))]
+        out += [(path.stem, 0, whole), *((path.stem, 1, whole[:k]) for k in TITLES if k < len(whole))]
     return sorted(out)
 
 
@@ -123,13 +123,13 @@ class Scanner:
         self.rank = np.array([rank for _, rank, _ in listed])
         self.known = {n.lower().encode(): n for n in self.names}
         self.vocabulary = {t: i for i, t in enumerate(sorted({t for *_, ts in listed for t in ts}))}
-        self.cues = frozenset(t for _, rank, ts in listed if rank for t in ts if t.decode() not in COMMON_WORDS)
+        self.cues = frozenset(t for _, rank, ts in listed if rank > 1 for t in ts if t.decode() not in COMMON_WORDS)
         df = frequency or {}
         self.idf = np.array([np.log((1 + n_docs) / (1 + df.get(t, 0))) + 1 for t in self.vocabulary])
         self.rare = np.log(1 + n_docs) + 1  # idf of a token outside the templates
         self.matrix = np.array([self._vector(self._ids(ts))[0] for *_, ts in listed])
         self.lengths: list[int] = []
-        for n in sorted({len(ts) for _, rank, ts in listed if not rank}):
+        for n in sorted({len(ts) for _, rank, ts in listed if rank < 2}):
             if not self.lengths or n > 1.1 * self.lengths[-1]:
                 self.lengths.append(n)
 
