@@ -40,15 +40,13 @@ class HashingEmbedder:
         self.model_name = f"hashing-{dimension}"
 
     def embed_batch(self, texts: Sequence[str]) -> np.ndarray:
-        tokens = [_TOKEN.findall(t.lower()) or ["\0"] for t in texts]
-        longest = max(map(len, tokens), default=1)
-        hidden, mask = np.zeros((len(texts), longest, self.dimension), np.float32), np.zeros((len(texts), longest))
-        for i, ts in enumerate(tokens):
-            for j, t in enumerate(ts):
-                h = zlib.crc32(t.encode())
-                hidden[i, j, (h >> 1) % self.dimension] = 1 if h & 1 else -1
-                mask[i, j] = 1
-        out = mean_pool(hidden, mask)
+        # Sums are kept instead of a row a token, so a long text costs no more than a short one.
+        out = np.zeros((len(texts), self.dimension))
+        for i, t in enumerate(texts):
+            h = np.array([zlib.crc32(x.encode()) for x in _TOKEN.findall(t.lower()) or ["\0"]], np.int64)
+            np.add.at(out[i], (h >> 1) % self.dimension, np.where(h & 1, 1.0, -1.0) / len(h))
+        norm = np.linalg.norm(out, axis=1, keepdims=True)
+        out = (out / np.where(norm == 0, 1, norm)).astype(np.float32)
         out[~out.any(axis=1), 0] = 1  # tokens that cancel out
         return out
 

@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 CHUNK_KEY, FILE_KEY = ["chunk_hash"], ["context_id", "file_path"]
 
@@ -49,6 +48,15 @@ def referenced_chunks(chunks: DataFrame, files: DataFrame) -> DataFrame:
     return chunks.join(files.select("file_hash").distinct(), "file_hash", "left_semi").select(*chunks.columns)
 
 
+def of_file(chunks: DataFrame, file_hash: str) -> DataFrame:
+    return chunks.filter(F.col("file_hash") == file_hash)
+
+
+def without_file(vectors: DataFrame, chunks: DataFrame, file_hash: str) -> DataFrame:
+    """The vectors that are left once the chunks of a file content are deleted."""
+    return vectors.join(of_file(chunks, file_hash).select("chunk_hash"), "chunk_hash", "left_anti").select(*vectors.columns)
+
+
 def orphan_chunks(chunks: DataFrame, files: DataFrame) -> DataFrame:
     return chunks.join(files.select("file_hash").distinct(), "file_hash", "left_anti").select(*chunks.columns)
 
@@ -85,8 +93,3 @@ def long_files(files: DataFrame, limits: DataFrame, default: int) -> DataFrame:
     """Files with more lines than their limit (an override by path, else the default)."""
     joined = files.join(limits, "file_path", "left").withColumn("max_lines", F.coalesce("max_lines", F.lit(default)))
     return joined.filter(F.col("n_lines") > F.col("max_lines")).select("file_path", "n_lines", "max_lines")
-
-
-def first_writer_rank(chunks: DataFrame) -> DataFrame:
-    """Rank of each row among the owners of its hash, for inspection of small groups."""
-    return chunks.withColumn("rank", F.row_number().over(Window.partitionBy("chunk_hash").orderBy("file_path", "ordinal")))

@@ -40,11 +40,12 @@ class Index:
 
     FOLDER, CONFIG = ".lumendex", "lumendex.toml"
 
-    def __init__(self, spark: SparkSession, root: str, embedder: Embedder | None = None, max_tokens: int = chunkers.MAX_TOKENS, overlap: int = chunkers.OVERLAP_TOKENS):
+    def __init__(self, spark: SparkSession, root: str, embedder: Embedder | None = None, max_tokens: int = chunkers.MAX_TOKENS, overlap: int = chunkers.OVERLAP_TOKENS, store: str | None = None):
+        """root: the workspace. store: the URL of the tables, on a cluster one that executors reach; else a folder in it."""
         self.spark, self.root = spark, os.path.abspath(root)
         self.embedder = embedder or HashingEmbedder()
         self.max_tokens, self.overlap = max_tokens, overlap
-        self.store = Store(spark, f"file://{self.root}/{self.FOLDER}")
+        self.store = Store(spark, store or f"file://{self.root}/{self.FOLDER}")
         if self.store.exists():
             self.store.check(self._pinned())
 
@@ -114,7 +115,9 @@ class Index:
         kept = mapped.join(drop, maintenance.FILE_KEY, "left_anti").select(*mapped.columns)
         contexts = self.store.read("contexts").withColumn("last_indexed", F.when(F.col("context_id") == name, F.current_timestamp()).otherwise(F.col("last_indexed")))
         skipped = bad.count()
-        self.store.commit(replace={"indexed_files": maintenance.upsert(kept, new, maintenance.FILE_KEY), "contexts": contexts}, metadata={"last_build": int(time.time())})
+        # What a context has taken up is no longer only cached.
+        warmed = self.store.read("warmed").join(new.select("file_hash"), "file_hash", "left_anti")
+        self.store.commit(replace={"indexed_files": maintenance.upsert(kept, new, maintenance.FILE_KEY), "contexts": contexts, "warmed": warmed}, metadata={"last_build": int(time.time())})
         for frame in (changes, rows, bad):
             frame.unpersist()
         return IndexResult(counts.get("added", 0), counts.get("modified", 0), counts.get("deleted", 0), skipped, added, time.time() - began)
@@ -145,21 +148,25 @@ class Index:
         """(entries, chunks added): embeds the chunks of any source ahead; they become searchable with a context."""
         if not self.store.exists():
             self.store.create(self._pinned())
-        rows = chunkers.chunk_files(entries.filter("error is null")).cache()
+        rows = chunkers.chunk_files(entries.filter("error is null"), max_tokens=self.max_tokens, overlap=self.overlap).cache()
         if not rows.filter("error is not null").isEmpty():
             raise chunkers.ParseError(rows.filter("error is not null").first()["error"])
         out = entries.count(), self._store_chunks(rows)
+        warm = rows.filter("chunk_hash is not null").select("file_hash").distinct()
+        self.store.commit(append={"warmed": warm.join(self.store.read("warmed"), "file_hash", "left_anti")})
         rows.unpersist()
         return out
 
     # -- upkeep ------------------------------------------------------------------------------
 
     def gc(self, keep_cache: bool = False) -> GcStats:
-        """Deletes chunks of files that no context refers to, and their vectors."""
+        """Deletes chunks of files that no context refers to, and their vectors. With keep_cache, chunks that were cached
+        ahead and that no context has taken up yet stay."""
         chunks, mapped, vectors = (self.store.read(t) for t in ("chunks", "indexed_files", "vec_chunks"))
+        referring = mapped.select("file_hash")
         if keep_cache:
-            return GcStats(0, 0)
-        live = maintenance.referenced_chunks(chunks, mapped).cache()
+            referring = referring.unionByName(self.store.read("warmed"))
+        live = maintenance.referenced_chunks(chunks, referring).cache()
         kept = vectors.join(live.select("chunk_hash"), "chunk_hash", "left_semi").select(*vectors.columns)
         bridge = self.store.read("file_chunks")
         stats = GcStats(chunks.count() - live.count(), vectors.count() - kept.count())
@@ -168,6 +175,16 @@ class Index:
         live.unpersist()
         return stats
 
+    def forget(self, file_hash: str) -> GcStats:
+        """Deletes the chunks of one file content and their vectors."""
+        chunks, vectors, bridge = (self.store.read(t) for t in ("chunks", "vec_chunks", "file_chunks"))
+        gone = maintenance.of_file(chunks, file_hash).select("chunk_hash").cache()
+        stats = GcStats(gone.count(), vectors.join(gone, "chunk_hash", "left_semi").count())
+        if stats.chunks_deleted:
+            self.store.commit(replace={n: t.join(gone, "chunk_hash", "left_anti").select(*t.columns) for n, t in (("vec_chunks", vectors), ("chunks", chunks), ("file_chunks", bridge))})
+        gone.unpersist()
+        return stats
+
     def clear(self, context: str = ROOT_CONTEXT) -> GcStats:
         self.store.commit(replace={"indexed_files": maintenance.clear_context(self.store.read("indexed_files"), clean_context(context))})
         return self.gc()

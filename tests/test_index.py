@@ -216,3 +216,68 @@ def test_git_data_source(spark, tmp_path):
     spark.dataSource.register(GitSource)
     rows = {r.file_path: r for r in spark.read.format("lumendex_git").option("path", str(bare)).load().collect()}
     assert rows["r/a.md"].content == "# A\nwords" and rows["r/b.md"].error
+
+
+def test_gc_keeps_what_was_cached_ahead(spark, tmp_path):
+    from lumendex.plans.index import Index
+    from lumendex.sources import files
+
+    for name, body in (("a.md", "# A\n\nalpha text here\n"), ("b.md", "# B\n\nbeta text there\n")):
+        (tmp_path / name).write_text(body)
+    index = Index(spark, str(tmp_path), max_tokens=4, overlap=1)
+    index.cache(files.scan(spark, str(tmp_path), [], skip=[index.FOLDER]))
+    n = index.store.read("chunks").count()
+    assert n > 2  # cut by the windows that the index is pinned to
+    assert index.gc(keep_cache=True).chunks_deleted == 0 and index.store.read("chunks").count() == n
+    (tmp_path / "b.md").unlink()
+    index._add_contexts(["."])
+    index.update(".")
+    assert index.gc(keep_cache=True).chunks_deleted == 0
+    (tmp_path / "a.md").unlink()
+    index.update(".")
+    left = index.store.read("chunks").count()
+    stats = index.gc(keep_cache=True)
+    assert 0 < stats.chunks_deleted < left == n  # a.md was taken up and is gone, b.md is still only cached
+    file_hash = index.store.read("chunks").first()["file_hash"]
+    assert index.forget(file_hash).chunks_deleted == left - stats.chunks_deleted and index.store.read("vec_chunks").count() == 0
+
+
+def test_of_two_writers_one_conflicts(spark, tmp_path):
+    from lumendex.plans.store import Conflict, Store
+
+    one, two = (Store(spark, f"file://{tmp_path}/s") for _ in range(2))
+    one.create({})
+    state = two.current()
+    row = spark.createDataFrame([("h",)], "file_hash string")
+    reader = None
+    one.commit(append={"warmed": row})
+    with pytest.raises(Conflict):
+        two.commit(append={"warmed": row}, since=state["version"])
+    two.current = lambda: state  # it read before the other wrote
+    with pytest.raises(Conflict):
+        two.commit(append={"warmed": row})
+    assert one.read("warmed").count() == 1
+    reader = one.read("warmed")
+    one.commit(replace={"warmed": row})
+    assert reader.count() == 1  # its part is still there
+
+
+def test_a_long_text_needs_no_row_a_token():
+    import tracemalloc
+
+    from lumendex.operators.embedding import HashingEmbedder
+
+    tracemalloc.start()
+    out = HashingEmbedder(384).embed_batch(["word " * 200_000, "a b"])
+    assert tracemalloc.get_traced_memory()[1] < 200 << 20 and out.shape == (2, 384)
+    tracemalloc.stop()
+
+
+def test_search_scores_before_it_joins(spark):
+    from lumendex.operators import search
+
+    v = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0])], "chunk_hash string, embedding array<float>")
+    chunks = spark.createDataFrame([("a", "f"), ("b", "g")], "chunk_hash string, file_hash string")
+    files = spark.createDataFrame([("f", "p", "."), ("g", "q", "x")], "file_hash string, file_path string, context_id string")
+    near = search.in_context(search.scored(v, [1.0, 0.0]), chunks, files, ".")
+    assert [r.chunk_hash for r in near.collect()] == ["a"] and "embedding" not in near.columns
