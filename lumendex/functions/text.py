@@ -27,11 +27,6 @@ def has_body(text: Column) -> Column:
     return F.exists(F.split(text, "\\n", -1), lambda x: (F.trim(x) != "") & ~F.trim(x).startswith("#"))
 
 
-def strip_line_comment(line: Column, marker: str = "//") -> Column:
-    """Without the repeated comment marker at its start, trimmed."""
-    return F.trim(F.regexp_replace(F.trim(line), f"^({marker})+", ""))
-
-
 def clean_block_comment(comment: Column) -> Column:
     """The lines of a block comment without its marks and leading stars; blank lines go."""
     inner = F.regexp_replace(F.regexp_replace(F.trim(comment), "^/\\*+(?!/)", ""), "\\*+/$", "")
@@ -44,8 +39,9 @@ def signature(declaration: Column) -> Column:
 
 
 def preview(text: Column, length: int = 100) -> Column:
-    """First characters on one line, with dots if more follow."""
-    cut = F.when(F.length(text) > length, F.concat(F.substring(text, 1, length), F.lit("..."))).otherwise(text)
+    """First bytes on one line, with dots if more follow; a character that the cut would split is left out."""
+    head = F.make_valid_utf8(F.substring(text.cast("binary"), 1, length).cast("string"))
+    cut = F.when(F.octet_length(text) > length, F.concat(F.regexp_replace(head, "\uFFFD+$", ""), F.lit("..."))).otherwise(text)
     return F.translate(cut, "\n", " ")
 
 
@@ -63,11 +59,12 @@ def is_shell_shebang(line: Column) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    """Sentences of prose lines; headings, lists, quotes, tables and fenced code stay whole."""
+    """Sentences of prose lines; blank lines, headings, lists, quotes, tables, rules and code fences stay whole.
+    A marker counts at the very start of a line only."""
     def keep(line: Column) -> Column:
-        return F.when(F.trim(line).rlike("^(#|[-*+] |[0-9]+\\. |>|\\||```)"), F.array(line)).otherwise(F.split(line, "(?<=[.!?])\\s+(?=[A-Z])"))
+        return F.when(line.rlike("^(\\s*$|#|```|- |\\* |[0-9]+\\.|\\||---|>)"), F.array(line)).otherwise(F.split(line, "(?<=[.!?])\\s+(?=[A-Z])"))
 
-    return F.flatten(F.transform(F.split(text, "\\n", -1), keep))
+    return F.flatten(F.transform(F.split(text, "\n", -1), keep))
 
 
 def html_blocks(html: Column, tags: tuple[str, ...] = ("h1", "p", "li")) -> Column:

@@ -90,6 +90,12 @@ class Lexis:
     quotes: str = '"'
     raw: tuple[str, ...] = ()  # delimiters without escapes, longest first
     rust: bool = False
+    regex: bool = False  # /.../ literals
+
+
+#: What a slash after it begins a regular expression, not a division.
+_BEFORE_REGEX = re.compile(r"(^|[=(,:;!&|?{}\[+\-*%~^<>\n]|\b(return|typeof|case|in|of|delete|void|throw|new|else|do))\s*$")
+_REGEX = re.compile(r"/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\[\n])+/[a-z]*")
 
 
 def scan(source: str, lex: Lexis) -> tuple[str, list[Comment]]:
@@ -123,6 +129,9 @@ def scan(source: str, lex: Lexis) -> tuple[str, list[Comment]]:
             comments.append(Comment(i, k, line_of(i), line_of(k - 1), source[i:k]))
             blank(i, k)
             i = k
+        elif lex.regex and source[i] == "/" and _BEFORE_REGEX.search("".join(out[max(0, i - 40) : i])) and (m := _REGEX.match(source, i)):
+            blank(i, m.end())
+            i = m.end()
         elif (mark := next((r for r in lex.raw if source.startswith(r, i)), None)) is not None:
             end = source.find(mark, i + len(mark))
             end = n if end < 0 else end + len(mark)
@@ -410,7 +419,7 @@ _JS_DECORATORS = re.compile(r"(?:\s|@[\w.]+(?:\([^)]*\))?)*")
 
 
 def js(source: str, path: str) -> list[Item]:
-    code, comments = scan(source, Lexis(quotes="\"'", raw=("`",)))
+    code, comments = scan(source, Lexis(quotes="\"'", raw=("`",), regex=True))
     module = posixpath.splitext(posixpath.basename(path))[0]
     typed = path.endswith((".ts", ".tsx"))
 

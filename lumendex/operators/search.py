@@ -1,7 +1,7 @@
 """Exact cosine search, grouped by file, boosted by path rules and re-ranked.
 
-Vectors are restricted to the context first, scored, and cut to the k best; only those few rows meet
-the chunk and file tables.
+Vectors are scored in the scan; the narrow (chunk, score) rows are restricted to the context and cut to the k
+best, so no vector is ever shuffled. Only those few rows meet the chunk and file tables.
 """
 
 from __future__ import annotations
@@ -76,11 +76,11 @@ def knn(table: DataFrame, query: Sequence[float], k: int, key: str = "chunk_hash
     return found.orderBy(F.desc("score"), key).limit(k)
 
 
-def in_context(vectors_table: DataFrame, chunks: DataFrame, files: DataFrame, context_id: str) -> DataFrame:
-    """The vectors whose chunk belongs to a file of the context."""
+def in_context(scores: DataFrame, chunks: DataFrame, files: DataFrame, context_id: str) -> DataFrame:
+    """The (chunk_hash, score) rows whose chunk belongs to a file of the context."""
     mine = files.filter(F.col("context_id") == context_id).select("file_hash").distinct()
     eligible = chunks.join(mine, "file_hash", "left_semi").select("chunk_hash")
-    return vectors_table.join(eligible, "chunk_hash", "left_semi")
+    return scores.join(eligible, "chunk_hash", "left_semi")
 
 
 def paths_of(files: DataFrame, context_id: str) -> DataFrame:
@@ -90,7 +90,8 @@ def paths_of(files: DataFrame, context_id: str) -> DataFrame:
 
 def search_chunks(vectors_table, chunks, files, query, context_id: str, k: int) -> DataFrame:
     """chunk_hash, score, file_hash, file_path, repo_name, content of the k best chunks of a context."""
-    best = knn(in_context(vectors_table, chunks, files, context_id), query, k)
+    near = in_context(scored(vectors_table, query).filter(~F.isnan("score")), chunks, files, context_id)
+    best = near.orderBy(F.desc("score"), "chunk_hash").limit(k)
     found = chunks.join(F.broadcast(best), "chunk_hash")  # at most 100 * 20 rows
     return paths_of(files, context_id).join(F.broadcast(found), "file_hash").select(
         "chunk_hash", "score", "file_hash", "file_path", "repo_name", "content", "context_type", "context_data"
@@ -130,12 +131,12 @@ def rerank(files: DataFrame, rules: Sequence[BoostRule] = DEFAULT_RULES) -> Data
 def search_files(vectors_table, chunks, files, query, context_id=".", limit=DEFAULT_LIMIT, rules=DEFAULT_RULES) -> DataFrame:
     """The file-level search: over-fetch chunks, group, fetch more if files are too few, boost, sort."""
     check_limit(limit)
+    spark = vectors_table.sparkSession
     for factor in (OVERFETCH, RETRY_OVERFETCH):
-        k = min(limit * factor, MAX_LIMIT * factor)
-        found = group_by_file(search_chunks(vectors_table, chunks, files, query, context_id, k), limit).cache()
-        if found.count() >= limit or factor == RETRY_OVERFETCH:
-            return rerank(found, rules)
-        found.unpersist()
+        found = group_by_file(search_chunks(vectors_table, chunks, files, query, context_id, limit * factor), limit)
+        rows = found.collect()  # at most MAX_LIMIT files of at most MAX_LIMIT * RETRY_OVERFETCH chunks
+        if len(rows) >= limit or factor == RETRY_OVERFETCH:
+            return rerank(spark.createDataFrame(rows, found.schema), rules)
 
 
 def resolve_contexts(dirs: DataFrame, contexts: DataFrame, default: str = ".") -> DataFrame:

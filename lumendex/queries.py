@@ -115,6 +115,41 @@ _PATHS = "p AS (SELECT * FROM (VALUES ('README.md'), ('a/README.md'), ('a/docs/x
 _PATH_ROWS = ["README.md", "a/README.md", "a/docs/x.rs", "CHANGELOG.md", "a/b.md", "a/b.rs", "docs/y.txt"]
 
 
+def _index_tables(spark, sf_dir):
+    """(vectors, chunks, files): a chunk a vector, a file a label; even labels belong to the root context."""
+    v = _vectors(spark, sf_dir).filter("label is not null")
+    key, label = F.col("vec_id").cast("string").alias("chunk_hash"), F.col("label").cast("string").alias("file_hash")
+    chunks = v.select(key, label, F.lit("r").alias("repo_name"), F.concat(F.lit("text "), "vec_id").alias("content"), F.lit("t").alias("context_type"), F.lit("{}").alias("context_data"))
+    files = v.select(label, F.concat(F.lit("r/docs/"), "label", F.lit(".md")).alias("file_path"), F.when(F.col("label") % 2 == 0, ".").otherwise("odd").alias("context_id")).distinct()
+    return v.select(key, "embedding"), chunks, files
+
+
+_IN_CONTEXT = "c AS (SELECT vec_id::VARCHAR AS chunk_hash, 'r/docs/' || label || '.md' AS file_path, " + _COS + " AS s FROM embeddings e, q WHERE label % 2 = 0 ORDER BY s DESC, chunk_hash LIMIT {k})"
+
+
+@query(
+    f"WITH {_Q}, {_IN_CONTEXT.format(k=30)}, g AS (SELECT file_path, max(s) AS b, count(*) AS match_count, array_to_string(list(chunk_hash ORDER BY s DESC, chunk_hash), ',') AS chunks "
+    f"FROM c GROUP BY file_path ORDER BY b DESC, file_path LIMIT 3) SELECT file_path, 'r' AS repo_name, match_count, round(least(1, b * {_BOOST}), 6) AS best_score, chunks FROM g"
+)
+def search_files(spark, sf_dir):
+    """The whole search of the index over its tables: context, k best, grouping, boost; the chunks of each file in order."""
+    found = search.search_files(*_index_tables(spark, sf_dir), _query_vector(spark, sf_dir), ".", 3, _RULES)
+    names = F.array_join(F.transform("chunks", lambda c: c["chunk_hash"]), ",")
+    return found.select("file_path", "repo_name", "match_count", F.round("best_score", 6).alias("best_score"), names.alias("chunks"))
+
+
+@query(f"WITH {_Q}, {_IN_CONTEXT.format(k=20)} SELECT chunk_hash, round(s, 6) AS score, file_path, 'text ' || chunk_hash AS content FROM c")
+def search_chunks(spark, sf_dir):
+    found = search.search_chunks(*_index_tables(spark, sf_dir), _query_vector(spark, sf_dir), ".", 20)
+    return found.select("chunk_hash", F.round("score", 6).alias("score"), "file_path", "content")
+
+
+@query("SELECT vec_id::VARCHAR AS chunk_hash FROM embeddings WHERE label IS NOT NULL AND label <> 3")
+def delete_by_file_hash(spark, sf_dir):
+    vectors_table, chunks, _ = _index_tables(spark, sf_dir)
+    return m.without_file(vectors_table, chunks, "3").select("chunk_hash")
+
+
 @query(f"WITH {_PATHS}, r AS (SELECT * FROM (VALUES (0, '^(.*/)?README\\.md$', 1.2::DOUBLE), (1, '^(.*/)?docs/.*$', 1.2), (2, '^(.*/)?CHANGELOG\\.md$', 0.8), (3, '^(.*/)?.*\\.md$', 1.1)) t(ord, re, mult)) SELECT p.file_path, coalesce(arg_min(mult, ord), 1) AS multiplier FROM p LEFT JOIN r ON regexp_matches(p.file_path, r.re) GROUP BY p.file_path")
 def boost_first_match_table(spark, sf_dir):
     p = spark.createDataFrame([(x,) for x in _PATH_ROWS], "file_path string")
@@ -310,13 +345,14 @@ def score_bucket(spark, sf_dir):
     return s.groupBy(text.score_bucket(F.col("s")).alias("bucket")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT doc_id, translate(CASE WHEN length(text) > 100 THEN substr(text, 1, 100) || '...' ELSE text END, chr(10), ' ') AS preview FROM documents")
+@query("""SELECT doc_id, translate(CASE WHEN octet_length(encode(text)) > 100 THEN
+  substr(text, 1, list_max([k for k in range(0, 101) if octet_length(encode(substr(text, 1, k))) <= 100])::INT) || '...' ELSE text END, chr(10), ' ') AS preview FROM documents""")
 def preview(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", text.preview(F.col("text")).alias("preview"))
 
 
 @query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents),
-s AS (SELECT doc_id, k, CASE WHEN regexp_matches(trim(line), '^(#|[-*+] |[0-9]+\\. |>|\\||```)') THEN [line] ELSE string_split(regexp_replace(line, '([.!?])[\\t ]+([A-Z])', '\\1' || chr(1) || '\\2', 'g'), chr(1)) END AS x FROM l)
+s AS (SELECT doc_id, k, CASE WHEN regexp_matches(line, '^([ \\t\\r\\f\\v]*$|#|```|- |\\* |[0-9]+\\.|\\||---|>)') THEN [line] ELSE string_split(regexp_replace(line, '([.!?])[\\t ]+([A-Z])', '\\1' || chr(1) || '\\2', 'g'), chr(1)) END AS x FROM l)
 SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(x) FROM s) GROUP BY doc_id""")
 def sentence_split(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.size(text.sentences(F.col("text"))).cast("long").alias("n"))

@@ -274,3 +274,10 @@ def test_chunk_files(spark):
     everything = c.chunk_files(files, {"rust_doc": None}).filter("error is null")
     assert everything.count() == 7
     assert c.chunk_files(files, {}).count() == 0
+
+
+def test_slashes_in_regular_expressions_are_no_comments():
+    from lumendex.operators import chunkers
+
+    code, comments = chunkers.scan("const re = /[/*]/; /** B */ export class B {}\nconst x = a / b; // c\n", chunkers.Lexis(quotes="\"'", raw=("`",), regex=True))
+    assert [c.text for c in comments] == ["/** B */", "// c"] and "a / b" in code
