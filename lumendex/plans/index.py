@@ -6,6 +6,7 @@ import os
 import time
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,30 +84,34 @@ class Index:
             raise FileExistsError(f"context {name} is there already")
         self._add_contexts([name])
 
-    def _scan(self, context: str, filters: dict) -> DataFrame:
+    def _list(self, context: str, filters: dict) -> DataFrame:
         targets = self.config().targets
         inside = [clean_context(t if context == ROOT_CONTEXT else f"{context}/{t}") for t in targets] if targets else []
-        return files.scan(self.spark, self.root, inside, skip=[self.FOLDER], types=list(filters))
+        return files.chosen(files.list_files(self.spark, self.root, inside, skip=[self.FOLDER]), list(filters))
 
     def update(self, context: str | None = ROOT_CONTEXT, all_contexts: bool = False, by: str = "mtime") -> IndexResult:
-        """Indexes what was added or changed in a context and forgets what is gone."""
+        """Indexes what was added or changed in a context and forgets what is gone. By modification time, only the
+        files that are new or changed are read; ``by="hash"`` reads all."""
         if all_contexts:
             results = [self.update(r["context_id"], by=by) for r in self.store.read("contexts").orderBy("context_id").collect()]
             return IndexResult(*(sum(getattr(r, f) for r in results) for f in IndexResult.__dataclass_fields__))
         began, name, filters = time.time(), clean_context(context), self.config().filters()
         if self.store.read("contexts").filter(F.col("context_id") == name).isEmpty():
             self._add_contexts([name])
-        scanned = self._scan(name, filters).withColumn("mtime", F.col("last_modified")).withColumn("hash", F.col("file_hash"))
+        listed = self._list(name, filters)
+        scanned = listed.withColumn("mtime", F.col("last_modified")) if by == "mtime" else files.contents(listed, self.root).withColumn("hash", F.col("file_hash"))
         mapped = self.store.read("indexed_files")
         mine = mapped.filter(F.col("context_id") == name).select("file_path", F.expr("mtime_ns div 1000000000").alias("mtime"), F.col("file_hash").alias("hash"))
         changes = maintenance.diff(scanned, mine, by).cache()
         counts = {r["change"]: r["count"] for r in changes.groupBy("change").count().collect()}
         touched = changes.filter("change in ('added', 'modified')").select("file_path")
-        rows = chunkers.chunk_files(scanned.join(touched, "file_path", "left_semi"), filters, self.max_tokens, self.overlap).cache()
+        # Read once: chunks and hash of a file that changes meanwhile belong together.
+        fresh = files.contents(listed.join(touched, "file_path", "left_semi"), self.root).persist(StorageLevel.MEMORY_AND_DISK)
+        rows = chunkers.chunk_files(fresh, filters, self.max_tokens, self.overlap).cache()
         added = self._store_chunks(rows)
         bad = rows.filter("error is not null").select("file_path").distinct().cache()
         with_chunks = rows.filter("chunk_hash is not null").select("file_path").distinct().withColumn("__has", F.lit(True))
-        done = scanned.join(touched, "file_path", "left_semi").join(bad, "file_path", "left_anti").join(with_chunks, "file_path", "left")
+        done = fresh.join(bad, "file_path", "left_anti").join(with_chunks, "file_path", "left")
         new = done.select(
             F.lit(name).alias("context_id"), "file_path", F.when(F.col("__has"), F.col("file_hash")).otherwise(NO_CHUNKS).alias("file_hash"),
             (F.col("last_modified") * 1_000_000_000).alias("mtime_ns"),
@@ -118,7 +123,7 @@ class Index:
         # What a context has taken up is no longer only cached.
         warmed = self.store.read("warmed").join(new.select("file_hash"), "file_hash", "left_anti")
         self.store.commit(replace={"indexed_files": maintenance.upsert(kept, new, maintenance.FILE_KEY), "contexts": contexts, "warmed": warmed}, metadata={"last_build": int(time.time())})
-        for frame in (changes, rows, bad):
+        for frame in (changes, fresh, rows, bad):
             frame.unpersist()
         return IndexResult(counts.get("added", 0), counts.get("modified", 0), counts.get("deleted", 0), skipped, added, time.time() - began)
 
