@@ -37,6 +37,29 @@ def files_of(files: DataFrame, context_id: str) -> DataFrame:
     return files.filter(F.col("context_id") == context_id).select("file_path", F.expr("mtime_ns div 1000000000").alias("seconds"))
 
 
+def hex_bytes(digest: Column, name: str = "hash") -> Column:
+    """The 32 bytes of a hex digest; anything else ends the query with an error that names the field."""
+    fault = F.concat(F.lit(f"{name}: 64 hex digits expected, got "), F.coalesce(digest, F.lit("null")))
+    return F.when(F.coalesce(digest.rlike("\\A[0-9a-fA-F]{64}\\z"), F.lit(False)), F.unhex(digest)).otherwise(F.raise_error(fault).cast("binary"))
+
+
+def objects(chunks: DataFrame) -> DataFrame:
+    """Stored chunks with their id and checked binary hashes; a row that cannot be one ends the query."""
+    count = F.when(F.col("token_count") >= 0, F.col("token_count")).otherwise(F.raise_error(F.lit("token_count: must not be negative")).cast("int"))
+    binary = {c: hex_bytes(F.col(c), c) for c in ("chunk_hash", "file_hash")}
+    return chunks.withColumns({"id": uuid_of_hash(F.lower("chunk_hash")), "token_count": count} | binary)
+
+
+def images(catalog: DataFrame, tags: DataFrame, manifests: DataFrame) -> DataFrame:
+    """Every image of a registry, by repository and tag: its manifest's digest, size and time. catalog: repositories
+    (array); tags: name, tags (array); manifests: repository, tag, digest, created, manifests, config_size, layers."""
+    named = catalog.select(F.explode("repositories").alias("repository")).distinct()
+    tagged = tags.select(F.col("name").alias("repository"), F.explode("tags").alias("tag")).distinct()
+    size = image_size(F.col("manifests"), F.col("config_size"), F.col("layers"))
+    held = manifests.select("repository", "tag", "digest", size.alias("size_bytes"), "created")
+    return tagged.join(named, "repository", "left_semi").join(held, ["repository", "tag"]).orderBy("repository", "tag")
+
+
 def image_size(manifests: Column, config_size: Column, layers: Column) -> Column:
     """Sum of the manifests of a multi-platform image, or its configuration and layers."""
     total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x.cast("long"))

@@ -15,6 +15,7 @@ from lumendex.operators import chunkers, maintenance, search
 from lumendex.operators.embedding import Embedder, HashingEmbedder, embed_chunks
 from lumendex.plans.store import Store
 from lumendex.sources import config, files
+from lumendex.sources.content import ContentSource
 
 ROOT_CONTEXT = "."
 NO_CHUNKS = "00" * 32  # hash of a file that gave no chunk
@@ -36,6 +37,22 @@ class GcStats:
     embeddings_deleted: int
 
 
+class Progress:
+    """What an update tells of itself; every call does nothing unless it is overridden. Work runs on executors by whole
+    tables, so files and embeddings are told in sums, not one by one. They run on the driver; an error ends the update."""
+
+    def scanning_started(self) -> None: ...
+    def files_discovered(self, files: int) -> None: ...
+    def scanning_completed(self) -> None: ...
+    def chunking_started(self, files: int) -> None: ...
+    def files_chunked(self, files: int, chunks: int) -> None: ...
+    def chunking_completed(self, chunks: int) -> None: ...
+    def embedding_started(self, chunks: int) -> None: ...
+    def embeddings_generated(self, chunks: int) -> None: ...
+    def embedding_completed(self) -> None: ...
+    def indexing_completed(self) -> None: ...
+
+
 class Index:
     """A workspace directory and its index tables."""
 
@@ -68,10 +85,19 @@ class Index:
 
     # -- building ----------------------------------------------------------------------------
 
-    def build(self, context: str = ROOT_CONTEXT) -> IndexResult:
+    def build(self, context: str = ROOT_CONTEXT, progress: Progress | None = None) -> IndexResult:
         self.store.create(self._pinned())
         self._add_contexts([clean_context(context)])
-        return self.update(context)
+        return self.update(context, progress=progress)
+
+    def build_cache(self) -> None:
+        """An index without contexts, to be filled by ``cache``; fails if there is one."""
+        self.store.create(self._pinned())
+
+    def ensure_cache(self) -> None:
+        """As ``build_cache``, but keeps an index that is there."""
+        if not self.store.exists():
+            self.store.create(self._pinned())
 
     def _add_contexts(self, names: list[str]) -> None:
         rows = self.spark.createDataFrame([(n,) for n in names], "context_id string").withColumn("created_at", F.current_timestamp()).withColumn("last_indexed", F.lit(None).cast("timestamp"))
@@ -89,15 +115,21 @@ class Index:
         inside = [clean_context(t if context == ROOT_CONTEXT else f"{context}/{t}") for t in targets] if targets else []
         return files.chosen(files.list_files(self.spark, self.root, inside, skip=[self.FOLDER]), list(filters))
 
-    def update(self, context: str | None = ROOT_CONTEXT, all_contexts: bool = False, by: str = "mtime") -> IndexResult:
+    def update_at(self, cwd: str, by: str = "mtime", progress: Progress | None = None) -> IndexResult:
+        """Updates the context that holds a directory, or all contexts if none does."""
+        found = self._context_of(cwd)
+        return self.update(found or ROOT_CONTEXT, all_contexts=found is None, by=by, progress=progress)
+
+    def update(self, context: str | None = ROOT_CONTEXT, all_contexts: bool = False, by: str = "mtime", progress: Progress | None = None) -> IndexResult:
         """Indexes what was added or changed in a context and forgets what is gone. By modification time, only the
         files that are new or changed are read; ``by="hash"`` reads all."""
         if all_contexts:
-            results = [self.update(r["context_id"], by=by) for r in self.store.read("contexts").orderBy("context_id").collect()]
+            results = [self.update(r["context_id"], by=by, progress=progress) for r in self.store.read("contexts").orderBy("context_id").collect()]
             return IndexResult(*(sum(getattr(r, f) for r in results) for f in IndexResult.__dataclass_fields__))
-        began, name, filters = time.time(), clean_context(context), self.config().filters()
+        began, name, filters, told = time.time(), clean_context(context), self.config().filters(), progress or Progress()
         if self.store.read("contexts").filter(F.col("context_id") == name).isEmpty():
             self._add_contexts([name])
+        told.scanning_started()
         listed = self._list(name, filters)
         scanned = listed.withColumn("mtime", F.col("last_modified")) if by == "mtime" else files.contents(listed, self.root).withColumn("hash", F.col("file_hash"))
         mapped = self.store.read("indexed_files")
@@ -105,10 +137,18 @@ class Index:
         changes = maintenance.diff(scanned, mine, by).cache()
         counts = {r["change"]: r["count"] for r in changes.groupBy("change").count().collect()}
         touched = changes.filter("change in ('added', 'modified')").select("file_path")
+        found, due = sum(n for change, n in counts.items() if change != "deleted"), counts.get("added", 0) + counts.get("modified", 0)
+        told.files_discovered(found)
+        told.scanning_completed()
+        told.chunking_started(due)
         # Read once: chunks and hash of a file that changes meanwhile belong together.
         fresh = files.contents(listed.join(touched, "file_path", "left_semi"), self.root).persist(StorageLevel.MEMORY_AND_DISK)
         rows = chunkers.chunk_files(fresh, filters, self.max_tokens, self.overlap).cache()
-        added = self._store_chunks(rows)
+        if progress:
+            n_chunks = rows.filter("chunk_hash is not null").count()
+            told.files_chunked(due, n_chunks)
+            told.chunking_completed(n_chunks)
+        added = self._store_chunks(rows, told)
         bad = rows.filter("error is not null").select("file_path").distinct().cache()
         with_chunks = rows.filter("chunk_hash is not null").select("file_path").distinct().withColumn("__has", F.lit(True))
         done = fresh.join(bad, "file_path", "left_anti").join(with_chunks, "file_path", "left")
@@ -125,19 +165,24 @@ class Index:
         self.store.commit(replace={"indexed_files": maintenance.upsert(kept, new, maintenance.FILE_KEY), "contexts": contexts, "warmed": warmed}, metadata={"last_build": int(time.time())})
         for frame in (changes, fresh, rows, bad):
             frame.unpersist()
+        told.indexing_completed()
         return IndexResult(counts.get("added", 0), counts.get("modified", 0), counts.get("deleted", 0), skipped, added, time.time() - began)
 
-    def _store_chunks(self, rows: DataFrame) -> int:
+    def _store_chunks(self, rows: DataFrame, told: Progress | None = None) -> int:
         """Appends the chunks that are new; only those are embedded."""
+        told = told or Progress()
         good = rows.filter("chunk_hash is not null")
         known = self.store.read("chunks")
         fresh = maintenance.unknown(good.select("chunk_hash"), known)
         owners = maintenance.first_owner(good.join(fresh, "chunk_hash", "left_semi")).cache()
         n = owners.count()
+        told.embedding_started(n)
         if n:
             bridge = good.select("file_hash", "chunk_hash", "ordinal").distinct()
             bridge = bridge.join(self.store.read("file_chunks"), ["file_hash", "chunk_hash", "ordinal"], "left_anti")
             self.store.commit(append={"vec_chunks": embed_chunks(owners, self.embedder), "chunks": owners, "file_chunks": bridge})
+            told.embeddings_generated(n)
+        told.embedding_completed()
         owners.unpersist()
         return n
 
@@ -149,10 +194,11 @@ class Index:
         self._add_contexts(sorted(names | {ROOT_CONTEXT, clean_context(context)}))
         return self.update(context)
 
-    def cache(self, entries: DataFrame) -> tuple[int, int]:
+    def cache(self, entries: DataFrame | ContentSource) -> tuple[int, int]:
         """(entries, chunks added): embeds the chunks of any source ahead; they become searchable with a context."""
-        if not self.store.exists():
-            self.store.create(self._pinned())
+        self.ensure_cache()
+        if not isinstance(entries, DataFrame):
+            entries = entries.batch_fetch(entries.scan(self.spark))
         rows = chunkers.chunk_files(entries.filter("error is null"), max_tokens=self.max_tokens, overlap=self.overlap).cache()
         if not rows.filter("error is not null").isEmpty():
             raise chunkers.ParseError(rows.filter("error is not null").first()["error"])
@@ -190,6 +236,13 @@ class Index:
         gone.unpersist()
         return stats
 
+    def clear_all(self) -> int:
+        """Empties all tables but the contexts; the number of chunks that went."""
+        n = self.store.read("chunks").count()
+        tables = ("vec_chunks", "chunks", "file_chunks", "warmed", "indexed_files")
+        self.store.commit(replace={t: self.store.read(t).limit(0) for t in tables})
+        return n
+
     def clear(self, context: str = ROOT_CONTEXT) -> GcStats:
         self.store.commit(replace={"indexed_files": maintenance.clear_context(self.store.read("indexed_files"), clean_context(context))})
         return self.gc()
@@ -208,9 +261,14 @@ class Index:
 
     def resolve(self, cwd: str) -> str:
         """The context of a directory: the longest that is a path prefix of it."""
+        return self._context_of(cwd) or ROOT_CONTEXT
+
+    def _context_of(self, cwd: str) -> str | None:
         rel = os.path.relpath(os.path.abspath(cwd), self.root)
+        if rel == ".." or rel.startswith("../"):
+            return None
         dirs = self.spark.createDataFrame([(rel,)], "cwd string")
-        return search.resolve_contexts(dirs, self.store.read("contexts")).first()["context_id"] or ROOT_CONTEXT
+        return search.resolve_contexts(dirs, self.store.read("contexts")).first()["context_id"]
 
     def status(self) -> DataFrame:
         meta = self.store.metadata()

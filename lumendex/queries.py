@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumendex.functions import paths, text, vectors
+from lumendex.functions import display, paths, sql, text, vectors
 from lumendex.operators import lookups
 from lumendex.operators import maintenance as m
 from lumendex.operators import search
@@ -17,11 +17,11 @@ from lumendex.operators import search
 QUERIES, ORACLES = {}, {}
 
 
-def query(sql: str | None = None):
+def query(oracle: str | None = None):
     def register(f):
         QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
+        if oracle:
+            ORACLES[f.__name__] = oracle
         return f
 
     return register
@@ -449,6 +449,63 @@ def json_sink(spark, sf_dir):
     return parsed.select("j.file_path", "j.match_count")
 
 
+_UNITS = "CASE " + " ".join(f"WHEN s >= {n} THEN s // {n} || CASE WHEN s // {n} = 1 THEN ' {u} ago' ELSE ' {u}s ago' END" for u, n in display.UNITS) + " ELSE 'now' END"
+
+
+@query(f"""WITH i AS (SELECT o_orderkey, o_orderpriority AS repository, 'v' || o_orderkey AS tag, o_orderkey * 1000003 % 1500000000 AS b, CASE WHEN o_orderkey % 5 > 0 THEN o_orderkey * 7919 % 70000000 END AS s, 'sha256:' || sha256(o_orderkey::VARCHAR) AS d FROM orders),
+w AS (SELECT repository, max(length(tag)) AS w FROM i GROUP BY repository),
+c AS (SELECT o_orderkey, ':' || tag AS t, w + 1 AS w, printf('%.1f', b / 1e6) || 'MB' AS z, CASE WHEN s IS NULL THEN '' ELSE 'Pushed ' || {_UNITS} END AS a, substr(d, 1, 19) AS d FROM i JOIN w USING (repository))
+SELECT o_orderkey AS image, t || repeat(' ', greatest(w - length(t), 0)) || ' ' || repeat(' ', greatest(8 - length(z), 0)) || z || ' ' || repeat(' ', greatest(22 - length(a), 0)) || a || ' ' || d AS line FROM c""")
+def image_lines(spark, sf_dir):
+    """Orders as images of repositories, each as the line that is shown of it."""
+    k = F.col("o_orderkey")
+    i = read(spark, sf_dir, "orders").select(
+        k.alias("image"), F.col("o_orderpriority").alias("repository"), F.concat(F.lit("v"), k).alias("tag"), (k * 1000003 % 1500000000).alias("size"),
+        F.when(k % 5 > 0, k * 7919 % 70000000).alias("age"), F.concat(F.lit("sha256:"), F.sha2(k.cast("string"), 256)).alias("digest"),
+    )
+    widths = i.groupBy("repository").agg(F.max(F.length("tag")).alias("width"))
+    return i.join(widths, "repository").select("image", display.image_line(*map(F.col, ("tag", "size", "age", "digest", "width"))).alias("line"))
+
+
+@query(f"WITH {_F} SELECT file_path, CASE WHEN starts_with(file_path, 'src0/docs/') THEN substr(file_path, 11) WHEN starts_with(file_path, 'src0/') THEN '../' || substr(file_path, 6) ELSE '../../' || file_path END AS inside, 'w/' || file_path AS above, '../w/' || file_path AS beside FROM f")
+def display_paths(spark, sf_dir):
+    shown = {name: display.display_path(F.col("file_path"), "/r/w", cwd) for name, cwd in (("inside", "/r/w/src0/docs"), ("above", "/r"), ("beside", "/r/v"))}
+    return _files(spark, sf_dir).select("file_path", *[c.alias(n) for n, c in shown.items()])
+
+
+@query("SELECT DISTINCT p_brand AS name, 5001 + ('0x' || substr(sha256(p_brand), 1, 8))::BIGINT % 1999 AS port FROM part")
+def derived_ports(spark, sf_dir):
+    return read(spark, sf_dir, "part").select(F.col("p_brand").alias("name"), display.derived_port(F.col("p_brand")).alias("port")).distinct()
+
+
+@query("SELECT vec_id, round(ln(1 + sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]))), 6) AS log_magnitude, round(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]), 6) AS dot FROM embeddings")
+def sql_functions(spark, sf_dir):
+    sql.register(spark)
+    return spark.sql("SELECT vec_id, round(ln(1 + vector_magnitude(embedding)), 6) AS log_magnitude, round(vector_dot(embedding, embedding), 6) AS dot FROM {v}", v=_vectors(spark, sf_dir))
+
+
+@query(f"WITH {_L} SELECT regexp_replace(substr(min(chunk_hash), 1, 32), '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})$', '\\1-\\2-\\3-\\4-\\5') AS id, chunk_hash, 32 AS n_bytes FROM l GROUP BY chunk_hash")
+def chunk_objects(spark, sf_dir):
+    """Stored chunks as objects: their hashes checked and decoded."""
+    stored = m.first_owner(_lines(spark, sf_dir).select("chunk_hash", "file_path", "ordinal", "file_hash", F.lit(1).alias("token_count")))
+    found = lookups.objects(stored)
+    return found.select("id", F.lower(F.hex("chunk_hash")).alias("chunk_hash"), F.octet_length("file_hash").alias("n_bytes"))
+
+
+@query("""WITH t AS (SELECT DISTINCT p_brand AS repository, 't' || p_size AS tag FROM part WHERE p_size % 10 <> 0),
+h AS (SELECT p_brand AS repository, 't' || p_size AS tag, count(*) * 7 + 100 AS size_bytes, sha256(p_brand || p_size) AS digest FROM part WHERE p_size % 7 <> 0 AND p_brand <> 'Brand#11' GROUP BY p_brand, p_size)
+SELECT repository, tag, digest, size_bytes FROM t JOIN h USING (repository, tag)""")
+def catalog_images(spark, sf_dir):
+    """Brands as repositories and sizes as tags of a registry: catalog, tags and manifests joined, in order."""
+    p = read(spark, sf_dir, "part").select(F.col("p_brand").alias("repository"), "p_size", F.concat(F.lit("t"), "p_size").alias("tag"))
+    catalog = p.filter("repository <> 'Brand#11'").agg(F.collect_set("repository").alias("repositories"))  # a fixed few brands
+    tags = p.filter("p_size % 10 <> 0").groupBy(F.col("repository").alias("name")).agg(F.collect_set("tag").alias("tags"))
+    held = p.filter("p_size % 7 <> 0").groupBy("repository", "tag", "p_size").agg(F.collect_list(F.lit(7).cast("long")).alias("layers"))
+    none = F.array().cast("array<bigint>")
+    manifests = held.select("repository", "tag", F.sha2(F.concat("repository", "p_size"), 256).alias("digest"), F.lit(None).cast("string").alias("created"), none.alias("manifests"), F.lit(100).alias("config_size"), "layers")
+    return lookups.images(catalog, tags, manifests).drop("created")
+
+
 _CODE = {
     "r/a.md": ("markdown", "# A\nbody\n## B\nmore words\n"), "r/b.rs": ("rust_doc", "/// Adds.\npub fn add() {}\n/// Hides.\nfn hide() {}\n"), "r/c.go": ("go_doc", "package c\n\n// Far goes.\nfunc Far() {}\n"),
     "r/d.c": ("c_doc", "/* Sum. */\nint sum(int a) { return a; }\n"), "r/e.sh": ("shell_doc", "#!/bin/sh\n# Runs.\nrun() {\n:\n}\n"), "r/f.ts": ("js_doc", "/** Adds. */\nexport function add() {}\n"),

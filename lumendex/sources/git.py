@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumendex.functions.paths import EXTENSIONS
-from lumendex.sources.files import ENTRY
+from lumendex.sources.files import ENTRY, LISTED
 
 
 def repositories(root: str) -> list[tuple[str, str]]:
@@ -52,31 +52,61 @@ def read_files(directory: str, revision: str, paths: list[str]) -> list[tuple[by
 _TYPES = {e: kind for kind, names in EXTENSIONS.items() for e in names}
 
 
-def scan(spark: SparkSession, root: str, revision: str = "HEAD", types: list[str] | None = None, batch: int = 256) -> DataFrame:
-    """ENTRY columns of every file of a known type; last_modified is null; paths begin with the repository name."""
+def fetch(root: str, file_path: str, revision: str = "HEAD") -> str:
+    """The text of one file, its path beginning with the repository name; bytes that are not UTF-8 are replaced."""
+    name, _, path = file_path.partition("/")
+    run = subprocess.run(["git", "-C", os.path.join(root, f"{name}.git"), "show", f"{revision}:{path}"], capture_output=True)
+    if run.returncode:
+        raise FileNotFoundError(run.stderr.decode("utf-8", "replace").strip())
+    return run.stdout.decode("utf-8", "replace")
+
+
+def list_all(spark: SparkSession, root: str, revision: str = "HEAD", types: list[str] | None = None) -> DataFrame:
+    """LISTED columns of every file of a known type; last_modified is null; paths begin with the repository name.
+    A repository that lacks the revision has none."""
     repos = repositories(root)
     if not repos:
-        return spark.createDataFrame([], ENTRY)
+        return spark.createDataFrame([], LISTED)
     on = set(types) if types is not None else set(EXTENSIONS)
-    columns = [x.split()[0] for x in ENTRY.split(", ")]
+    columns = [x.split()[0] for x in LISTED.split(", ")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for name, directory in zip(f["name"], f["directory"], strict=True):
-                wanted = [p for p in list_files(directory, revision) if _TYPES.get(p.rpartition(".")[2]) in on]
-                for i in range(0, len(wanted), batch):
-                    part = wanted[i : i + batch]
+                wanted = ((p, _TYPES.get(p.rpartition(".")[2])) for p in list_files(directory, revision))
+                rows = [(f"{name}/{p}", None, kind, name) for p, kind in wanted if kind in on]
+                yield pd.DataFrame(rows, columns=columns).astype(object)
+
+    table = spark.createDataFrame(repos, "name string, directory string").repartition(len(repos), F.col("name"))
+    return table.mapInPandas(run, LISTED)
+
+
+def read_all(listed: DataFrame, root: str, revision: str = "HEAD", batch: int = 256) -> DataFrame:
+    """ENTRY columns of listed files, each batch of one repository read by one process. Content that is not UTF-8, or
+    is not there, gives an error row."""
+    columns = [x.split()[0] for x in ENTRY.split(", ")]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for name, own in f.groupby("repo_name", sort=False):
+                directory = os.path.join(root, f"{name}.git")
+                for i in range(0, len(own), batch):
+                    part = own.iloc[i : i + batch]
+                    paths = [p.partition("/")[2] for p in part["file_path"]]
                     rows = []
-                    for p, (raw, error) in zip(part, read_files(directory, revision, part), strict=True):
+                    for p, kind, (raw, error) in zip(part["file_path"], part["file_type"], read_files(directory, revision, paths), strict=True):
                         text = None
                         if raw is not None:
                             try:
                                 text = raw.decode()
                             except UnicodeDecodeError:
                                 error = "read: not UTF-8 text"
-                        digest = hashlib.sha256(raw).hexdigest() if raw is not None else None
-                        rows.append((f"{name}/{p}", name, _TYPES[p.rpartition(".")[2]], None, text, digest, error))
+                        rows.append((p, name, kind, None, text, hashlib.sha256(raw).hexdigest() if raw is not None else None, error))
                     yield pd.DataFrame(rows, columns=columns).astype(object)
 
-    table = spark.createDataFrame(repos, "name string, directory string").repartition(len(repos), F.col("name"))
-    return table.mapInPandas(run, ENTRY)
+    return listed.select(*[x.split()[0] for x in LISTED.split(", ")]).mapInPandas(run, ENTRY)
+
+
+def scan(spark: SparkSession, root: str, revision: str = "HEAD", types: list[str] | None = None, batch: int = 256) -> DataFrame:
+    """ENTRY columns of every file of a known type."""
+    return read_all(list_all(spark, root, revision, types), root, revision, batch)

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumendex.functions.paths import context_id as clean_context
 from lumendex.functions.paths import file_type, repo_name
 from lumendex.operators import maintenance
 from lumendex.operators.chunkers import chunk_files
@@ -32,7 +33,11 @@ def entries(files: DataFrame, root: str) -> DataFrame:
 
 
 def ingest(index: Index, stream: DataFrame, context: str, checkpoint: str, available_now: bool = True):
-    """Starts the streaming query that keeps a context up to date with a file stream."""
+    """Starts the streaming query that adds the new and changed files of a stream to a context, which is added if it
+    is unknown. A file stream does not tell of deleted files: ``Index.update`` forgets those."""
+    context = clean_context(context)
+    if index.store.read("contexts").filter(F.col("context_id") == context).isEmpty():
+        index.add_context(context)
 
     def merge(batch: DataFrame, _: int) -> None:
         rows = entries(batch, index.root).cache()
