@@ -124,8 +124,11 @@ def scan(source: str, lex: Lexis) -> tuple[str, list[Comment]]:
                     depth, k = depth + 1, k + 2
                 else:
                     k += 1
-            if depth:
+            if depth and lex.rust:
                 raise ParseError("a block comment does not end")
+            if depth:  # no comment, and nothing after it can be read
+                blank(i, n)
+                break
             comments.append(Comment(i, k, line_of(i), line_of(k - 1), source[i:k]))
             blank(i, k)
             i = k
@@ -212,8 +215,20 @@ class Found:
     match: re.Match
 
 
+def check_brackets(code: str) -> None:
+    """Raises unless all brackets of code without comments and strings are paired."""
+    pairs, stack = {")": "(", "]": "[", "}": "{"}, []
+    for m in re.finditer(r"[()\[\]{}]", code):
+        if m[0] not in pairs:
+            stack.append(m[0])
+        elif not stack or stack.pop() != pairs[m[0]]:
+            raise ParseError(f"{m[0]} closes nothing")
+    if stack:
+        raise ParseError(f"{stack[-1]} is not closed")
+
+
 def declarations(code: str, pattern: re.Pattern, kind_of: Callable[[re.Match], str]) -> list[Found]:
-    """Declarations in order, each with the kinds of the braces around it."""
+    """Declarations in order, each with the kinds of the braces around it. Braces without a partner are passed over."""
     found, stack, pending = [], [], None
     for m in re.compile(f"(?P<__mark>[{{}};])|{pattern.pattern}", re.M).finditer(code):
         mark = m["__mark"]
@@ -221,16 +236,13 @@ def declarations(code: str, pattern: re.Pattern, kind_of: Callable[[re.Match], s
             stack.append(pending or "block")
             pending = None
         elif mark == "}":
-            if not stack:
-                raise ParseError("a brace closes nothing")
-            stack.pop()
+            if stack:
+                stack.pop()
         elif mark == ";":
             pending = None
         else:
             pending = kind_of(m)
             found.append(Found(pending, m["name"] or "", m.start("decl"), tuple(stack), m))
-    if stack:
-        raise ParseError("a brace is not closed")
     return found
 
 
@@ -286,7 +298,9 @@ _RUST_ATTRS = re.compile(r"(?:\s|#\[(?:[^\[\]]|\[[^\]]*\])*\])*")
 
 
 def rust(source: str, path: str) -> list[Item]:
+    """Only of this language is a file that does not parse an error; the others give what can be read."""
     code, comments = scan(source, Lexis(nested=True, rust=True))
+    check_brackets(code)
     inner = [c for c in comments if c.text.startswith(("//!", "/*!"))]
 
     def doc_text(run: list[Comment]) -> str:
@@ -298,6 +312,8 @@ def rust(source: str, path: str) -> list[Item]:
         items.append(Item(doc_text(top), "module", "modules", "public"))
     outer = lambda c: c.text.startswith(("///", "/**")) and not c.text.startswith(("////", "/***"))
     for d in declarations(code, _RUST, lambda m: m["kind"]):
+        if not re.compile(r"[{;]").search(code, d.start):
+            raise ParseError(f"{d.kind} {d.name} does not end")
         in_impl = d.scope[-1:] == ("impl",)
         if d.kind == "impl" or any(s not in ("mod", "impl") for s in d.scope) or (in_impl and d.kind != "fn"):
             continue

@@ -281,3 +281,20 @@ def test_slashes_in_regular_expressions_are_no_comments():
 
     code, comments = chunkers.scan("const re = /[/*]/; /** B */ export class B {}\nconst x = a / b; // c\n", chunkers.Lexis(quotes="\"'", raw=("`",), regex=True))
     assert [c.text for c in comments] == ["/** B */", "// c"] and "a / b" in code
+
+
+@pytest.mark.parametrize("code", ["pub fn incomplete(", "fn f() { (] }", "fn f()", "struct S", "/* open", "fn f() { x) }"])
+def test_rust_that_does_not_parse(code):
+    with pytest.raises(c.ParseError):
+        c.rust(code, "x.rs")
+
+
+def test_brackets_in_rust_literals_and_macros():
+    code = "/// A.\npub fn a() { let x = '('; let y = \"]\"; let z = r#\"}\"#; b!({ [x] }); }\n/// B.\npub const B: [u8; 2] = [b'(', b'\\''];\n"
+    assert [i.name for i in c.rust(code, "x.rs")] == ["a", "B"]
+
+
+def test_other_languages_give_what_can_be_read():
+    assert [i.name for i in c.go("package p\n\n// Far goes.\nfunc Far() {}\n}\nfunc Open() {\n", "x.go") if i.name == "Far"] == ["Far"]
+    assert "Adds." in [i.text.strip() for i in c.js("/** Adds. */\nexport function add() {}\nfunction open() {\n", "x.js")]
+    assert [i.text.strip() for i in c.c_docs("/* Sum. */\nint sum(int a) { return a; }\n/* open", "x.c")] == ["Sum."]
