@@ -44,11 +44,11 @@ def check_limit(limit: int) -> int:
     return limit
 
 
-def scored(table: DataFrame, query: Sequence[float], key: str = "chunk_hash", vector: str = "embedding") -> DataFrame:
-    """key and score of every row with a vector. Whole Arrow batches are scored by one matrix product, as
+def scored(table: DataFrame, query: Sequence[float], key: str = "chunk_hash", vector: str = "embedding", carry: Sequence[str] = ()) -> DataFrame:
+    """key, score and the columns to carry of every row with a vector. Whole Arrow batches are scored by one matrix product, as
     array functions of the JVM are interpreted row by row; products run over the shorter length."""
     q = np.asarray(query, np.float64)
-    schema = T.StructType([table.schema[key], T.StructField("score", T.DoubleType())])
+    schema = T.StructType([table.schema[key], T.StructField("score", T.DoubleType()), *(table.schema[c] for c in carry)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -65,20 +65,21 @@ def scored(table: DataFrame, query: Sequence[float], key: str = "chunk_hash", ve
             norms = np.sqrt((v * v).sum(axis=1)) * np.sqrt(q @ q)
             with np.errstate(divide="ignore", invalid="ignore"):
                 cosine = (v[:, :k] @ q[:k]) / norms
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.clip(cosine, 0, 1))], names=[key, "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.clip(cosine, 0, 1)), *b.columns[2:]], names=[key, "score", *carry])
 
-    return table.select(key, vector).mapInArrow(run, schema)
+    return table.select(key, vector, *carry).mapInArrow(run, schema)
 
 
-def knn(table: DataFrame, query: Sequence[float], k: int, key: str = "chunk_hash", vector: str = "embedding") -> DataFrame:
-    """key and score of the k rows nearest by cosine; ties by key. A zero vector has no direction and is left out."""
-    found = scored(table, query, key, vector).filter(~F.isnan("score"))
+def knn(table: DataFrame, query: Sequence[float], k: int, key: str = "chunk_hash", vector: str = "embedding", carry: Sequence[str] = ()) -> DataFrame:
+    """key, score and the columns to carry of the k rows nearest by cosine; ties by key. A zero vector has no direction
+    and is left out."""
+    found = scored(table, query, key, vector, carry).filter(~F.isnan("score"))
     return found.orderBy(F.desc("score"), key).limit(k)
 
 
 def in_context(scores: DataFrame, chunks: DataFrame, files: DataFrame, context_id: str) -> DataFrame:
     """The (chunk_hash, score) rows whose chunk belongs to a file of the context."""
-    mine = files.filter(F.col("context_id") == context_id).select("file_hash").distinct()
+    mine = files.filter(F.col("context_id") == context_id).select("file_hash")  # a semi-join needs them not distinct
     eligible = chunks.join(mine, "file_hash", "left_semi").select("chunk_hash")
     return scores.join(eligible, "chunk_hash", "left_semi")
 
@@ -91,9 +92,12 @@ def paths_of(files: DataFrame, context_id: str) -> DataFrame:
 def search_chunks(vectors_table, chunks, files, query, context_id: str, k: int) -> DataFrame:
     """chunk_hash, score, file_hash, file_path, repo_name, content of the k best chunks of a context."""
     near = in_context(scored(vectors_table, query).filter(~F.isnan("score")), chunks, files, context_id)
-    best = near.orderBy(F.desc("score"), "chunk_hash").limit(k)
-    found = chunks.join(F.broadcast(best), "chunk_hash")  # at most 100 * 20 rows
-    return paths_of(files, context_id).join(F.broadcast(found), "file_hash").select(
+    rows = near.orderBy(F.desc("score"), "chunk_hash").limit(k).collect()  # at most MAX_LIMIT * RETRY_OVERFETCH narrow rows
+    best = vectors_table.sparkSession.createDataFrame(rows, near.schema)
+    # Literal hashes reach the scan, where the sort order and the Bloom filters of the table skip row groups.
+    found = chunks.filter(F.col("chunk_hash").isin([r["chunk_hash"] for r in rows])).join(F.broadcast(best), "chunk_hash")
+    mine = files.join(F.broadcast(found.select("file_hash")), "file_hash", "left_semi")
+    return paths_of(mine, context_id).join(F.broadcast(found), "file_hash").select(
         "chunk_hash", "score", "file_hash", "file_path", "repo_name", "content", "context_type", "context_data"
     )
 

@@ -76,8 +76,8 @@ def knn_context_semijoin(spark, sf_dir):
 
 
 def _file_hits(spark, sf_dir, k):
-    best = search.knn(_vectors(spark, sf_dir), _query_vector(spark, sf_dir), k, "vec_id")
-    hits = _vectors(spark, sf_dir).select("vec_id", F.col("label").cast("string").alias("label")).join(F.broadcast(best), "vec_id")
+    best = search.knn(_vectors(spark, sf_dir), _query_vector(spark, sf_dir), k, "vec_id", carry=["label"])
+    hits = best.withColumn("label", F.col("label").cast("string"))
     return hits.select(F.col("label").alias("file_hash"), F.concat(F.lit("r/docs/"), "label", F.lit(".md")).alias("file_path"), F.lit("r").alias("repo_name"), "score", F.col("vec_id").cast("string").alias("chunk_hash"), F.lit("").alias("content"))
 
 

@@ -281,3 +281,9 @@ def test_search_scores_before_it_joins(spark):
     files = spark.createDataFrame([("f", "p", "."), ("g", "q", "x")], "file_hash string, file_path string, context_id string")
     near = search.in_context(search.scored(v, [1.0, 0.0]), chunks, files, ".")
     assert [r.chunk_hash for r in near.collect()] == ["a"] and "embedding" not in near.columns
+
+
+def test_carried_columns_need_no_second_read(spark):
+    v = spark.createDataFrame([("a", [1.0, 0.0], 7, None), ("b", [0.6, 0.8], None, "x"), ("c", [0.0, 0.0], 9, "y")], "chunk_hash string, embedding array<float>, n int, s string")
+    found = search.knn(v, [1.0, 0.0], 5, carry=["s", "n"])
+    assert [(r.chunk_hash, round(r.score, 6), r.s, r.n) for r in found.collect()] == [("a", 1.0, None, 7), ("b", 0.6, "x", None)]
