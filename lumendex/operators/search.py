@@ -89,17 +89,23 @@ def paths_of(files: DataFrame, context_id: str) -> DataFrame:
     return files.filter(F.col("context_id") == context_id).groupBy("file_hash").agg(F.max("file_path").alias("file_path"))
 
 
+def nearest(vectors_table, chunks, files, query, context_id: str, k: int) -> list[tuple[str, float]]:
+    """(chunk_hash, score) of the k best chunks of a context, best first; k is at most MAX_LIMIT * RETRY_OVERFETCH."""
+    near = in_context(scored(vectors_table, query).filter(~F.isnan("score")), chunks, files, context_id)
+    return [(r["chunk_hash"], r["score"]) for r in near.orderBy(F.desc("score"), "chunk_hash").limit(k).collect()]
+
+
+def located(best: list[tuple[str, float]], chunks: DataFrame, files: DataFrame, context_id: str) -> DataFrame:
+    """The chunk rows of the best, each with its path in the context. A chunk may be held by any number of files, so only
+    the scores are broadcast: at most MAX_LIMIT * RETRY_OVERFETCH rows."""
+    scores = chunks.sparkSession.createDataFrame(best, "chunk_hash string, score double").coalesce(1)
+    found = chunks.join(F.broadcast(scores), "chunk_hash")
+    return paths_of(files, context_id).join(found, "file_hash").select("chunk_hash", "score", "file_hash", "file_path", "repo_name", "content", "context_type", "context_data")
+
+
 def search_chunks(vectors_table, chunks, files, query, context_id: str, k: int) -> DataFrame:
     """chunk_hash, score, file_hash, file_path, repo_name, content of the k best chunks of a context."""
-    near = in_context(scored(vectors_table, query).filter(~F.isnan("score")), chunks, files, context_id)
-    rows = near.orderBy(F.desc("score"), "chunk_hash").limit(k).collect()  # at most MAX_LIMIT * RETRY_OVERFETCH narrow rows
-    best = vectors_table.sparkSession.createDataFrame(rows, near.schema)
-    # Literal hashes reach the scan, where the sort order and the Bloom filters of the table skip row groups.
-    found = chunks.filter(F.col("chunk_hash").isin([r["chunk_hash"] for r in rows])).join(F.broadcast(best), "chunk_hash")
-    mine = files.join(F.broadcast(found.select("file_hash")), "file_hash", "left_semi")
-    return paths_of(mine, context_id).join(F.broadcast(found), "file_hash").select(
-        "chunk_hash", "score", "file_hash", "file_path", "repo_name", "content", "context_type", "context_data"
-    )
+    return located(nearest(vectors_table, chunks, files, query, context_id, k), chunks, files, context_id)
 
 
 def group_by_file(hits: DataFrame, limit: int) -> DataFrame:
@@ -135,12 +141,13 @@ def rerank(files: DataFrame, rules: Sequence[BoostRule] = DEFAULT_RULES) -> Data
 def search_files(vectors_table, chunks, files, query, context_id=".", limit=DEFAULT_LIMIT, rules=DEFAULT_RULES) -> DataFrame:
     """The file-level search: over-fetch chunks, group, fetch more if files are too few, boost, sort."""
     check_limit(limit)
-    spark = vectors_table.sparkSession
+    best = nearest(vectors_table, chunks, files, query, context_id, limit * RETRY_OVERFETCH)  # vectors are read once
     for factor in (OVERFETCH, RETRY_OVERFETCH):
-        found = group_by_file(search_chunks(vectors_table, chunks, files, query, context_id, limit * factor), limit)
+        found = group_by_file(located(best[: limit * factor], chunks, files, context_id), limit)
         rows = found.collect()  # at most MAX_LIMIT files of at most MAX_LIMIT * RETRY_OVERFETCH chunks
-        if len(rows) >= limit or factor == RETRY_OVERFETCH:
-            return rerank(spark.createDataFrame(rows, found.schema), rules)
+        if len(rows) >= limit or len(best) <= limit * factor:
+            break
+    return rerank(vectors_table.sparkSession.createDataFrame(rows, found.schema).coalesce(1), rules)
 
 
 def resolve_contexts(dirs: DataFrame, contexts: DataFrame, default: str = ".") -> DataFrame:

@@ -287,3 +287,15 @@ def test_carried_columns_need_no_second_read(spark):
     v = spark.createDataFrame([("a", [1.0, 0.0], 7, None), ("b", [0.6, 0.8], None, "x"), ("c", [0.0, 0.0], 9, "y")], "chunk_hash string, embedding array<float>, n int, s string")
     found = search.knn(v, [1.0, 0.0], 5, carry=["s", "n"])
     assert [(r.chunk_hash, round(r.score, 6), r.s, r.n) for r in found.collect()] == [("a", 1.0, None, 7), ("b", 0.6, "x", None)]
+
+
+def test_search_finds_every_holder_of_a_chunk(spark):
+    v = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.6, 0.8]), ("c", [0.0, 1.0])], "chunk_hash string, embedding array<float>")
+    rows = [("a", f"f{i}", "r", f"text {i}", "t", "{}") for i in range(5)] + [("b", "f0", "r", "b", "t", "{}"), ("c", "g", "r", "c", "t", "{}")]
+    chunks = spark.createDataFrame(rows, "chunk_hash string, file_hash string, repo_name string, content string, context_type string, context_data string")
+    files = spark.createDataFrame([(f"f{i}", f"r/{i}.txt", "." if i < 4 else "x") for i in range(5)] + [("f0", "r/z.txt", "."), ("g", "r/g.txt", "x")], "file_hash string, file_path string, context_id string")
+    hits = search.search_chunks(v, chunks, files, [1.0, 0.0], ".", 2).collect()
+    assert sorted((r.chunk_hash, r.file_path) for r in hits) == [("a", "r/1.txt"), ("a", "r/2.txt"), ("a", "r/3.txt"), ("a", "r/z.txt"), ("b", "r/z.txt")]
+    found = search.search_files(v, chunks, files, [1.0, 0.0], ".", 10, ()).collect()
+    assert [(r.file_path, r.match_count) for r in found] == [("r/1.txt", 1), ("r/2.txt", 1), ("r/3.txt", 1), ("r/z.txt", 2)]
+    assert search.search_files(v, chunks, files, [1.0, 0.0], "nowhere", 10, ()).count() == 0
