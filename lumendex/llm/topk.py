@@ -9,7 +9,7 @@ Query rows are packed into bounded blocks too. Candidate blocks are dealt over s
 of at most ``CELL_BLOCKS`` or so, and a shuffled equi-join on (salt, cell) lets all pairs of blocks meet: a candidate
 block goes to every cell, a query block to every salt, and neither side is collected or broadcast.
 
-Scores are exact: 64-bit sums where no sum can overflow, else Python integers; a score beyond 64 bits is
+Scores are exact: 32- or 64-bit sums where no sum can overflow, else Python integers; a score beyond 64 bits is
 given as the nearest 64-bit integer.
 
 Defined cases: vectors that are null, empty or hold a null or non-finite component take no part; a
@@ -32,9 +32,15 @@ from pyspark.sql.window import Window
 from lumendex.llm import common
 
 K = 5
-BLOCK_ROWS = 1024
+BLOCK_ROWS = 2048
 QUERY_ROWS = 512
+#: Components of a block, so that long vectors make blocks of fewer rows; a longer vector is a block of its own.
+BLOCK_VALUES = 1 << 18
 CELL_BLOCKS = 64
+#: Query rows whose scores are accumulated together.
+TILE = 16
+#: A posting list of one in ``FULL`` rows or more is filled up with zeros.
+FULL = 4
 #: Weights above are summed as Python integers, as products of two might not fit.
 _LIMIT = float(1 << 31)
 _MAX = 1.7976931348623157e308
@@ -54,10 +60,10 @@ def quantised(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 
 
 def _pack(rows: int):
-    """Rows to blocks of at most ``rows``: ids and term postings in a few flat arrays, sorted by id."""
+    """Rows to blocks of at most ``rows`` and ``BLOCK_VALUES``: ids and term postings in a few flat arrays, sorted by id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, lens, vals, n = [], [], [], 0
+        ids, lens, vals, n, room = [], [], [], 0, BLOCK_VALUES
 
         def block():
             i, k = np.concatenate(ids), np.concatenate(lens)
@@ -78,15 +84,17 @@ def _pack(rows: int):
             flat, at = v.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(all_len)))
             start = 0
             while start < len(all_ids):
-                end = min(len(all_ids), start + rows - n)
+                fit = int(np.searchsorted(at, at[start] + room, "right")) - 1
+                end = min(len(all_ids), start + rows - n, max(fit, start + (n == 0)))
                 ids.append(all_ids[start:end])
                 lens.append(all_len[start:end])
                 vals.append(flat[at[start] : at[end]])
-                n += end - start
+                n, room = n + end - start, room - int(at[end] - at[start])
+                full = n == rows or (end < len(all_ids) and at[end + 1] - at[end] > room)
                 start = end
-                if n == rows:
+                if full or room <= 0:
                     yield block()
-                    ids, lens, vals, n = [], [], [], 0
+                    ids, lens, vals, n, room = [], [], [], 0, BLOCK_VALUES
         if n:
             yield block()
 
@@ -100,47 +108,71 @@ def _arrays(ids: bytes, term: bytes, row: bytes, weight: bytes):
     return np.frombuffer(ids, np.int64), np.frombuffer(term, np.int32), np.frombuffer(row, np.int32), np.frombuffer(weight, np.float64)
 
 
-def _exact(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Both weights as 64-bit integers if no sum of 2**31 products can overflow or, if one could, as Python integers."""
+def _exact(a: np.ndarray, b: np.ndarray, terms: int) -> tuple[np.ndarray, np.ndarray]:
+    """Both weights as the narrowest integers in which no sum of ``terms`` products can overflow; Python's if none is safe."""
     most = [float(np.abs(x).max()) if len(x) else 0.0 for x in (a, b)]
-    if max(most) < _LIMIT and most[0] * most[1] < float(1 << 31):
-        return a.astype(np.int64), b.astype(np.int64)
+    for bits, dtype in ((31, np.int32), (62, np.int64)):
+        if max(most) < min(_LIMIT, float(1 << bits)) and most[0] * most[1] * terms < float(1 << bits):
+            return a.astype(dtype), b.astype(dtype)
     return tuple(np.array([int(x) for x in w.tolist()], object) for w in (a, b))
 
 
+def _filled(size: int, at: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    out = np.zeros(size, weights.dtype)
+    out[at] = weights
+    return out
+
+
+def _accumulate(rows: int, n: int, q_term, q_row, q_weight, postings) -> np.ndarray:
+    """Scores of ``rows`` queries against a block of n: term by term, each query scatters its weighted postings. Lists
+    that are nearly full are filled up with zeros, as the scatter is then a plain sum."""
+    scores = np.zeros((rows, n), q_weight.dtype)
+    product = np.empty_like(scores)
+    terms, starts = np.unique(q_term, return_index=True)
+    for t, a, b in zip(terms.tolist(), starts.tolist(), [*starts[1:].tolist(), len(q_term)], strict=True):
+        at, weights = postings(t)
+        if not len(weights):
+            continue
+        mine, by = q_row[a:b], q_weight[a:b]
+        if at is not None:
+            scores[mine[:, None], at] += np.multiply.outer(by, weights)
+        elif FULL * (b - a) < rows:
+            scores[mine] += np.multiply.outer(by, weights)
+        else:
+            scores += np.multiply.outer(_filled(rows, mine, by), weights, out=product)
+    return scores
+
+
 def block_topk(queries, block, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query ids, candidate ids, scores): the k best rows of a block for each query row."""
+    """(query ids, candidate ids, scores): the k best rows of a block for each query row. Queries are taken in tiles, so
+    that a tile's scores stay in a core's cache while the terms pass."""
     q_ids, q_term, q_row, q_weight = queries
     ids, term, row, weight = block
     n = len(ids)
-    q_weight, weight = _exact(q_weight, weight)
-    ends = np.searchsorted(term, np.arange((term.max() if len(term) else -1) + 2))
-    order = np.argsort(q_row, kind="stable")
-    q_ends = np.searchsorted(q_row[order], np.arange(len(q_ids) + 1))
+    q_weight, weight = _exact(q_weight, weight, int(np.bincount(q_row).max(initial=0)))
+    terms, starts = np.unique(term, return_index=True)
+    lists = {}
+    for t, a, b in zip(terms.tolist(), starts.tolist(), [*starts[1:].tolist(), len(term)], strict=True):
+        lists[t] = (None, _filled(n, row[a:b], weight[a:b])) if FULL * (b - a) >= n else (row[a:b], weight[a:b])
+    postings = lambda t: lists.get(t, (None, ()))
+    own_from, own_to = np.searchsorted(ids, q_ids, "left"), np.searchsorted(ids, q_ids, "right")
     out_q, out_c, out_s = [], [], []
-    place = np.arange(n)
-    for q in range(len(q_ids)):
-        scores = np.zeros(n, weight.dtype)
-        mine = order[q_ends[q] : q_ends[q + 1]]
-        for t, w in zip(q_term[mine].tolist(), q_weight[mine].tolist(), strict=True):
-            if t + 1 < len(ends):
-                a, b = ends[t], ends[t + 1]
-                if b - a == n:  # a full posting list is the identity scatter
-                    scores += w * weight[a:b]
-                else:
-                    scores[row[a:b]] += w * weight[a:b]
-        own = slice(*np.searchsorted(ids, [q_ids[q], q_ids[q] + 1]))
-        others = np.delete(place, own)
-        s = scores[others]
-        if len(s) > k:
-            kth = np.partition(s, len(s) - k)[len(s) - k] if s.dtype == np.int64 else sorted(s)[-k]
-            above, ties = np.flatnonzero(s > kth), np.flatnonzero(s == kth)  # ids ascend, so the first ties win
-            best = np.concatenate((above, ties[: k - len(above)]))
-        else:
-            best = np.arange(len(s))
-        out_q.append(np.full(len(best), q_ids[q]))
-        out_c.append(ids[others[best]])
-        out_s.append(s[best] if s.dtype == np.int64 else np.array([max(-(1 << 63), min((1 << 63) - 1, x)) for x in s[best]], np.int64))
+    for low in range(0, len(q_ids), TILE):
+        rows = min(TILE, len(q_ids) - low)
+        mine = (q_row >= low) & (q_row < low + rows)
+        tile = _accumulate(rows, n, q_term[mine], q_row[mine] - low, q_weight[mine], postings)
+        for q in range(rows):
+            a, b = own_from[low + q], own_to[low + q]
+            s = np.concatenate((tile[q, :a], tile[q, b:]))
+            if len(s) > k:
+                kth = sorted(s)[-k] if s.dtype == object else np.partition(s, len(s) - k)[len(s) - k]
+                above, ties = np.flatnonzero(s > kth), np.flatnonzero(s == kth)  # ids ascend, so the first ties win
+                best = np.concatenate((above, ties[: k - len(above)]))
+            else:
+                best = np.arange(len(s))
+            out_q.append(np.full(len(best), q_ids[low + q]))
+            out_c.append(ids[best + (b - a) * (best >= a)])
+            out_s.append(np.array([max(-(1 << 63), min((1 << 63) - 1, x)) for x in s[best]], np.int64) if s.dtype == object else s[best].astype(np.int64))
     cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
     return cat(out_q), cat(out_c), cat(out_s)
 
@@ -163,7 +195,8 @@ def search(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for r in b.to_pylist():
+            for i in range(b.num_rows):  # a pair of blocks at a time: a batch may hold many
+                r = b.slice(i, 1).to_pylist()[0]
                 got = block_topk(
                     _arrays(r["q_ids"], r["q_term"], r["q_row"], r["q_weight"]), _arrays(r["ids"], r["term"], r["row"], r["weight"]), k
                 )

@@ -339,6 +339,22 @@ def test_topk(spark):
     assert topk.search(df.limit(0), F.lit(True)).count() == 0
 
 
+@pytest.mark.parametrize("density", [0.05, 0.3, 0.9])
+def test_topk_of_sparse_vectors_in_small_tiles_and_blocks(spark, monkeypatch, density):
+    monkeypatch.setattr(topk, "TILE", 3)
+    monkeypatch.setattr(topk, "BLOCK_VALUES", 70)
+    r = np.random.default_rng(int(density * 100))
+    vs = [[float(x) for x in np.where(r.random(n) < density, r.integers(-4, 5, n), 0)] for n in [*r.integers(1, 20, 60).tolist(), 90]]
+    df = spark.createDataFrame(list(enumerate(vs)), "vec_id long, embedding array<double>")
+    got = rows_of(topk.search(df, F.col("vec_id") % 3 == 0, salts=3))
+    score = lambda a, b: sum(int(x * 256) * int(y * 256) for x, y in zip(a, b))  # noqa: E731, B905
+    want = []
+    for q in range(0, len(vs), 3):
+        best = sorted((-score(vs[q], v), c) for c, v in enumerate(vs) if c != q)[: topk.K]
+        want += [(q, n, c, -s) for n, (s, c) in enumerate(best, 1)]
+    assert sorted(got) == sorted(want)
+
+
 def test_topk_of_large_components_and_many_cells(spark, monkeypatch):
     monkeypatch.setattr(topk, "CELL_BLOCKS", 1)
     monkeypatch.setattr(topk, "QUERY_ROWS", 2)
