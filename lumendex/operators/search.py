@@ -98,7 +98,9 @@ def nearest(vectors_table, chunks, files, query, context_id: str, k: int) -> lis
 def located(best: list[tuple[str, float]], chunks: DataFrame, files: DataFrame, context_id: str) -> DataFrame:
     """The chunk rows of the best, each with its path in the context. A chunk may be held by any number of files, so only
     the scores are broadcast: at most MAX_LIMIT * RETRY_OVERFETCH rows."""
-    scores = chunks.sparkSession.createDataFrame(best, "chunk_hash string, score double").coalesce(1)
+    hashes, scores = ([x[i] for x in best] for i in range(2))
+    table = pa.table({"chunk_hash": pa.array(hashes, pa.string()), "score": pa.array(scores, pa.float64())})
+    scores = chunks.sparkSession.createDataFrame(table)  # a local relation: no job, no Python worker
     found = chunks.join(F.broadcast(scores), "chunk_hash")
     return paths_of(files, context_id).join(found, "file_hash").select("chunk_hash", "score", "file_hash", "file_path", "repo_name", "content", "context_type", "context_data")
 
@@ -143,11 +145,11 @@ def search_files(vectors_table, chunks, files, query, context_id=".", limit=DEFA
     check_limit(limit)
     best = nearest(vectors_table, chunks, files, query, context_id, limit * RETRY_OVERFETCH)  # vectors are read once
     for factor in (OVERFETCH, RETRY_OVERFETCH):
-        found = group_by_file(located(best[: limit * factor], chunks, files, context_id), limit)
-        rows = found.collect()  # at most MAX_LIMIT files of at most MAX_LIMIT * RETRY_OVERFETCH chunks
-        if len(rows) >= limit or len(best) <= limit * factor:
+        found = rerank(group_by_file(located(best[: limit * factor], chunks, files, context_id), limit), rules)
+        rows = found.toArrow()  # at most MAX_LIMIT files of at most MAX_LIMIT * RETRY_OVERFETCH chunks
+        if rows.num_rows >= limit or len(best) <= limit * factor:
             break
-    return rerank(vectors_table.sparkSession.createDataFrame(rows, found.schema).coalesce(1), rules)
+    return vectors_table.sparkSession.createDataFrame(rows, found.schema)
 
 
 def resolve_contexts(dirs: DataFrame, contexts: DataFrame, default: str = ".") -> DataFrame:
