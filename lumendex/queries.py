@@ -524,6 +524,40 @@ def chunk_languages(spark, sf_dir):
     return chunk_files(files).select("file_path", "ordinal", "content")
 
 
+# Sources that the query writes about each document: {i} is its id, {w} a line about its words.
+_SOURCES = {
+    "markdown": "# Top {i}\n{w}\n## Empty\n## Sub\n{w}\n", "rust_doc": "/// {w}\npub fn f{i}() {}\n/// hidden\nfn h() {}\n/// {w}\npub struct S{i};\n",
+    "go_doc": "package c\n\n// {w}\nfunc F{i}() {}\n\n// hidden\nfunc g() {}\n", "c_doc": "/* {w} */\nint f{i}(int a) { return a; }\n\nint g(void) { return 0; }\n",
+    "shell_doc": "#!/bin/sh\n# {w}\nrun{i}() {\n  :\n}\n", "js_doc": "const z = /[/*]/;\n/** {w} */\nexport function f{i}() {}\n/** hidden */\nfunction g() {}\n",
+    "java_doc": "/** {w} */\npublic class C{i} {\n  /** hidden */\n  private int x;\n}\n", "kotlin_doc": "/** {w} */\nclass C{i}\n/** hidden */\nprivate fun g() {}\n",
+}
+
+
+@query("""WITH a AS (SELECT doc_id AS i, regexp_extract_all(text, '[A-Za-z]+') AS a FROM documents),
+w AS (SELECT i, 'Has ' || len(a) || ' words from ' || list_min(a) || ' to ' || list_max(a) AS w FROM a WHERE len(a) > 0),
+x AS (SELECT i, w, unnest([
+  {k: 'markdown', n: 0, c: '# Top ' || i || chr(10) || w, name: NULL, visibility: NULL, signature: NULL}, {k: 'markdown', n: 1, c: '## Sub' || chr(10) || w, name: NULL, visibility: NULL, signature: NULL},
+  {k: 'rust_doc', n: 0, c: w, name: 'f' || i, visibility: 'public', signature: 'fn f' || i || '()'}, {k: 'rust_doc', n: 1, c: w, name: 'S' || i, visibility: 'public', signature: NULL},
+  {k: 'go_doc', n: 0, c: w, name: 'F' || i, visibility: 'exported', signature: 'func F' || i || '() {}'}, {k: 'c_doc', n: 0, c: w, name: 'f' || i, visibility: NULL, signature: 'int f' || i || '(int a) { return a; }'},
+  {k: 'shell_doc', n: 0, c: w, name: 'run' || i, visibility: NULL, signature: 'run' || i || '() {'}, {k: 'js_doc', n: 0, c: w, name: 'f' || i, visibility: 'exported', signature: 'export function f' || i || '() {}'},
+  {k: 'java_doc', n: 0, c: w, name: 'C' || i, visibility: 'public', signature: 'public class C' || i || ' {'}, {k: 'kotlin_doc', n: 0, c: w, name: 'C' || i, visibility: 'public', signature: 'class C' || i}]) AS x FROM w)
+SELECT x.k || '/' || i AS file_path, x.n::INT AS ordinal, x.c AS content, sha256(x.c) AS chunk_hash, x.name AS item_name, x.visibility AS visibility, x.signature AS signature FROM x""")
+def chunk_sources(spark, sf_dir):
+    """Every chunker on sources written about each document: what is public comes out, what is hidden stays."""
+    from lumendex.operators.chunkers import chunk_files
+
+    words = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("i"), F.expr("regexp_extract_all(text, '[A-Za-z]+', 0)").alias("a")).filter("size(a) > 0")
+    w = words.select("i", F.concat(F.lit("Has "), F.size("a"), F.lit(" words from "), F.array_min("a"), F.lit(" to "), F.array_max("a")).alias("w"))
+    each = w.select("i", "w", F.explode(F.create_map(*[F.lit(x) for kv in _SOURCES.items() for x in kv])).alias("file_type", "t"))
+    body = F.replace(F.replace("t", F.lit("{i}"), F.col("i")), F.lit("{w}"), F.col("w"))
+    path = F.concat_ws("/", "file_type", "i")
+    files = each.select(path.alias("file_hash"), F.lit("r").alias("repo_name"), path.alias("file_path"), "file_type", F.lit(0).cast("long").alias("last_modified"), body.alias("content"))
+    of = lambda key: F.get_json_object("context_data", f"$['{key}']")
+    return chunk_files(files).select(
+        "file_path", "ordinal", "content", "chunk_hash", of("item-name").alias("item_name"), of("visibility").alias("visibility"), of("signature").alias("signature")
+    )
+
+
 @query("""WITH b AS (SELECT page_id, regexp_extract_all(html, '<(?:h1|p|li)>(?:<[a-z][^>]*>)*[^<]+') AS b FROM pages),
 x AS (SELECT page_id, unnest(b) AS x, generate_subscripts(b, 1) - 1 AS ordinal FROM b)
 SELECT page_id, CAST(ordinal AS INT) AS ordinal, regexp_extract(x, '^<([a-z0-9]+)>', 1) AS tag, trim(regexp_replace(x, '<[^>]*>', '', 'g')) AS content FROM x""")
