@@ -549,8 +549,8 @@ def count_tokens(text: str) -> int:
 
 
 def split(text: str, max_tokens: int = MAX_TOKENS, overlap: int = OVERLAP_TOKENS) -> list[str]:
-    """Pieces of at most max_tokens tokens; neighbours share up to ``overlap``. A piece ends at a line end
-    where one lies in its last quarter."""
+    """Pieces of at most max_tokens tokens; neighbours share up to ``overlap``. A piece ends at a blank line, else at
+    a line end, where one lies in its last quarter."""
     spans = [m.span() for m in _TOKEN.finditer(text)]
     if len(spans) <= max_tokens:
         return [text.strip()] if text.strip() else []
@@ -558,10 +558,9 @@ def split(text: str, max_tokens: int = MAX_TOKENS, overlap: int = OVERLAP_TOKENS
     while True:
         last = min(len(spans), first + max_tokens)
         if last < len(spans):
-            for k in range(last, first + max(overlap + 1, max_tokens * 3 // 4), -1):
-                if "\n" in text[spans[k - 1][1] : spans[k][0]]:
-                    last = k
-                    break
+            # Between two tokens lies only white space: of the places with most line ends (two at most count), the latest.
+            places = range(last, first + max(overlap + 1, max_tokens * 3 // 4), -1)
+            last = max(places, key=lambda k: min(2, text.count("\n", spans[k - 1][1], spans[k][0])), default=last)
         out.append(text[spans[first][0] : spans[last - 1][1]].strip())
         if last == len(spans):
             return out

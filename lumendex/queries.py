@@ -358,13 +358,20 @@ def sentence_split(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.size(text.sentences(F.col("text"))).cast("long").alias("n"))
 
 
-@query("""WITH w AS (SELECT doc_id, regexp_extract_all(text, '[^ \\t\\n\\x0B\\f\\r]+') AS w FROM documents), s AS (SELECT doc_id, w, unnest(range(0, len(w), 218)) AS first FROM w)
-SELECT doc_id, first, least(256, len(w) - first) AS n_tokens, sha256(array_to_string(list_slice(w, first + 1, first + 256), ' ')) AS chunk_hash FROM s WHERE first = 0 OR first + 38 < len(w)""")
+@query("""WITH t AS (SELECT doc_id, regexp_replace(text, '[\\n\\r]', ' ', 'g') AS t FROM documents WHERE NOT starts_with(text, '#')),
+p AS (SELECT doc_id, string_split(regexp_replace(t, '([\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_\\p{Z}\\s])', '\\1' || chr(1), 'g'), chr(1)) AS p FROM t WHERE trim(t) <> ''),
+w AS (SELECT doc_id, p, len(p) - 1 AS n, unnest(range(0, greatest(len(p) - 1, 1), 218)) AS first FROM p)
+SELECT doc_id, (first // 218)::INT AS ordinal, least(256, n - first)::INT AS token_count, sha256(trim(array_to_string(list_slice(p, first + 1, first + 256), ''))) AS chunk_hash FROM w WHERE first = 0 OR first + 38 < n""")
 def token_windows(spark, sf_dir):
-    """Fixed windows of 256 tokens that overlap by 38."""
-    w = read(spark, sf_dir, "documents").select("doc_id", F.expr("regexp_extract_all(text, '\\\\S+', 0)").alias("w")).filter("size(w) > 0")
-    s = w.withColumn("first", F.explode(F.expr("sequence(0, size(w) - 1, 218)"))).filter("first = 0 OR first + 38 < size(w)")
-    return s.select("doc_id", F.col("first").cast("long").alias("first"), F.least(F.lit(256), F.size("w") - F.col("first")).cast("long").alias("n_tokens"), F.sha2(F.array_join(F.slice("w", F.col("first") + 1, 256), " "), 256).alias("chunk_hash"))
+    """Documents as Markdown files of one line: pieces of 256 tokens that overlap by 38."""
+    from lumendex.operators.chunkers import chunk_files
+
+    doc = F.col("doc_id").cast("string")
+    line = F.translate("text", "\n\r", "  ")
+    files = read(spark, sf_dir, "documents").filter("NOT startswith(text, '#')").select(
+        doc.alias("file_hash"), F.lit("r").alias("repo_name"), doc.alias("file_path"), F.lit("markdown").alias("file_type"), F.lit(0).cast("long").alias("last_modified"), line.alias("content")
+    )
+    return chunk_files(files).select(F.col("file_path").cast("long").alias("doc_id"), "ordinal", "token_count", "chunk_hash")
 
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")

@@ -298,3 +298,11 @@ def test_other_languages_give_what_can_be_read():
     assert [i.name for i in c.go("package p\n\n// Far goes.\nfunc Far() {}\n}\nfunc Open() {\n", "x.go") if i.name == "Far"] == ["Far"]
     assert "Adds." in [i.text.strip() for i in c.js("/** Adds. */\nexport function add() {}\nfunction open() {\n", "x.js")]
     assert [i.text.strip() for i in c.c_docs("/* Sum. */\nint sum(int a) { return a; }\n/* open", "x.c")] == ["Sum."]
+
+
+def test_pieces_end_at_blank_lines_then_line_ends():
+    text = "a b c d e f\n\ng h\ni j k l m n o"
+    assert c.split(text, 10, 0)[0] == "a b c d e f\n\ng h"
+    assert c.split(text.replace("f\n\ng h", "f g\n\nh"), 10, 0)[0].endswith("h")
+    assert c.split("a b c d e f g\n\nh\ni j k l", 9, 0)[0] == "a b c d e f g"
+    assert c.split("a b c d e f", 3, 1) == ["a b c", "c d e", "e f"]
