@@ -22,22 +22,6 @@ def line_count(text: Column) -> Column:
     return F.when(text == "", 0).otherwise(F.size(F.split(body, "\\n", -1)))
 
 
-def has_body(text: Column) -> Column:
-    """Whether any line is neither blank nor a heading."""
-    return F.exists(F.split(text, "\\n", -1), lambda x: (F.trim(x) != "") & ~F.trim(x).startswith("#"))
-
-
-def clean_block_comment(comment: Column) -> Column:
-    """The lines of a block comment without its marks and leading stars; blank lines go."""
-    inner = F.regexp_replace(F.regexp_replace(F.trim(comment), "^/\\*+(?!/)", ""), "\\*+/$", "")
-    lines = F.transform(F.split(inner, "\\n", -1), lambda x: F.trim(F.regexp_replace(F.trim(x), "^\\*+", "")))
-    return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
-
-
-def signature(declaration: Column) -> Column:
-    return F.trim(F.element_at(F.split(declaration, "\\n", -1), 1))
-
-
 def preview(text: Column, length: int = 100) -> Column:
     """First bytes on one line, with dots if more follow; a character that the cut would split is left out."""
     head = F.make_valid_utf8(F.substring(text.cast("binary"), 1, length).cast("string"))

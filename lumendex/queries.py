@@ -318,24 +318,48 @@ def type_detect(spark, sf_dir):
     return f.select("path", paths.file_type(F.col("path"), F.col("head")).alias("file_type"))
 
 
-@query("SELECT doc_id FROM documents WHERE lang IN ('en', 'fr') AND source IN ('src0', 'src1', 'src2') AND len(string_split(regexp_replace(text, '\\n$', ''), chr(10))) >= 5 AND text <> ''")
+def _chunked(sources: DataFrame, kind, path: str, body, filters=None) -> DataFrame:
+    """The chunks that the index takes from generated sources; path is SQL."""
+    from lumendex.operators.chunkers import chunk_files
+
+    kind, path = F.lit(kind) if isinstance(kind, str) else kind, F.expr(path)
+    own = [path.alias("file_hash"), F.lit("r").alias("repo_name"), path.alias("file_path"), kind.alias("file_type"), F.lit(0).cast("long").alias("last_modified"), body.alias("content")]
+    return chunk_files(sources.select(*own), filters)
+
+
+def _context(key: str):
+    return F.get_json_object("context_data", f"$['{key}']")
+
+
+_ID = "CAST(doc_id AS STRING)"
+
+
+@query("SELECT doc_id, 'F' || doc_id AS item_name, (doc_id % 4 + 1)::INT AS n_lines FROM documents WHERE doc_id % 3 <> 0 AND doc_id % 2 = 0 AND doc_id % 4 >= 2")
 def item_filter(spark, sf_dir):
+    """A Go item about each document: every third a type, the odd ones unexported, with one to four lines of comment."""
     from lumendex.operators.chunkers import ItemFilter
 
-    keep = ItemFilter(visibility=("en", "fr"), items=("src0", "src1", "src2"), min_doc_lines=5)
-    return read(spark, sf_dir, "documents").filter(keep.column(F.col("lang"), F.col("source"), text.line_count(F.col("text")))).select("doc_id")
+    item = F.expr("CASE WHEN doc_id % 3 = 0 THEN concat('type T', doc_id, ' struct {}') WHEN doc_id % 2 = 0 THEN concat('func F', doc_id, '() {}') ELSE concat('func f', doc_id, '() {}') END")
+    body = F.concat(F.lit("package c\n\n"), F.expr("repeat('// says so\\n', CAST(doc_id % 4 + 1 AS INT))"), item, F.lit("\n"))
+    keep = ItemFilter(visibility=("public",), items=("function",), min_doc_lines=3)
+    got = _chunked(read(spark, sf_dir, "documents"), "go_doc", _ID, body, {"go_doc": keep})
+    return got.select(F.col("file_path").cast("long").alias("doc_id"), _context("item-name").alias("item_name"), text.line_count(F.col("content")).alias("n_lines"))
 
 
-@query("SELECT doc_id, len([x for x in string_split(text, chr(10)) if trim(x) <> '' AND NOT starts_with(trim(x), '#')]) > 0 AS has_body FROM documents")
+@query("SELECT doc_id, '# Top' || chr(10) || 'of ' || length(text) || ' characters' AS content FROM documents WHERE doc_id % 3 = 2 AND text IS NOT NULL")
 def has_body_filter(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", text.has_body(F.col("text")).alias("has_body"))
+    """A heading about each document: a third have no body, a third a blank one."""
+    body = F.when(F.col("doc_id") % 3 == 0, "").when(F.col("doc_id") % 3 == 1, "\n  \n").otherwise(F.concat(F.lit("of "), F.length("text"), F.lit(" characters\n")))
+    got = _chunked(read(spark, sf_dir, "documents").filter("text IS NOT NULL"), "markdown", _ID, F.concat(F.lit("# Top\n"), body))
+    return got.select(F.col("file_path").cast("long").alias("doc_id"), "content")
 
 
-@query("SELECT * FROM (VALUES (1, 'One' || chr(10) || 'Two', '/** One'), (2, 'a * b', '/* a * b */'), (3, '', '/***/')) t(n, cleaned, signature)")
+@query("SELECT doc_id, 'One of ' || doc_id || chr(10) || 'a * b' || chr(10) || 'Two' AS content, 'int f' || doc_id || '(void)' AS signature FROM documents")
 def comment_normalize(spark, sf_dir):
-    rows = [(1, "/** One\n *\n * Two\n */"), (2, "/* a * b */"), (3, "/***/")]
-    c = spark.createDataFrame(rows, "n int, c string")
-    return c.select("n", text.clean_block_comment(F.col("c")).alias("cleaned"), text.signature(F.col("c")).alias("signature"))
+    """Block comments without marks, stars and blank lines; the first line of the declaration below."""
+    body = F.concat(F.lit("/*\n * One of "), "doc_id", F.lit("\n *\n * a * b\n\n ** Two\n **/\nint f"), "doc_id", F.lit("(void)\n{\n}\n"))
+    got = _chunked(read(spark, sf_dir, "documents"), "c_doc", _ID, body)
+    return got.select(F.col("file_path").cast("long").alias("doc_id"), "content", _context("signature").alias("signature"))
 
 
 @query(f"WITH {_Q}, s AS (SELECT {_COS} AS s FROM embeddings e, q) SELECT CASE WHEN s >= 0.8 THEN 'high' WHEN s >= 0.6 THEN 'good' WHEN s >= 0.4 THEN 'fair' ELSE 'low' END AS bucket, count(*) AS n FROM s GROUP BY 1")
@@ -358,20 +382,14 @@ def sentence_split(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.size(text.sentences(F.col("text"))).cast("long").alias("n"))
 
 
-@query("""WITH t AS (SELECT doc_id, regexp_replace(text, '[\\n\\r]', ' ', 'g') AS t FROM documents WHERE NOT starts_with(text, '#')),
+@query("""WITH t AS (SELECT doc_id, regexp_replace(text, '[\\n\\r#`]', ' ', 'g') AS t FROM documents),
 p AS (SELECT doc_id, string_split(regexp_replace(t, '([\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_\\p{Z}\\s])', '\\1' || chr(1), 'g'), chr(1)) AS p FROM t WHERE trim(t) <> ''),
 w AS (SELECT doc_id, p, len(p) - 1 AS n, unnest(range(0, greatest(len(p) - 1, 1), 218)) AS first FROM p)
 SELECT doc_id, (first // 218)::INT AS ordinal, least(256, n - first)::INT AS token_count, sha256(trim(array_to_string(list_slice(p, first + 1, first + 256), ''))) AS chunk_hash FROM w WHERE first = 0 OR first + 38 < n""")
 def token_windows(spark, sf_dir):
     """Documents as Markdown files of one line: pieces of 256 tokens that overlap by 38."""
-    from lumendex.operators.chunkers import chunk_files
-
-    doc = F.col("doc_id").cast("string")
-    line = F.translate("text", "\n\r", "  ")
-    files = read(spark, sf_dir, "documents").filter("NOT startswith(text, '#')").select(
-        doc.alias("file_hash"), F.lit("r").alias("repo_name"), doc.alias("file_path"), F.lit("markdown").alias("file_type"), F.lit(0).cast("long").alias("last_modified"), line.alias("content")
-    )
-    return chunk_files(files).select(F.col("file_path").cast("long").alias("doc_id"), "ordinal", "token_count", "chunk_hash")
+    got = _chunked(read(spark, sf_dir, "documents").filter("text IS NOT NULL"), "markdown", _ID, F.translate("text", "\n\r#`", "    "))
+    return got.select(F.col("file_path").cast("long").alias("doc_id"), "ordinal", "token_count", "chunk_hash")
 
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
@@ -449,11 +467,11 @@ def humanize(spark, sf_dir):
     return rows.select("n", lookups.human_bytes(F.col("n")).alias("size"), lookups.human_age(F.col("s")).alias("age"))
 
 
-@query(f"WITH {_Q}, {_HITS.format(k=50)} {_GROUP.format(n=5).replace('SELECT file_path, round(max(s), 6) AS best_score, count(*) AS match_count', 'SELECT file_path, count(*) AS match_count')}")
+@query(f"WITH {_Q}, {_HITS.format(k=50)} {_GROUP.format(n=5).replace('SELECT file_path', 'SELECT file_path, $$r$$ AS repo_name')}")
 def json_sink(spark, sf_dir):
     rows = search.to_json_rows(search.group_by_file(_file_hits(spark, sf_dir, 50), 5))
-    parsed = rows.select(F.from_json("json", "file_path string, match_count long").alias("j"))
-    return parsed.select("j.file_path", "j.match_count")
+    parsed = rows.select(F.from_json("json", "file_path string, repo_name string, match_count long, best_score double").alias("j")).select("j.*")
+    return parsed.withColumn("best_score", F.round("best_score", 6))
 
 
 _UNITS = "CASE " + " ".join(f"WHEN s >= {n} THEN s // {n} || CASE WHEN s // {n} = 1 THEN ' {u} ago' ELSE ' {u}s ago' END" for u, n in display.UNITS) + " ELSE 'now' END"
@@ -551,17 +569,13 @@ x AS (SELECT i, w, unnest([
 SELECT x.k || '/' || i AS file_path, x.n::INT AS ordinal, x.c AS content, sha256(x.c) AS chunk_hash, x.name AS item_name, x.visibility AS visibility, x.signature AS signature FROM x""")
 def chunk_sources(spark, sf_dir):
     """Every chunker on sources written about each document: what is public comes out, what is hidden stays."""
-    from lumendex.operators.chunkers import chunk_files
-
-    words = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("i"), F.expr("regexp_extract_all(text, '[A-Za-z]+', 0)").alias("a")).filter("size(a) > 0")
+    words = read(spark, sf_dir, "documents").select(F.expr(_ID).alias("i"), F.expr("regexp_extract_all(text, '[A-Za-z]+', 0)").alias("a")).filter("size(a) > 0")
     w = words.select("i", F.concat(F.lit("Has "), F.size("a"), F.lit(" words from "), F.array_min("a"), F.lit(" to "), F.array_max("a")).alias("w"))
     each = w.select("i", "w", F.explode(F.create_map(*[F.lit(x) for kv in _SOURCES.items() for x in kv])).alias("file_type", "t"))
     body = F.replace(F.replace("t", F.lit("{i}"), F.col("i")), F.lit("{w}"), F.col("w"))
-    path = F.concat_ws("/", "file_type", "i")
-    files = each.select(path.alias("file_hash"), F.lit("r").alias("repo_name"), path.alias("file_path"), "file_type", F.lit(0).cast("long").alias("last_modified"), body.alias("content"))
-    of = lambda key: F.get_json_object("context_data", f"$['{key}']")
-    return chunk_files(files).select(
-        "file_path", "ordinal", "content", "chunk_hash", of("item-name").alias("item_name"), of("visibility").alias("visibility"), of("signature").alias("signature")
+    got = _chunked(each, F.col("file_type"), "concat_ws('/', file_type, i)", body)
+    return got.select(
+        "file_path", "ordinal", "content", "chunk_hash", _context("item-name").alias("item_name"), _context("visibility").alias("visibility"), _context("signature").alias("signature")
     )
 
 
