@@ -45,8 +45,9 @@ def check_limit(limit: int) -> int:
 
 
 def scored(table: DataFrame, query: Sequence[float], key: str = "chunk_hash", vector: str = "embedding", carry: Sequence[str] = ()) -> DataFrame:
-    """key, score and the columns to carry of every row with a vector. Whole Arrow batches are scored by one matrix product, as
-    array functions of the JVM are interpreted row by row; products run over the shorter length."""
+    """key, score and the columns to carry of every row with a vector. Whole Arrow batches are scored at once, as array
+    functions of the JVM are interpreted row by row; products run over the shorter length. Each row is summed by itself: a
+    matrix product gives equal rows scores that differ in the last bit by their place in the batch, so copies would not tie."""
     q = np.asarray(query, np.float64)
     schema = T.StructType([table.schema[key], T.StructField("score", T.DoubleType()), *(table.schema[c] for c in carry)])
 
@@ -64,7 +65,7 @@ def scored(table: DataFrame, query: Sequence[float], key: str = "chunk_hash", ve
             k = min(len(q), v.shape[1])
             norms = np.sqrt((v * v).sum(axis=1)) * np.sqrt(q @ q)
             with np.errstate(divide="ignore", invalid="ignore"):
-                cosine = (v[:, :k] @ q[:k]) / norms
+                cosine = np.einsum("ij,j->i", v[:, :k], q[:k]) / norms
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.clip(cosine, 0, 1)), *b.columns[2:]], names=[key, "score", *carry])
 
     return table.select(key, vector, *carry).mapInArrow(run, schema)
@@ -140,11 +141,12 @@ def rerank(files: DataFrame, rules: Sequence[BoostRule] = DEFAULT_RULES) -> Data
     return after.orderBy(F.desc("best_score"), "__rank").drop("__rank")
 
 
-def search_files(vectors_table, chunks, files, query, context_id=".", limit=DEFAULT_LIMIT, rules=DEFAULT_RULES) -> DataFrame:
-    """The file-level search: over-fetch chunks, group, fetch more if files are too few, boost, sort."""
+def search_files(vectors_table, chunks, files, query, context_id=".", limit=DEFAULT_LIMIT, rules=DEFAULT_RULES, overfetch=(OVERFETCH, RETRY_OVERFETCH)) -> DataFrame:
+    """The file-level search: over-fetch chunks, group, fetch more if files are too few, boost, sort. overfetch: chunks
+    fetched a file asked for, in each try; a single one is the storage's search, which does not try again."""
     check_limit(limit)
-    best = nearest(vectors_table, chunks, files, query, context_id, limit * RETRY_OVERFETCH)  # vectors are read once
-    for factor in (OVERFETCH, RETRY_OVERFETCH):
+    best = nearest(vectors_table, chunks, files, query, context_id, limit * overfetch[-1])  # vectors are read once
+    for factor in overfetch:
         found = rerank(group_by_file(located(best[: limit * factor], chunks, files, context_id), limit), rules)
         rows = found.toArrow()  # at most MAX_LIMIT files of at most MAX_LIMIT * RETRY_OVERFETCH chunks
         if rows.num_rows >= limit or len(best) <= limit * factor:

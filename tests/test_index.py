@@ -6,6 +6,7 @@ import time
 
 import numpy as np
 import pytest
+from pyspark.sql.types import LongType, StructField
 
 from lumendex.functions import paths
 from lumendex.operators import embedding, search
@@ -299,3 +300,39 @@ def test_search_finds_every_holder_of_a_chunk(spark):
     found = search.search_files(v, chunks, files, [1.0, 0.0], ".", 10, ()).collect()
     assert [(r.file_path, r.match_count) for r in found] == [("r/1.txt", 1), ("r/2.txt", 1), ("r/3.txt", 1), ("r/z.txt", 2)]
     assert search.search_files(v, chunks, files, [1.0, 0.0], "nowhere", 10, ()).count() == 0
+
+
+def test_copies_of_a_vector_score_alike():
+    """The scoring of Arrow batches by itself: of each vector, 1662 copies in one batch and one alone."""
+    import pyarrow as pa
+
+    class Table:
+        schema = {"id": StructField("id", LongType())}
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            return run
+
+    rng = np.random.default_rng(1)
+    for _ in range(20):
+        x, q = rng.normal(size=(2, 64)).astype(np.float32)
+        score = search.scored(Table(), (q * np.sign(q @ x)).tolist(), "id")  # scores below zero are cut
+        batches = [pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array([x.tolist()] * n, pa.list_(pa.float32()))], names=["id", "embedding"]) for n in (1662, 1)]
+        assert len({s for b in score(iter(batches)) for s in b.column(1).to_pylist()}) == 1
+
+
+def test_search_files_takes_no_second_try_where_its_sql_has_none(spark, tmp_path):
+    """Sixty copies of each vector: the 30 best chunks are of one file, of three asked for."""
+    import duckdb
+
+    from lumendex import queries
+
+    con, sf = duckdb.connect(), str(tmp_path)
+    con.execute(f"COPY (SELECT vec_id + 100000 * i AS vec_id, embedding, label FROM read_parquet('/root/testdata/sf0.001/embeddings.parquet'), range(60) t(i)) TO '{sf}/embeddings.parquet' (FORMAT parquet)")
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{sf}/embeddings.parquet')")
+    expected = con.execute(queries.ORACLES["search_files"]).fetchall()
+    assert [tuple(r) for r in queries.QUERIES["search_files"](spark, sf).collect()] == expected and sum(r[2] for r in expected) == 30
+    tables, vector = queries._index_tables(spark, sf), queries._query_vector(spark, sf)
+    assert [r.match_count for r in search.search_files(*tables, vector, ".", 3).collect()] == [60]  # the index itself tries again
