@@ -13,7 +13,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays, linked at Jaccard >= 0.8 on five-word shingles."""
+    """One document of each component stays: SimHash links, checked at Jaccard >= 0.8 on five-word shingles, and exactly the rest."""
     return neardup.keep_one(docs)
 
 

@@ -1,10 +1,15 @@
-"""Near-duplicates by similarity: Jaccard >= 0.8 on sets of five-word shingles, exactly; connected components.
+"""Near-duplicates by SimHash and an exact check: Jaccard >= 0.8 on sets of five-word shingles; connected components.
 
 Words as in ``simhash``; every 5-word shingle is a 64-bit hash (a shorter text is one shingle). Texts of
 equal sets collapse first. Two sets link at ``NUM`` / ``DEN`` of their union or more; of each component one
 document stays. A text without words has the empty set, which is only like itself.
 
-Join: under one global order of the shingles, two such sets share a shingle among the first
+First the fingerprints of five-word shingles are joined with themselves by the trie of ``simhash``, at ``BITS``
+differing bits, and the whole sets of what it links are compared. Most pairs at 0.8 differ in more bits than a
+trie can prune by (figures in the README), so an exact join finds the rest: what meets there is compared
+unless the links of the fingerprints already have it in one component.
+
+Exact join: under one global order of the shingles, two such sets share a shingle among the first
 n - ceil(0.8 n) + 1 of each, so only these are sent, and no pair is missed. Any order is right; the one
 used puts seldom shingles first, so that text that many documents share is not met on. It is
 read from counts in ``BUCKETS`` buckets, which bounds it on the driver. Pairs that
@@ -28,6 +33,8 @@ from pyspark.sql import types as T
 from lumendex.llm import common, simhash
 
 SHINGLE, NUM, DEN = 5, 4, 5
+#: Bits that the fingerprints of the first join may differ in.
+BITS = 4
 BUCKETS = 1 << 20
 #: A larger group is met in two rounds.
 GROUP_ROWS = 64
@@ -74,24 +81,25 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def _scan(docs: DataFrame) -> DataFrame:
-    """doc_id, __h, k (hash of the set) of each row; beside them bucket, n: shingles met by a task."""
+    """doc_id, __h, k (hash of the set), fp (SimHash) of each row; beside them bucket, n: shingles met by a task."""
     src = docs.select("doc_id", F.xxhash64("text").alias("__h"), F.col("text").cast("binary").alias("__text"))
-    schema = T.StructType([docs.schema["doc_id"], *(T.StructField(c, T.LongType()) for c in ("__h", "k", "bucket", "n"))])
+    schema = T.StructType([docs.schema["doc_id"], *(T.StructField(c, T.LongType()) for c in ("__h", "k", "fp", "bucket", "n"))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, kind = np.zeros(BUCKETS, np.int64), None
         for b in batches:
             kind = b.column(0).type
-            sets = [shingles(t) for t in b.column(2).to_pylist()]
+            texts = b.column(2).to_pylist()
+            sets, prints = [shingles(t) for t in texts], [simhash.fingerprint(t, SHINGLE) for t in texts]
             if sets:
                 np.add.at(total, (np.concatenate(sets) >> _U(44)).astype(np.int64), 1)
             none = pa.nulls(b.num_rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([key_of(s) for s in sets], pa.int64()), none, none], names=schema.names)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([key_of(s) for s in sets], pa.int64()), pa.array(prints, pa.int64()), none, none], names=schema.names)
         at = np.flatnonzero(total)
         for i in range(0, len(at), 1 << 16):
             x = at[i : i + (1 << 16)]
             none = pa.nulls(len(x), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(x), kind), none, none, pa.array(x), pa.array(total[x])], names=schema.names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(x), kind), none, none, none, pa.array(x), pa.array(total[x])], names=schema.names)
 
     return common.materialize(src.mapInArrow(run, schema), "neardup-scan")
 
@@ -221,14 +229,35 @@ def _checked(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
     return out
 
 
-def links(docs: DataFrame, scan: DataFrame, reps: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """(a, b): links between classes that join every two alike ones, at least over others."""
+def fingerprint_links(docs: DataFrame, scan: DataFrame, reps: DataFrame, budget: int = BITS) -> DataFrame:
+    """(a, b): alike classes whose fingerprints differ in at most budget bits. Of the classes of one fingerprint the
+    smallest meets those of other ones, and each of the rest."""
+    prints = common.materialize(scan.filter("k is not null").select("fp", "k").distinct(), "neardup-prints")
+    first = common.materialize(prints.groupBy("fp").agg(F.min("k").alias("k")), "neardup-prints")
+    near = simhash.links(first, budget).toDF("fa", "fb").join(first.toDF("fa", "a"), "fa").join(first.toDF("fb", "b"), "fb").select("a", "b")
+    same = prints.join(first.toDF("fp", "a"), "fp").select("a", F.col("k").alias("b"))
+    pairs = near.unionByName(same).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return _checked(docs, reps, common.materialize(pairs, "neardup-pairs", release=True))
+
+
+def _apart(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """The pairs that the known links do not have in one component."""
+    comp = simhash.components(known)
+    both = pairs.join(comp.toDF("a", "ra"), "a", "left").join(comp.toDF("b", "rb"), "b", "left")
+    return both.filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+
+
+def links(docs: DataFrame, scan: DataFrame, reps: DataFrame, group_rows: int = GROUP_ROWS, known: DataFrame | None = None) -> DataFrame:
+    """(a, b): links between classes that join every two alike ones, at least over others; known are links already found."""
     names = ["tok", "k", "n", "at"]
     entries = _prefixes(docs, _order(scan))
     sort = lambda df: df.repartition("tok").sortWithinPartitions("tok", "n", "k")
     met = common.materialize(sort(entries).mapInArrow(_join_groups(names, group_rows), "a long, b long"), "neardup-met", release=True)
-    pairs = common.materialize(met.filter("b is not null").distinct(), "neardup-pairs")
+    pairs = met.filter("b is not null").distinct()
+    pairs = common.materialize(pairs if known is None else _apart(pairs, known), "neardup-pairs")
     found = _checked(docs, reps, pairs)
+    if known is not None:
+        found = found.unionByName(known)
     big = met.filter("b is null").select(F.col("a").alias("tok"))
     if big.isEmpty():
         return found
@@ -239,11 +268,12 @@ def links(docs: DataFrame, scan: DataFrame, reps: DataFrame, group_rows: int = G
     return found.unionByName(_checked(docs, reps, more))
 
 
-def keep_one(docs: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
+def keep_one(docs: DataFrame, group_rows: int = GROUP_ROWS, budget: int = BITS) -> DataFrame:
     """One document of each component of near copies stays: its first by id (null ids last), then by text hash."""
     scan = _scan(docs)
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__h")
     reps = common.materialize(scan.filter("k is not null").groupBy("k").agg(F.min(row).alias("rep")), "neardup-classes")
-    comp = simhash.components(links(docs, scan, reps, group_rows)).toDF("k", "root")
+    known = fingerprint_links(docs, scan, reps, budget)
+    comp = simhash.components(links(docs, scan, reps, group_rows, known)).toDF("k", "root")
     rooted = reps.join(comp, "k", "left").withColumn("root", F.coalesce("root", "k"))
     return simhash.keep_rows(docs, rooted.groupBy("root").agg(F.min("rep").alias("first")).select("first.*"))

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from lumendex.llm import neardup, simhash
 
@@ -85,6 +86,40 @@ def test_the_stage_links_edited_copies(spark):
     assert [r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()] == [0]
 
 
+def test_fingerprints_link_what_is_within_the_budget_and_alike(spark, rows):
+    docs = spark.createDataFrame(rows, DOCS).repartition(3)
+    scan = neardup._scan(docs)
+    reps = scan.filter("k is not null").groupBy("k").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__h")).alias("rep"))
+    sets = {neardup.key_of(s): s for s in (neardup.shingles((t or "").encode()) for _, t, _ in rows)}
+    holders = {}
+    for _, t, _ in rows:
+        holders.setdefault(simhash.fingerprint((t or "").encode(), 5), set()).add(neardup.key_of(neardup.shingles((t or "").encode())))
+    want = {}
+    for budget in (0, 4, 8):
+        met = {(min(v), k) for v in holders.values() for k in v}
+        met |= {(min(holders[x]), min(holders[y])) for x in holders for y in holders if 0 < ((x ^ y) & (2**64 - 1)).bit_count() <= budget}
+        want[budget] = {(min(p), max(p)) for p in met if p[0] != p[1] and neardup.alike(sets[p[0]], sets[p[1]])}
+        got = neardup.fingerprint_links(docs, scan, reps, budget).collect()
+        assert len(got) == len(set(got)) and {(r.a, r.b) for r in got} == want[budget]
+    assert len(want[0]) < len(want[4]) < len(want[8])
+
+
+@pytest.mark.parametrize("budget", [0, 4, 8])
+def test_the_exact_join_finds_the_rest_at_any_budget(spark, rows, budget):
+    docs = spark.createDataFrame(rows, DOCS).repartition(3)
+    assert sorted((r.doc_id for r in neardup.keep_one(docs, 2, budget).collect()), key=repr) == brute_kept(rows)
+
+
+def test_the_stage_goes_by_fingerprints_first(spark, rows, monkeypatch):
+    import corpus_pipeline
+
+    budgets, joined = [], simhash.links
+    monkeypatch.setattr(simhash, "links", lambda distinct, budget: budgets.append(budget) or joined(distinct, budget))
+    docs = spark.createDataFrame(rows, DOCS)
+    assert sorted((r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()), key=repr) == brute_kept(rows)
+    assert budgets == [neardup.BITS]
+
+
 def test_a_cluster_costs_links_not_all_of_its_pairs(spark):
     rng = random.Random(5)
     base = [f"w{i}" for i in range(300)]
