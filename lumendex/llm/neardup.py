@@ -101,7 +101,7 @@ def _scan(docs: DataFrame) -> DataFrame:
             none = pa.nulls(len(x), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.nulls(len(x), kind), none, none, none, pa.array(x), pa.array(total[x])], names=schema.names)
 
-    return common.materialize(src.mapInArrow(run, schema), "neardup-scan")
+    return common.materialize(src.mapInArrow(run, schema), "neardup-scan", release=True)
 
 
 def _order(scan: DataFrame) -> np.ndarray:
@@ -233,7 +233,7 @@ def fingerprint_links(docs: DataFrame, scan: DataFrame, reps: DataFrame, budget:
     """(a, b): alike classes whose fingerprints differ in at most budget bits. Of the classes of one fingerprint the
     smallest meets those of other ones, and each of the rest."""
     prints = common.materialize(scan.filter("k is not null").select("fp", "k").distinct(), "neardup-prints")
-    first = common.materialize(prints.groupBy("fp").agg(F.min("k").alias("k")), "neardup-prints")
+    first = common.materialize(prints.groupBy("fp").agg(F.min("k").alias("k")), "neardup-prints", release=True)
     near = simhash.links(first, budget).toDF("fa", "fb").join(first.toDF("fa", "a"), "fa").join(first.toDF("fb", "b"), "fb").select("a", "b")
     same = prints.join(first.toDF("fp", "a"), "fp").select("a", F.col("k").alias("b"))
     pairs = near.unionByName(same).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -254,7 +254,7 @@ def links(docs: DataFrame, scan: DataFrame, reps: DataFrame, group_rows: int = G
     sort = lambda df: df.repartition("tok").sortWithinPartitions("tok", "n", "k")
     met = common.materialize(sort(entries).mapInArrow(_join_groups(names, group_rows), "a long, b long"), "neardup-met", release=True)
     pairs = met.filter("b is not null").distinct()
-    pairs = common.materialize(pairs if known is None else _apart(pairs, known), "neardup-pairs")
+    pairs = common.materialize(pairs if known is None else _apart(pairs, known), "neardup-pairs", release=True)
     found = _checked(docs, reps, pairs)
     if known is not None:
         found = found.unionByName(known)
@@ -272,7 +272,7 @@ def keep_one(docs: DataFrame, group_rows: int = GROUP_ROWS, budget: int = BITS)
     """One document of each component of near copies stays: its first by id (null ids last), then by text hash."""
     scan = _scan(docs)
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__h")
-    reps = common.materialize(scan.filter("k is not null").groupBy("k").agg(F.min(row).alias("rep")), "neardup-classes")
+    reps = common.materialize(scan.filter("k is not null").groupBy("k").agg(F.min(row).alias("rep")), "neardup-classes", release=True)
     known = fingerprint_links(docs, scan, reps, budget)
     comp = simhash.components(links(docs, scan, reps, group_rows, known)).toDF("k", "root")
     rooted = reps.join(comp, "k", "left").withColumn("root", F.coalesce("root", "k"))

@@ -40,6 +40,8 @@ GROUP_ROWS, STEP = 1 << 18, 4
 HELD_ROWS = 1 << 16
 #: Node pairs walked at once in one task.
 FRONTIER = 1 << 19
+#: Links that one task joins into components.
+HELD_LINKS = 1 << 20
 
 _U = np.uint64
 
@@ -242,14 +244,74 @@ def links(distinct: DataFrame, budget: int = BUDGET, group_rows: int = GROUP_ROW
 # -- components -------------------------------------------------------------------------------
 
 
-def components(edges: DataFrame) -> DataFrame:
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of the links (a, b), sorted, and the smallest that each reaches by them."""
+    node, ends = np.unique(np.concatenate((a, b)), return_inverse=True)
+    x, y = ends[: len(a)], ends[len(a) :]
+    root = np.arange(len(node))
+    while True:
+        x, y = root[x], root[y]
+        apart = x != y
+        if not apart.any():
+            return node, node[root]
+        x, y = np.minimum(x[apart], y[apart]), np.maximum(x[apart], y[apart])
+        np.minimum.at(root, y, x)  # each root joins its smallest neighbour, so at most half of those linked stay roots
+        while (root != (low := root[root])).any():
+            root = low
+
+
+def _forests(held_links: int | None):
+    """Links to fewer ones that join the same nodes, (node, smallest it reaches by the links of this task). Above held_links
+    that do not shrink, those held go out; without held_links all are held, and each root is a row too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n_held = [], 0
+
+        def joined(last: bool) -> tuple[np.ndarray, np.ndarray]:
+            node, root = forest(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            child = slice(None) if last and held_links is None else node != root
+            return node[child], root[child]
+
+        def out(part: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in part], names=["a", "b"])
+
+        for batch in batches:
+            held.append(tuple(batch.column(i).to_numpy(zero_copy_only=False) for i in range(2)))
+            n_held += batch.num_rows
+            if held_links is not None and n_held > held_links:
+                held = [joined(False)]
+                n_held = len(held[0][0])
+                if 2 * n_held > held_links:
+                    yield out(held[0])
+                    held, n_held = [], 0
+        if n_held:
+            yield out(joined(True))
+
+    return run
+
+
+def components(edges: DataFrame, held_links: int = HELD_LINKS) -> DataFrame:
     """(node, root): the smallest node that each node of (a, b) edges reaches.
 
+    First each task that reads edges joins them by itself, so that copies and cycles go. What is left, up to
+    ``held_links``, is joined by one task: a fixed number of Spark's jobs, which matters as the driver remembers each. More
+    go through rounds (``_rounds``), as many as are needed.
+    """
+    cur = common.materialize(edges.select("a", "b").mapInArrow(_forests(HELD_LINKS), "a long, b long"), "components")
+    if cur.count() > held_links:
+        return _rounds(cur)
+    out = common.materialize(cur.repartition(1).mapInArrow(_forests(None), "a long, b long"), "components", release=True)
+    common.discard(cur)
+    return out.toDF("node", "root")
+
+
+def _rounds(cur: DataFrame) -> DataFrame:
+    """Components of any number of edges, a scratch table.
+
     Each round links every node's larger neighbours, then its smaller ones, to its smallest
     neighbour; rounds are written to the shared folder and end when nothing changes. Minima are
     pre-aggregated and joined back, so that a node with many links is split like any skewed join.
     """
-    cur = common.materialize(edges.select("a", "b").distinct(), "components")
     old_sum = None
     while True:
         both = cur.unionByName(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -257,7 +319,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a > b").distinct()
         small_low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(small_low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").filter("a > b").distinct()
-        nxt = common.materialize(small, "components")
+        nxt = common.materialize(small, "components", release=True)
         stat = nxt.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
         common.discard(cur)
         cur = nxt

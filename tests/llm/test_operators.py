@@ -11,6 +11,7 @@ from itertools import pairwise
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -166,6 +167,45 @@ def test_components_of_a_long_path(spark):
     assert dict(map(tuple, simhash.components(edges).collect())) == {i: 0 for i in range(n + 1)} | {100: 100, 101: 100}
 
 
+@pytest.mark.parametrize("held_links", [simhash.HELD_LINKS, 0])
+def test_components_by_one_task_and_by_rounds(spark, held_links):
+    rng = random.Random(6)
+    pairs = [tuple(sorted(rng.sample(range(-300, 300), 2))) for _ in range(250)] + [(-1000, i) for i in range(50)]
+    root = {i: i for p in pairs for i in p}
+    for _ in root:
+        for x, y in pairs:
+            root[x] = root[y] = min(root[x], root[y])
+    edges = spark.createDataFrame([*pairs, *pairs[:20]], "a long, b long").repartition(3)
+    got = simhash.components(edges, held_links).collect()
+    assert len(got) == len(root) and dict(map(tuple, got)) == root
+    assert simhash.components(edges.limit(0), held_links).count() == 0
+
+
+def test_a_task_of_many_links_gives_out_what_joins_the_same():
+    rng = np.random.default_rng(7)
+    a, b = rng.integers(0, 2000, (2, 3000))
+    parts = [pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"]) for x, y in zip(np.split(a, 30), np.split(b, 30), strict=True)]
+    want = dict(zip(*(x.tolist() for x in simhash.forest(a, b)), strict=True))
+    for held in (10, 500, 10_000):
+        out = [x for x in simhash._forests(held)(iter(parts)) if x.num_rows]
+        assert held < 10_000 or sum(x.num_rows for x in out) == sum(n != r for n, r in want.items())
+        got = simhash.forest(*(np.concatenate([x.column(i).to_numpy() for x in out]) for i in range(2)))
+        assert {n: r for n, r in want.items() if n != r} == {n: r for n, r in zip(*(x.tolist() for x in got), strict=True) if n != r}
+
+
+def test_components_take_as_many_jobs_for_long_paths(spark):
+    """The driver remembers each of Spark's jobs, so that rounds of them fill its memory."""
+    tracker = spark.sparkContext.statusTracker()
+    jobs = []
+    for n in (2, 300):
+        edges = spark.createDataFrame([(i, i + 1) for i in range(n)], "a long, b long")
+        spark.sparkContext.setJobGroup(f"path-{n}", "components")
+        simhash.components(edges)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        jobs.append(len(tracker.getJobIdsForGroup(f"path-{n}")))
+    assert jobs[0] == jobs[1] <= 6
+
+
 # -- op3, op4 ---------------------------------------------------------------------------------
 
 
